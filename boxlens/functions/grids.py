@@ -35,9 +35,9 @@ def points_reached(recall: Column) -> Column:
     guess = F.least(F.lit(100), F.floor(recall * 100).cast("int"))
     upper = F.least(F.lit(100), guess + 1)
     return (
-        F.when(recall >= F.element_at(grid, upper + 1), upper + 1)
-        .when(recall >= F.element_at(grid, guess + 1), guess + 1)
-        .otherwise(guess)
+        F.when(recall >= F.element_at(grid, upper + 1), upper)
+        .when(recall >= F.element_at(grid, guess + 1), guess)
+        .otherwise(guess - 1)
         .cast("int")
     )
 

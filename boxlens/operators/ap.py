@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.functions.grids import IOU_LEVELS, RECALL_POINTS, points_reached
-from boxlens.operators.blocks import range_blocks, running_totals, suffix_maximum
+from boxlens.operators.blocks import Order, range_blocks, running_totals, suffix_maximum
 from boxlens.operators.matching import RUN, level_matches, rank_detections, score_filter
 from boxlens.session import for_each_run
 
@@ -23,13 +23,12 @@ def hit(level: int) -> Column:
     return F.col("level_mask").bitwiseAND(F.lit(1 << level)).cast("boolean").cast("bigint")
 
 
-def score_order() -> list[Column]:
-    """Global detection order: score falling, then image, then rank in the image."""
-    return [F.desc("score"), F.asc("image_id"), F.asc("rank")]
+# Global detection order: score falling, then image, then rank in the image.
+SCORE_ORDER = [("score", False), ("image_id", True), ("rank", True)]
 
 
 def detection_blocks(detections: DataFrame, keys: list[str], num_blocks: int | None = None) -> DataFrame:
-    return range_blocks(detections, [*[F.asc(k) for k in keys], *score_order()], "detections", num_blocks)
+    return range_blocks(detections, [*[(k, True) for k in keys], *SCORE_ORDER], "detections", num_blocks)
 
 
 def target_totals(targets: DataFrame, runs: DataFrame, run=RUN, by: list[str] | None = None) -> DataFrame:
@@ -39,14 +38,14 @@ def target_totals(targets: DataFrame, runs: DataFrame, run=RUN, by: list[str] |
 
 
 def interpolated_precision(blocks: DataFrame, totals: DataFrame, keys: list[str], weight: Column | None = None,
-                           order: list[Column] | None = None) -> DataFrame:
+                           order: Order | None = None) -> DataFrame:
     """Precision at each recall point per (keys, level), only where it is above zero.
 
     ``totals`` holds keys and target_count; ``weight`` is an integer detection weight.
     """
     w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     sums = {"n": w, **{f"k{i}": hit(i) * w for i in LEVELS}}
-    running = running_totals(blocks, keys, order or score_order(), sums, totals)
+    running = running_totals(blocks, keys, order or SCORE_ORDER, sums, totals)
     levels = F.array(*[
         F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k"), hit(i).alias("h")) for i in LEVELS
     ])
@@ -72,7 +71,7 @@ def interpolated_precision(blocks: DataFrame, totals: DataFrame, keys: list[str]
 
 
 def average_precision(blocks: DataFrame, totals: DataFrame, keys: list[str], weight: Column | None = None,
-                      order: list[Column] | None = None) -> DataFrame:
+                      order: Order | None = None) -> DataFrame:
     """AP per (keys, level): mean over 101 recall points. No targets: NULL."""
     env = interpolated_precision(blocks, totals, keys, weight, order)
     ap = env.groupBy(*keys, "level").agg(
@@ -170,7 +169,7 @@ def pr_curve_seed_mean(curve: DataFrame, detector: str = "d") -> DataFrame:
 def cumulative_tp_fp(blocks: DataFrame, keys: list[str], level: int = 0, totals: DataFrame | None = None) -> DataFrame:
     """Running TP and FP counts in global score order."""
     sums = {"cum_tp": hit(level), "cum_fp": F.lit(1).cast("bigint") - hit(level)}
-    return running_totals(blocks, keys, score_order(), sums, totals)
+    return running_totals(blocks, keys, SCORE_ORDER, sums, totals)
 
 
 def precision_recall(blocks: DataFrame, totals: DataFrame, keys: list[str], level: int = 0) -> DataFrame:
@@ -183,7 +182,7 @@ def precision_recall(blocks: DataFrame, totals: DataFrame, keys: list[str], leve
 
 def precision_envelope(pr: DataFrame, keys: list[str]) -> DataFrame:
     """Largest precision at or after each position."""
-    return suffix_maximum(pr, keys, score_order(), "precision", "envelope")
+    return suffix_maximum(pr, keys, SCORE_ORDER, "precision", "envelope")
 
 
 def recall_sampling(pr: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 from boxlens.session import materialize
 
 
-def range_blocks(df: DataFrame, order: list[Column], name: str = "blocks", num_blocks: int | None = None) -> DataFrame:
+Order = list[tuple[str, bool]]
+
+
+def columns(order: Order, reverse: bool = False) -> list[Column]:
+    """Sort columns of (name, ascending) pairs."""
+    return [F.asc(c) if up != reverse else F.desc(c) for c, up in order]
+
+
+def range_blocks(df: DataFrame, order: Order, name: str = "blocks", num_blocks: int | None = None) -> DataFrame:
     """Rows with a ``block`` column: blocks are contiguous and ascending in ``order``."""
     n = num_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *columns(order)).withColumn("block", F.spark_partition_id())
     return materialize(ranged, name)
 
 
@@ -31,7 +39,7 @@ def block_offsets(blocks: DataFrame, keys: list[str], sums: dict[str, Column]) -
     )
 
 
-def running_totals(blocks: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
+def running_totals(blocks: DataFrame, keys: list[str], order: Order, sums: dict[str, Column],
                    per_key: DataFrame | None = None) -> DataFrame:
     """Inclusive running sums in global order, added as columns named by ``sums``.
 
@@ -41,19 +49,20 @@ def running_totals(blocks: DataFrame, keys: list[str], order: list[Column], sums
     offsets = block_offsets(blocks, keys, sums)
     if per_key is not None:
         offsets = offsets.join(per_key, keys)
-    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "block").orderBy(*columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
     joined = local.join(offsets, [*keys, "block"])
     helper = [f"_{p}_{n}" for p in "lo" for n in sums]
     return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in sums}).drop(*helper)
 
 
-def suffix_maximum(blocks: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+def suffix_maximum(blocks: DataFrame, keys: list[str], order: Order, value: str, out: str) -> DataFrame:
     """Largest ``value`` at or after each row in global order."""
     totals = blocks.groupBy(*keys, "block").agg(F.max(value).alias("_m"))
-    after = Window.partitionBy(*keys).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    # reversed order with a growing frame: a shrinking frame would be quadratic
+    after = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     later = totals.select(*keys, "block", F.max("_m").over(after).alias("_later"))
-    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "block").orderBy(*columns(order, reverse=True)).rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.withColumn("_here", F.max(value).over(inside))
     return local.join(later, [*keys, "block"]).withColumn(out, F.greatest("_here", "_later")).drop("_here", "_later")
 
@@ -61,7 +70,7 @@ def suffix_maximum(blocks: DataFrame, keys: list[str], order: list[Column], valu
 def dense_ids(df: DataFrame, order: list[str], out: str = "id", start: int = 1, num_blocks: int | None = None) -> DataFrame:
     """Consecutive ids in global order; ``order`` must be a unique key."""
     cols = [F.col(c) for c in order]
-    blocks = range_blocks(df, cols, "dense-ids", num_blocks)
+    blocks = range_blocks(df, [(c, True) for c in order], "dense-ids", num_blocks)
     counts = blocks.groupBy("block").count()
     # one row per block: bounded by the number of partitions
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
