@@ -57,9 +57,9 @@ def det_targets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def det_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def det_predictions(spark: SparkSession, sf: str, seeds=SEEDS) -> DataFrame:
     b = boxes(spark, sf).withColumn("d", F.explode(F.array(*[F.lit(x) for x in DETECTORS]))).withColumn(
-        "s", F.explode(F.array(*[F.lit(x) for x in SEEDS]))
+        "s", F.explode(F.array(*[F.lit(x) for x in seeds]))
     )
     d, s, ln, pk, sk, img = (F.col(c) for c in ("d", "s", "ln", "pk", "sk", "image_id"))
     missed = (img + ln * 3 + s + d) % 5 == 0
@@ -80,6 +80,32 @@ def dense(df: DataFrame, index: str, per_image: int = 30) -> DataFrame:
     })
 
 
+CONDITIONS = ("clean", "noise_s1", "noise_s2")
+
+
+def condition_runs(spark: SparkSession) -> DataFrame:
+    c = F.explode(F.array(*[F.lit(x) for x in CONDITIONS])).alias("condition")
+    return spark.range(1).select(c, F.lit(17).alias("s")).select("condition", F.explode(F.array(*[F.lit(x) for x in DETECTORS])).alias("d"), "s")
+
+
+def condition_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """One seed under a clean and two corrupted conditions: boxes drift, scores drop."""
+    sev = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sev")
+    p = det_predictions(spark, sf, (17,)).select("*", sev)
+    dx, dy = F.col("sev") * (3 + 2 * F.col("d")), F.col("sev") * 2
+    return p.select(
+        F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]), F.col("sev") + 1).alias("condition"), "d", "s", "image_id", "pidx", "label",
+        (F.col("score") * (20 - F.col("sev")) / F.lit(20.0)).alias("score"),
+        (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"),
+    )
+
+
+def degenerate_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs, with the scores of (1, 137) so low that its operating point is empty."""
+    low = (F.col("d") == 1) & (F.col("s") == 137)
+    return det_predictions(spark, sf).withColumn("score", F.when(low, F.col("score") * F.lit(0.04)).otherwise(F.col("score")))
+
+
 # The same views in SQL. Each entry lists what it needs.
 _SQL = {
     "li": ((), """select l_orderkey image_id, cast(l_linenumber as bigint) ln, min(l_partkey) pk, min(l_suppkey) sk,
@@ -95,6 +121,10 @@ _SQL = {
         cast((image_id*7919+ln*104729+r.s*31+r.d*17)%1000 as double)/1000e0 score
         from b cross join runs r where (image_id+ln*3+r.s+r.d)%5<>0"""),
     "pr": (("p0",), "select d, s, image_id, ln pidx, label, score, x1+dx x1, y1+dy y1, x1+dx+w x2, y1+dy+h y2 from p0"),
+    "cruns": ((), "select condition, d, 17 s from (values ('clean'),('noise_s1'),('noise_s2')) c(condition), (values (0),(1)) a(d)"),
+    "cpr": (("pr",), """select ['clean','noise_s1','noise_s2'][sev+1] condition, d, s, image_id, pidx, label, score*(20-sev)/20e0 score,
+        x1+sev*(3+2*d) x1, y1+sev*2 y1, x2+sev*(3+2*d) x2, y2+sev*2 y2 from pr, (values (0),(1),(2)) v(sev) where s=17"""),
+    "gpr": (("pr",), "select d, s, image_id, pidx, label, case when d=1 and s=137 then score*0.04e0 else score end score, x1, y1, x2, y2 from pr"),
     "dtg": (("tg",), "select image_id//30 image_id, image_id*8+tidx tidx, label, x1, y1, x2, y2 from tg"),
     "dpr": (("pr",), "select d, s, image_id//30 image_id, image_id*8+pidx pidx, label, score, x1, y1, x2, y2 from pr"),
 }
