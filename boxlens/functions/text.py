@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def general_6g(value: Column) -> Column:
-    """C-style ``%.6g``: six significant digits, trailing zeros removed."""
-    sci = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
-    strip = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fixed = F.when(exponent.isNull(), F.lit(None).cast("string"))
-    for e in range(-4, 6):
-        fixed = fixed.when(exponent == e, strip(F.format_string(f"%.{5 - e}f", value)))
-    mantissa = F.regexp_extract(sci, r"^(-?[\d.]+)e", 1)
-    return fixed.otherwise(F.concat(strip(mantissa), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)))
+@F.pandas_udf("string")
+def general_6g(values: pd.Series) -> pd.Series:
+    """C-style ``%.6g``.
+
+    The JVM formatter rounds the shortest decimal form, C the exact binary value;
+    they differ on ties, so the few cells of a result table go through Arrow.
+    """
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.6g}")
 
 
 def mean_std(mean: Column, std: Column) -> Column:

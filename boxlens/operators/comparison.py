@@ -48,7 +48,7 @@ def seed_contract_violations(rows: DataFrame, detector: str = "d", seed: str = "
 def violations(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
     """One row per broken rule."""
     hit = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
-    return rows.select(*keys, F.explode(hit).alias("rule"))
+    return rows.withColumn("_hit", hit).select(*keys, F.explode("_hit").alias("rule"))
 
 
 def seed_mean_std(rows: DataFrame, metrics: list[str], detector: str = "d", seed: str = "s") -> DataFrame:
