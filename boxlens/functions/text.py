@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def general_6g(values: pd.Series) -> pd.Series:
     """C-style ``%.6g``.
 
@@ -22,8 +23,8 @@ def mean_std(mean: Column, std: Column) -> Column:
 
 
 def ten_decimals(label: Column, *values: Column) -> Column:
-    """``class v v v v`` line with ten decimals each."""
-    return F.format_string("%d" + " %.10f" * len(values), label, *values)
+    """``class v v v v`` line with ten decimals each, exact halves to even."""
+    return F.format_string("%d" + " %.10f" * len(values), label, *[F.bround(v, 10) for v in values])
 
 
 def parse_finite(text: Column) -> Column:

@@ -125,6 +125,35 @@ _SQL = {
     "cpr": (("pr",), """select ['clean','noise_s1','noise_s2'][sev+1] condition, d, s, image_id, pidx, label, score*(20-sev)/20e0 score,
         x1+sev*(3+2*d) x1, y1+sev*2 y1, x2+sev*(3+2*d) x2, y2+sev*2 y2 from pr, (values (0),(1),(2)) v(sev) where s=17"""),
     "gpr": (("pr",), "select d, s, image_id, pidx, label, case when d=1 and s=137 then score*0.04e0 else score end score, x1, y1, x2, y2 from pr"),
+    # raw annotation text with one injected defect per issue code (by key modulus)
+    "ex": (("tg",), """select o_orderkey k, o_custkey c, coalesce(nr, 0) nr from orders left join (select image_id, count(*) nr from tg group by image_id) z on z.image_id = o_orderkey"""),
+    "lab0": (("b", "ex"), """select b.image_id k, b.ln, b.pk, b.x1, b.y1, b.w, b.h, case when e.nr > 0 then 1 else 0 end pos from b join ex e on e.k = b.image_id where (e.nr > 0 and b.rf = 'R') or e.nr = 0
+        union all select e.k, 15, e.k, 0, 0, 0, 0, 0 from ex e left join (select distinct image_id from b) z on z.image_id = e.k where z.image_id is null"""),
+    "lab1": (("lab0",), "select *, k*64+ln row_number from lab0 union all select *, k*64+ln+32 from lab0 where pos = 1 and pk % 67 = 5"),
+    "raw_labels": (("lab1",), """select row_number, case when pk % 97 = 0 then '' else concat('e', k) end exam_id,
+        case when pos = 1 then case when pk % 79 = 2 then 'abc' when pk % 71 = 4 then '1000' else concat('', x1) end else case when pk % 61 = 6 then '1' else '' end end x,
+        case when pos = 1 then concat(' ', y1) else '' end y, case when pos = 1 then case when pk % 73 = 3 then '0' else concat('', w) end else '' end width,
+        case when pos = 1 then concat('', h) else '' end height, case when k % 89 = 0 then '7' when pos = 1 and pk % 83 = 1 then '0' else concat('', pos) end target from lab1"""),
+    "raw_classes": (("ex",), """select k*4 row_number, concat('e', k) exam_ref, case when k % 41 = 4 then '' when k % 47 = 2 then 'weird' when (nr > 0) <> (k % 43 = 3) then 'opacity' when c % 2 = 1 then 'other' else 'normal' end label
+        from ex where k % 59 <> 0 union all select k*4+1, concat('e', k), 'other' from ex where k % 53 = 1 union all select k*4+2, concat('x', k), 'normal' from ex where k % 37 = 5"""),
+    "raw_mapping": (("ex",), """select k*4 entry, concat('e', k) subset_key, case when k % 31 = 6 then 'bad.png' else concat(lpad(concat('', c), 8, '0'), '_001.png') end original_name from ex where k % 101 <> 9
+        union all select k*4+1, concat('e', k), concat(lpad(concat('', c+1), 8, '0'), '_002.png') from ex where k % 29 = 7
+        union all select k*4+2, concat('e', k), concat(lpad(concat('', c), 8, '0'), '_003.png') from ex where k % 23 = 8"""),
+    "exm": (("im", "ex"), "select image_id, patient_group, stratum, nr box_count, nr > 0 is_positive, concat('img_', image_id, '.png') file_name from im join ex on k = image_id"),
+    "spl": (("exm",), """select exm.*, case when image_id % 50 = 0 then 'test' when patient_group % 10 < 7 then 'train' when patient_group % 10 < 9 then 'validation' else 'test' end split from exm"""),
+    "coco_images": (("ex",), """select k id, case when k % 97 = 1 then concat('../img_', k, '.png') when k % 83 = 3 then concat('IMG_', k-1, '.PNG') else concat('img_', k, '.png') end file_name,
+        case when k % 89 = 2 then 0 else 1024 end width, 1024 height from ex union all select k, concat('copy_', k, '.png'), 1024, 1024 from ex where k % 79 = 4"""),
+    "coco_ann": (("b",), """select image_id*64+ln id, case when pk % 73 = 5 then image_id + 1000000000000 else image_id end image_id, case when pk % 71 = 6 then 99 else label end category_id,
+        case when pk % 47 = 11 then 1020 else x1 end x, y1 y, case when pk % 59 = 9 then 0 else w end w, h, case when pk % 53 = 10 then 3 else 4 end numbers,
+        w*h + case when pk % 67 = 7 then 1 else 0 end area, case when pk % 61 = 8 then 1 else 0 end iscrowd from b"""),
+    "coco_cat": ((), "select r_regionkey id, r_name name, r_regionkey position from region union all select 2, 'AFRICA', 9 from region where r_regionkey = 0"),
+    "yimg": ((), """select k, split, concat('img_', k) key, concat(split, '/images/IMG_', k, '.png') path, content from (select o_orderkey k, case o_orderkey % 3 when 0 then 'train' when 1 then 'validation' else 'test' end split,
+        concat('', cast(round(o_totalprice * 100) as bigint)) content from orders) z union all
+        select o_orderkey, case o_orderkey % 3 when 0 then 'train' when 1 then 'validation' else 'test' end, concat('img_', o_orderkey), concat(case o_orderkey % 3 when 0 then 'train' when 1 then 'validation' else 'test' end, '/images/img_', o_orderkey, '.jpg'), 'copy' from orders where o_orderkey % 97 = 1"""),
+    "ylab": (("b",), """select image_id k, ln, case image_id % 3 when 0 then 'train' when 1 then 'validation' else 'test' end split, concat(
+        case when pk % 43 = 1 then 'x' when pk % 47 = 2 then '9' else concat('', label - 1) end, ' ', case when pk % 53 = 3 then 'nan' else concat('', cast(2*x1+w as double)/2048) end, ' ', concat('', cast(2*y1+h as double)/2048), ' ',
+        case when pk % 59 = 4 then '1.5' else concat('', cast(w as double)/1024) end, ' ', concat('', cast(h as double)/1024), case when pk % 41 = 0 then ' 9' else '' end) line, pk from b where image_id % 11 <> 0"""),
+    "ylines": (("ylab",), "select * from ylab union all select k, ln+32, split, line, pk from ylab where pk % 61 = 5"),
     "dtg": (("tg",), "select image_id//30 image_id, image_id*8+tidx tidx, label, x1, y1, x2, y2 from tg"),
     "dpr": (("pr",), "select d, s, image_id//30 image_id, image_id*8+pidx pidx, label, score, x1, y1, x2, y2 from pr"),
 }
@@ -143,3 +172,14 @@ def sql_views(*names: str) -> str:
     for name in names:
         visit(name)
     return ",\n".join(f"{n} as ({_SQL[n][1]})" for n in ordered)
+
+
+# tables each shared SQL view may read
+_TABLES = ("region", "orders", "lineitem")
+
+
+def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A derived view from the shared SQL text."""
+    for t in _TABLES:
+        table(spark, sf, t).createOrReplaceTempView(t)
+    return spark.sql(f"with {sql_views(name)} select * from {name}")
