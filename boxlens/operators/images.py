@@ -60,6 +60,14 @@ def validate_severity_curves(levels: DataFrame) -> DataFrame:
     return per.withColumn("_v", hit).select("name", F.explode("_v").alias("rule"))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` as a lambda variable: evaluated once per row, not once per use.
+
+    An expression named inside a pixel lambda would run again for every pixel.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _inside(i: Column, w: Column, box: dict[str, Column]) -> Column:
     """Pixel centre inside the half-open box."""
     x, y = (i % w) + F.lit(0.5), F.floor(i / w) + F.lit(0.5)
@@ -124,15 +132,21 @@ def minmax_to_uint8(values: Column, invert: Column | None = None) -> Column:
     """Stretch finite values to 0..255, half to even; NaN and -inf go low, +inf high; flat maps to 0."""
     inf = F.lit(float("inf"))
     finite = F.filter(values, lambda x: ~F.isnan(x) & (F.abs(x) < inf))
-    low, high = F.array_min(finite), F.array_max(finite)
     flip = F.lit(False) if invert is None else invert
 
-    def level(x: Column) -> Column:
-        filled = F.when(F.isnan(x) | (x == -inf), low).when(x == inf, high).otherwise(x)
-        shown = F.when(flip, high + low - filled).otherwise(filled)
-        return F.when(high > low, F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint((shown - low) * (F.lit(255.0) / (high - low)))))).otherwise(0.0).cast("int")
+    def stretch(r: Column) -> Column:
+        low, high = r["low"], r["high"]
 
-    return F.transform(values, level)
+        def level(x: Column) -> Column:
+            filled = F.when(F.isnan(x) | (x == -inf), low).when(x == inf, high).otherwise(x)
+            shown = F.when(flip, high + low - filled).otherwise(filled)
+            scaled = F.rint((shown - low) * (F.lit(255.0) / (high - low)))
+            return F.when(high > low, F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).otherwise(0.0).cast("int")
+
+        return F.transform(values, level)
+
+    limits = let(finite, lambda f: F.struct(F.array_min(f).alias("low"), F.array_max(f).alias("high")))
+    return let(limits, stretch)
 
 
 def _clip(x: Column) -> Column:
@@ -192,18 +206,22 @@ def gaussian_blur(v: Column, h: Column, w: Column, sigma: float) -> Column:
     """Separable: rows, then columns."""
     k = gaussian_kernel(sigma)
     r = len(k) // 2
-    across = _weighted(v, h, w, _taps([(a, i - r, 0) for i, a in enumerate(k)]))
-    down = _weighted(across, h, w, _taps([(a, 0, i - r) for i, a in enumerate(k)]))
-    return F.transform(down, _clip)
+    rows, columns = [(a, i - r, 0) for i, a in enumerate(k)], [(a, 0, i - r) for i, a in enumerate(k)]
+    across = _weighted(v, h, w, _taps(rows))
+    return let(across, lambda a: F.transform(_weighted(a, h, w, _taps(columns)), _clip))
 
 
 def motion_blur(v: Column, h: Column, w: Column, kernel: int, seed_key: Column) -> Column:
     """Mean along a line of ``kernel`` pixels at a seeded angle."""
-    angle = uniform(seed_key, F.lit("angle")) * F.lit(2 * math.pi)
     r = kernel // 2
-    taps = F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda t: F.struct(
-        F.lit(1.0 / kernel).alias("weight"), F.rint(t * F.cos(angle)).cast("int").alias("dx"), F.rint(t * F.sin(angle)).cast("int").alias("dy")))
-    return F.transform(_weighted(v, h, w, taps), _clip)
+
+    def line(angle: Column) -> Column:
+        step = lambda f: lambda t: F.rint(t * f(angle)).cast("int")
+        return F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda t: F.struct(
+            F.lit(1.0 / kernel).alias("weight"), step(F.cos)(t).alias("dx"), step(F.sin)(t).alias("dy")))
+
+    taps = let(uniform(seed_key, F.lit("angle")) * F.lit(2 * math.pi), line)
+    return let(taps, lambda t: F.transform(_weighted(v, h, w, t), _clip))
 
 
 def corrupt(kind: str, value: float, condition: str, seed: int, key: str = "image_id") -> Column:
@@ -217,9 +235,9 @@ def corrupt(kind: str, value: float, condition: str, seed: int, key: str = "imag
     if kind == "salt_pepper":
         return salt_pepper(v, value, seed_key)
     if kind == "gaussian_blur":
-        return gaussian_blur(v, h, w, value)
+        return let(v, lambda x: gaussian_blur(x, h, w, value))
     if kind == "motion_blur":
-        return motion_blur(v, h, w, int(value), seed_key)
+        return let(v, lambda x: motion_blur(x, h, w, int(value), seed_key))
     raise ValueError(f"{kind} needs an image codec")
 
 

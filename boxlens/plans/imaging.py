@@ -20,8 +20,9 @@ HM = """hm as (select vec_id case_id, i, case when vec_id%50=0 then 0 else abs(e
 
 def gray(spark, sf):
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("e"))
-    lo, hi = F.array_min("e"), F.array_max("e")
-    return e.select("image_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("e", lambda x: F.floor(255 * (x - lo) / (hi - lo)).cast("int")).alias("v"))
+    limits = F.struct(F.array_min("e").alias("lo"), F.array_max("e").alias("hi"))
+    v = images.let(limits, lambda r: F.transform("e", lambda x: F.floor(255 * (x - r["lo"]) / (r["hi"] - r["lo"])).cast("int")))
+    return e.select("image_id", F.lit(8).alias("h"), F.lit(8).alias("w"), v.alias("v"))
 
 
 def heatmaps(spark, sf):
