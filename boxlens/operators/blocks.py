@@ -48,7 +48,7 @@ def running_totals(blocks: DataFrame, keys: list[str], order: Order, sums: dict[
     """
     offsets = block_offsets(blocks, keys, sums)
     if per_key is not None:
-        offsets = offsets.join(per_key, keys)
+        offsets = offsets.join(per_key, keys) if keys else offsets.crossJoin(per_key)
     inside = Window.partitionBy(*keys, "block").orderBy(*columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
     joined = local.join(offsets, [*keys, "block"])
@@ -82,3 +82,23 @@ def dense_ids(df: DataFrame, order: list[str], out: str = "id", start: int = 1,
         .withColumn(out, (F.col("_l") + F.col("_o") + F.lit(start - 1)).cast("bigint"))
         .drop("_l", "_o", "block")
     )
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles of groups of any size.
+
+    Equal values merge first; running counts over range blocks then locate the
+    two neighbouring positions, so no group is held in one buffer.
+    """
+    merged = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    spec = [(value, True)]
+    blocks = range_blocks(merged, [*[(k, True) for k in keys], *spec], "percentiles")
+    total = blocks.groupBy(*keys).agg(F.sum("n").alias("total"))
+    run = running_totals(blocks, keys, spec, {"upto": F.col("n")}, total)
+    aggs = []
+    for name, q in quantiles.items():
+        position = (F.col("total") - 1) * F.lit(q)
+        at = lambda p: F.max(F.when((F.col("upto") - F.col("n") <= p) & (p < F.col("upto")), F.col(value)))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        aggs.append((low + (high - low) * (F.max(position) - F.floor(F.max(position)))).alias(name))
+    return run.groupBy(*keys).agg(*aggs)

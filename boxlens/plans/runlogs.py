@@ -1 +1,184 @@
-"""Queries."""
+"""Run-log and streaming queries on the event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from boxlens.operators import audit, runlog, sweep
+from boxlens.plans import fixtures as fx
+from boxlens.plans.catalog import query
+from boxlens.plans.detection import round_cols
+from boxlens.session import scratch_path
+from boxlens.sources import readers
+from boxlens.streaming import logs
+from boxlens.plans.oracle_parts import match_block
+
+EP = """ep as (select user_id run_id, row_number() over (partition by user_id order by ts, event_id)::int epoch, value/500 metric, value/100 as seconds, event_id, value from events),
+    cv as (select *, case when event_id%23=0 then 'nan'::double when event_id%17=0 then 0 else value/100 end box_loss, case when event_id%17=0 then 0 else value/200 end cls_loss, case when event_id%17=0 then 0 else value/300 end dfl_loss, value/500 map_50,
+    case when event_id%5=0 then 0 else value/1000 end map_50_95 from ep)"""
+
+
+def epochs(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    v = F.col("value")
+    return fx.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(w).alias("epoch"), (v / 500).alias("metric"), (v / 100).alias("seconds"), "event_id", "value")
+
+
+def curves(spark, sf):
+    k, v = F.col("event_id"), F.col("value")
+    zero = lambda d: F.when(k % 17 == 0, 0.0).otherwise(v / d)
+    return epochs(spark, sf).withColumns({
+        "box_loss": F.when(k % 23 == 0, F.lit(float("nan"))).otherwise(zero(100)), "cls_loss": zero(200), "dfl_loss": zero(300), "map_50": v / 500, "map_50_95": F.when(k % 5 == 0, 0.0).otherwise(v / 1000)})
+
+
+CS = EP + """, cs as (select run_id, count(*) completed_epochs, count(*) filter (isnan(box_loss)) nonfinite_values, count(*) filter (box_loss=0 and cls_loss=0 and dfl_loss=0) zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs,
+    max(map_50) best_map_50, max(map_50_95) best_map_50_95, arg_max(case when isnan(box_loss) then -1 else box_loss end, epoch) final_box_loss, arg_max(cls_loss, epoch) final_cls_loss, arg_max(dfl_loss, epoch) final_dfl_loss, arg_max(map_50, epoch) final_map_50, arg_max(map_50_95, epoch) final_map_50_95 from cv group by run_id)"""
+CONV = "case when {s}='complete' and nonfinite_values=0 and zero_loss_epochs=0 and positive_map_epochs>0 and best_map_50_95>0 then 'normal_converged' else 'collapse_or_invalid' end"
+
+
+@query("training_curve_summary", f"with {CS} select * from cs")
+def training_curve_summary(spark, sf):
+    out = runlog.training_curve_summary(curves(spark, sf), ["run_id"])
+    return out.withColumn("final_box_loss", F.when(F.isnan("final_box_loss"), -1.0).otherwise(F.col("final_box_loss")))
+
+
+@query("classify_convergence", f"with {CS} select run_id, {CONV.format(s=chr(39) + 'complete' + chr(39))} convergence from (select cs.*, zero_loss_epochs from cs)".replace("(select cs.*, zero_loss_epochs from cs)", "cs"))
+def classify_convergence(spark, sf):
+    out = runlog.training_curve_summary(curves(spark, sf), ["run_id"])
+    return out.select("run_id", runlog.classify_convergence(F.lit("complete")).alias("convergence"))
+
+
+@query("latency_summary", """select user_id run_id, count(*) timed_batches, sum(1 + event_id%3)::bigint timed_images, round(sum(value/1000), 6) total_seconds, round(sum(1 + event_id%3)/sum(value/1000), 6) throughput_fps, round(sum(value/1000)/sum(1 + event_id%3)*1000, 6) mean_latency_ms,
+    round(quantile_cont(value/1000/(1 + event_id%3), 0.5e0)*1000, 6) p50_latency_ms, round(quantile_cont(value/1000/(1 + event_id%3), 0.95e0)*1000, 6) p95_latency_ms from events group by user_id""")
+def latency_summary(spark, sf):
+    b = fx.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), (F.col("value") / 1000).alias("seconds"), (1 + F.col("event_id") % 3).alias("images"))
+    out = runlog.latency_summary(b, ["run_id"])
+    return round_cols(out, [c for c in out.columns if c not in ("run_id", "timed_batches", "timed_images")], 6)
+
+
+@query("epoch_time_projection", f"""with {EP}, f as (select run_id, arg_min(seconds, epoch) a from ep group by run_id), r as (select run_id, median(seconds) m, min(seconds) lo, max(seconds) hi from ep where epoch>1 group by run_id)
+    select run_id, round(a, 6) first_seconds, round(m, 6) steady_seconds, round(a+9*m, 6) estimated_minimum, round(a+49*m, 6) estimated_maximum, round(a+49*lo, 6) maximum_low, round(a+49*hi, 6) maximum_high, round(a+19*m, 6) scenario_20 from f join r using (run_id)""")
+def epoch_time_projection(spark, sf):
+    out = runlog.epoch_time_projection(epochs(spark, sf), ["run_id"], 10, 50, (20,))
+    return round_cols(out, [c for c in out.columns if c != "run_id"], 6)
+
+
+STOP = f"""with recursive {EP}, wk as (select run_id, epoch, metric, metric best, epoch best_epoch, metric ref, 0 stale, true nb, true sig from ep where epoch=1 union all
+    select e.run_id, e.epoch, e.metric, greatest(w.best, e.metric), case when e.metric > w.best then e.epoch else w.best_epoch end, case when e.metric > w.ref + 0.05e0 then e.metric else w.ref end, case when e.metric > w.ref + 0.05e0 then 0 else w.stale+1 end, e.metric > w.best, e.metric > w.ref + 0.05e0
+    from wk w join ep e on e.run_id=w.run_id and e.epoch=w.epoch+1) select run_id, epoch, metric, nb is_new_best, sig is_significant, stale::int epochs_without_improvement, epoch >= 3 and stale >= 5 should_stop, best_epoch from wk"""
+
+
+@query("early_stopping", STOP)
+def early_stopping(spark, sf):
+    return runlog.early_stopping(epochs(spark, sf), 5, 0.05, 3)
+
+
+# arrivals: event order, with repeats, conflicts and late epochs from the key
+ARRIVE = """ar as (select user_id run_id, (1 + event_id//300)::int epoch, case when event_id%41=0 then -1 else round(value/500, 1) end metric, round(value/400, 0) as seconds, event_id arrival from events)"""
+
+
+def arrivals(spark, sf):
+    v, k = F.col("value"), F.col("event_id")
+    return fx.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), (1 + F.floor(k / 300)).cast("int").alias("epoch"), F.when(k % 41 == 0, -1.0).otherwise(F.round(v / 500, 1)).alias("metric"),
+                                                F.round(v / 400, 0).alias("seconds"), k.alias("arrival"))
+
+
+INGEST = f"""with {ARRIVE}, fi as (select run_id, epoch, min(arrival) fa, arg_min(metric, arrival) fm, arg_min(seconds, arrival) fs from ar where metric>=0 group by all),
+    ri as (select *, coalesce(epoch > max(epoch) over (partition by run_id order by fa rows between unbounded preceding and 1 preceding), true) up from fi)
+    select ar.*, case when metric<0 then 'rejected_invalid' when not up then 'rejected_not_rising' when arrival=fa then 'accepted' when metric=fm and seconds=fs then 'ignored' else 'rejected_conflict' end fate from ar left join ri using (run_id, epoch)"""
+
+
+@query("epoch_log_ingest", INGEST)
+def epoch_log_ingest(spark, sf):
+    return runlog.classify_epoch_records(arrivals(spark, sf))
+
+
+def write_in_order(df, path, order, parts=3):
+    """Files in arrival order, one write each, as a producer would leave them."""
+    top = df.agg(F.max(order)).first()[0] + 1
+    step = -(-top // parts)
+    for i in range(parts):
+        df.filter((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step)).coalesce(1).write.json(f"{path}/part{i}")
+
+
+@query("epoch_log_ingest_stream", INGEST)
+def epoch_log_ingest_stream(spark, sf):
+    src, table, cp = (scratch_path(spark, n) for n in ("epochs-in", "epochs-log", "epochs-cp"))
+    write_in_order(arrivals(spark, sf), src, "arrival")
+    logs.ingest_epochs(logs.epoch_stream(spark, src), table, cp).awaitTermination()
+    return spark.read.schema(logs.EPOCH_SCHEMA + ", fate string").parquet(table).drop("batch")
+
+
+@query("early_stopping_stream", STOP)
+def early_stopping_stream(spark, sf):
+    src, table, cp = (scratch_path(spark, n) for n in ("stop-in", "stop-out", "stop-cp"))
+    write_in_order(epochs(spark, sf).select("run_id", "epoch", "metric", "seconds", F.col("epoch").cast("bigint").alias("arrival")), src, "epoch")
+    return logs.run_to_table(logs.early_stopping_stream(logs.epoch_stream(spark, src), 5, 0.05, 3), table, cp)
+
+
+@query("strict_table_rows", """with t as (select event_id, case when event_id%31=0 then null when event_id%29=0 then -1 else user_id end epoch, case when event_id%37=0 then 'nan'::double when event_id%43=1 then -value else value end loss, value/400 recall from events)
+    select event_id, 'epoch' field, 'missing' "rule" from t where epoch is null union all select event_id, 'epoch', 'negative' from t where epoch<0 union all select event_id, 'loss', 'negative' from t where loss<0 union all select event_id, 'loss', 'nonfinite' from t where isnan(loss)
+    union all select event_id, 'recall', 'above_one' from t where recall>1""")
+def strict_table_rows(spark, sf):
+    k, v = F.col("event_id"), F.col("value")
+    rows = fx.table(spark, sf, "events").select("event_id", F.when(k % 31 == 0, None).when(k % 29 == 0, -1).otherwise(F.col("user_id")).alias("epoch"),
+                                                F.when(k % 37 == 0, F.lit(float("nan"))).when(k % 43 == 1, -v).otherwise(v).alias("loss"), (v / 400).alias("recall"))
+    return audit.strict_table_rows(rows, ["event_id"], ["epoch"], ["loss", "recall"], ["recall"])
+
+
+LOG_SCHEMA = "run_id bigint, epoch int, metric double, seconds double"
+
+
+@query("scan_epoch_logs", f"with {EP} select run_id, epoch, metric, seconds from ep")
+def scan_epoch_logs(spark, sf):
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows = epochs(spark, sf).select("run_id", "epoch", "metric", "seconds")
+    csv, jsonl = scratch_path(spark, "epochs-csv"), scratch_path(spark, "epochs-jsonl")
+    rows.write.option("header", True).csv(csv)
+    rows.write.json(jsonl)
+    return readers.scan_epoch_logs(spark, csv, jsonl, _parse_datatype_string(LOG_SCHEMA))
+
+
+@query("scan_training_curve", f"with {EP} select run_id::varchar run_id, epoch, case when event_id%19=0 then 'recall' else '' end bad_fields, round(value/100, 9) box_loss, round(value/1000, 9) map_50_95 from cv")
+def scan_training_curve(spark, sf):
+    v = F.col("value")
+    path = scratch_path(spark, "curve-csv")
+    rows = epochs(spark, sf).select("run_id", "epoch", (v / 100).alias("box_loss"), (v / 200).alias("cls_loss"), (v / 300).alias("dfl_loss"), (v / 600).alias("precision"),
+                                    F.when(F.col("event_id") % 19 == 0, "n/a").otherwise((v / 700).cast("string")).alias("recall"), (v / 500).alias("map_50"), (v / 1000).alias("map_50_95"), (v / 50).alias("seconds"))
+    rows.write.option("header", True).csv(path)
+    return round_cols(readers.scan_training_curve(spark, path).select("run_id", "epoch", "bad_fields", "box_loss", "map_50_95"), ["box_loss", "map_50_95"])
+
+
+POINTS = {"frozen": 0.05, "selected": 0.5, "floor": 0.01}
+STAB = f"""with recursive {fx.sql_views('gpr', 'tg', 'runs')}, {match_block('g', 'gpr', 'tg', score=0.01)}, {EP},
+    c6 as (select run_id%6%2 d, [17, 42, 137][1+run_id%6//2] s, count(*) completed_epochs, count(*) filter (event_id%230=0) nonfinite_values, 0 zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs, max(map_50_95) best_map_50_95 from cv where run_id is not null group by all),
+    th as (select * from (values ('frozen', 0.05e0), ('selected', 0.5e0), ('floor', 0.01e0)) t(point, thr)), cn as (select d, s, point, count(*) n from rk_g join th on score>=thr group by all), tc as (select d, s, point, count(*) tp from mt_g join th on score>=thr group by all),
+    pv as (select r.d, r.s, {', '.join(f"coalesce(max(n) filter (point='{p}'), 0) {p}_predictions, coalesce(max(tp) filter (point='{p}'), 0) {p}_tp" for p in POINTS)} from runs r left join cn using (d, s) left join tc using (d, s, point) group by all),
+    j as (select pv.*, completed_epochs, nonfinite_values, {CONV.format(s="'complete'")} convergence from pv join c6 on c6.d=pv.d and c6.s=pv.s),
+    op as (select *, case when convergence<>'normal_converged' then 'training_collapse_or_invalid' when frozen_predictions=0 and floor_tp>0 then 'confidence_score_degeneracy_at_frozen_threshold' when frozen_predictions>0 and frozen_tp=0 then 'detections_without_iou_qualified_match' else 'operational_detections_present' end operational from j)"""
+
+
+def stability(spark, sf):
+    k = F.col("event_id")
+    seeds = F.array(*[F.lit(x) for x in fx.SEEDS])
+    r = F.col("run_id") % 6
+    rows = curves(spark, sf).withColumns({"box_loss": F.when(k % 230 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 1), "d": (r % 2).cast("int"), "s": F.element_at(seeds, (F.floor(r / 2) + 1).cast("int"))})
+    curve = runlog.training_curve_summary(rows, ["d", "s"])
+    order = sorted(POINTS.values())
+    swept = sweep.threshold_sweep(fx.degenerate_predictions(spark, sf), fx.det_targets(spark, sf), fx.runs(spark), order)
+    at = lambda p, c: F.max(F.when(F.col("t_idx") == order.index(POINTS[p]), F.col(c)))
+    wide = swept.groupBy("d", "s").agg(*[at(p, c).alias(f"{p}_{n}") for p in POINTS for c, n in (("prediction_count", "predictions"), ("tp", "tp"))])
+    out = wide.join(curve, ["d", "s"]).withColumn("convergence", runlog.classify_convergence(F.lit("complete")))
+    return out.withColumn("operational", runlog.classify_operational(F.col("convergence"), F.col("frozen_predictions"), F.col("frozen_tp"), F.col("floor_tp")))
+
+
+@query("seed_stability_table", STAB + " select * from op")
+def seed_stability_table(spark, sf):
+    return stability(spark, sf).select("d", "s", *[f"{p}_{n}" for p in POINTS for n in ("predictions", "tp")], "completed_epochs", "nonfinite_values", "convergence", "operational")
+
+
+@query("classify_operational", STAB + " select d, s, operational from op")
+def classify_operational(spark, sf):
+    return stability(spark, sf).select("d", "s", "operational")
