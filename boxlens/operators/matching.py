@@ -37,15 +37,13 @@ def rank_detections(predictions: DataFrame, run=RUN, max_detections: int | None
     return ranked if max_detections is None else ranked.filter(F.col("rank") <= max_detections)
 
 
-def _cells(prefix: str) -> Column:
-    """Grid cells a box touches."""
+def _in_cells(boxes: DataFrame, prefix: str) -> DataFrame:
+    """One row per grid cell a box touches (cx, cy); two plain explodes stay in generated code."""
     def span(lo: str, hi: str) -> Column:
         return F.sequence(
             F.floor(F.col(prefix + lo) / CELL).cast("int"), F.floor(F.col(prefix + hi) / CELL).cast("int")
         )
-    return F.flatten(
-        F.transform(span("y1", "y2"), lambda cy: F.transform(span("x1", "x2"), lambda cx: F.struct(cx.alias("cx"), cy.alias("cy"))))
-    )
+    return boxes.withColumn(f"{prefix}cx", F.explode(span("x1", "x2"))).withColumn(f"{prefix}cy", F.explode(span("y1", "y2")))
 
 
 def overlapping_pairs(predictions: DataFrame, targets: DataFrame, run=RUN, min_iou: float = 0.0, use_label: bool = True) -> DataFrame:
@@ -56,19 +54,19 @@ def overlapping_pairs(predictions: DataFrame, targets: DataFrame, run=RUN, min_i
     boxes touch and is kept once, in the cell of the intersection's low corner.
     """
     extra = [c for c in ("rank",) if c in predictions.columns]
-    p = predictions.select(
+    p = _in_cells(predictions.select(
         *run, "image_id", "pidx", "score", *extra, F.col("label").alias("p_label"),
         *[F.col(c).cast("double").alias(f"p_{c}") for c in CORNERS],
-    ).withColumn("cell", F.explode(_cells("p_")))
-    t = targets.select(
+    ), "p_")
+    t = _in_cells(targets.select(
         F.col("image_id").alias("t_image"), "tidx", F.col("label").alias("t_label"),
         *[F.col(c).cast("double").alias(f"t_{c}") for c in CORNERS],
-    ).withColumn("t_cell", F.explode(_cells("t_")))
-    on = (F.col("image_id") == F.col("t_image")) & (F.col("cell") == F.col("t_cell"))
+    ), "t_")
+    on = (F.col("image_id") == F.col("t_image")) & (F.col("p_cx") == F.col("t_cx")) & (F.col("p_cy") == F.col("t_cy"))
     if use_label:
         on = on & (F.col("p_label") == F.col("t_label"))
-    home = (F.col("cell.cx") == F.floor(F.greatest("p_x1", "t_x1") / CELL)) & (
-        F.col("cell.cy") == F.floor(F.greatest("p_y1", "t_y1") / CELL)
+    home = (F.col("p_cx") == F.floor(F.greatest("p_x1", "t_x1") / CELL)) & (
+        F.col("p_cy") == F.floor(F.greatest("p_y1", "t_y1") / CELL)
     )
     value = iou({c: F.col(f"p_{c}") for c in CORNERS}, {c: F.col(f"t_{c}") for c in CORNERS})
     pairs = p.join(t, on & home).withColumn("iou", value)
