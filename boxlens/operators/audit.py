@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boxlens.functions.geometry import edges_from_center
 from boxlens.functions.text import parse_finite
+from boxlens.session import materialize
 
 COORDS = ("x", "y", "width", "height")
 # Patient id inside the original file name (fixed format of the source archive).
@@ -119,7 +120,8 @@ def audit_annotations(labels: DataFrame, classes: DataFrame, mapping: DataFrame,
     class_info, class_issues = class_sets(classes)
     named = labels.withColumn("exam_id", F.trim(F.coalesce("exam_id", F.lit(""))))
     rows = named.filter("exam_id <> ''")
-    exams = join_exam_sources(rows, patients, class_info, rules)
+    # the exam and row tables feed every rule below: computed once, kept durably
+    exams = materialize(join_exam_sources(rows, patients, class_info, rules), "audit-exams")
 
     values = {c: parse_finite(F.col(c)) for c in COORDS}
     checked = rows.join(exams.select("exam_id", "is_positive"), "exam_id").select(
@@ -127,7 +129,7 @@ def audit_annotations(labels: DataFrame, classes: DataFrame, mapping: DataFrame,
         reduce(lambda a, b: a | b, [F.trim(F.coalesce(c, F.lit(""))) != "" for c in COORDS]).alias("has_text"),
     )
     code = F.when(F.col("is_positive"), box_code(*[F.col(f"b_{c}") for c in COORDS], rules)).when(F.col("has_text"), "negative_with_box")
-    coded = checked.withColumn("code", code)
+    coded = materialize(checked.withColumn("code", code), "audit-rows")
     fit = coded.filter(F.col("is_positive") & F.col("code").isNull())
     keys = ["exam_id", *[f"b_{c}" for c in COORDS]]
     kept = fit.groupBy(*keys).agg(F.min("row_number").alias("first_row"))
