@@ -25,17 +25,27 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-boxlens-"))
         .getOrCreate()
     )
 
 
+_local_root: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set."""
+    """Shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may do without the setting: its executors
+    share the driver's disk, so one temporary folder serves them all.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-boxlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_root.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-boxlens-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
