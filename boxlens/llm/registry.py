@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import bpe, decontaminate, oracles, quality, simhash
+from boxlens.llm import bpe, decontaminate, oracles, pii, quality, simhash
 from boxlens.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.summary(pii.find(docs, pii.learn(docs))).withColumnRenamed("id", "doc_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.drop("ids").withColumnRenamed("id", "doc_id")
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op5_quality": op5_quality,
+        "op6_pii": op6_pii,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_simhash": op10_simhash,
     }
