@@ -26,3 +26,16 @@ select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_
        coalesce(n_hit, 0) > 0 contaminated,
        coalesce(n_near, 0) n_near
 from d left join word using (r) left join item using (r) left join near using (r)"""
+
+
+CHAT = r"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (select *, '<turn:' || replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') || '>'
+             || replace(replace(text, '\', '\b'), '<', '\l') || '</turn>' formatted from c)
+select conv_id, count(*) n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, formatted)) turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, formatted), '')) loss_sha256,
+       cast(sum(length(formatted)) as bigint) formatted_chars
+from t group by conv_id"""

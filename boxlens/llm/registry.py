@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import bpe, decontaminate, oracles, pii, quality, simhash
+from boxlens.llm import bpe, chat, decontaminate, oracles, pii, quality, simhash
 from boxlens.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(found).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
+    nodes, members = chat.prefix_tree(rows.union(extra))
+    return chat.digests(chat.read_back(nodes, members)).withColumnRenamed("conv", "conv_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -42,6 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_pii": op6_pii,
         "op7_byte_bpe": op7_byte_bpe,
@@ -52,4 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": oracles.DECONTAMINATE,
+        "op4_chat": oracles.CHAT,
     }
