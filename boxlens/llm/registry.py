@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import bpe, chat, decontaminate, oracles, pii, quality, simhash
+from boxlens.llm import bpe, chat, decontaminate, fingerprint, oracles, pii, quality, simhash
 from boxlens.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_pii": op6_pii,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_fingerprint": op8_fingerprint,
         "op10_simhash": op10_simhash,
     }
 
