@@ -39,3 +39,51 @@ select conv_id, count(*) n_turns,
        sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, formatted), '')) loss_sha256,
        cast(sum(length(formatted)) as bigint) formatted_chars
 from t group by conv_id"""
+
+
+LICENSES = r"""
+with known(license, text) as (values {values}),
+{folds},
+k as (select sha256({respelled}) digest, min(license) license from known_folded where folded <> '' group by 1),
+hit as (select u.r, u.whole, k.license from (select r, whole, sha256({respelled}) digest from unit_folded) u join k using (digest))
+select d.doc_id, max(license) filter (whole) license, count(license) filter (not whole) n_notices,
+       coalesce(string_agg(distinct license, ',' order by license) filter (not whole), '') notices
+from d left join hit using (r) group by r, d.doc_id"""
+
+_FOLD_SQL = """
+known_folded as (select license, {known} folded from known),
+d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
+unit as (select r, true whole, text from d union all select r, false, unnest(string_split(text, chr(10))) from d),
+unit_folded as (select r, whole, {unit} folded from unit)"""
+
+
+def licenses() -> str:
+    from boxlens.llm import licenses as L
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    folded = lambda c: (f"trim(regexp_replace(regexp_replace(lower({c}), {quote(L.COPYRIGHT_LINE)}, ' ', 'g'), {quote(L.APART)}, ' ', 'g'), ' ')")
+    text = "' ' || replace(folded, ' ', '  ') || ' '"
+    for old, new in L.SPELLINGS:
+        text = f"replace({text}, {quote(' ' + old.replace(' ', '  ') + ' ')}, {quote(' ' + new.replace(' ', '  ') + ' ')})"
+    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in L.KNOWN)
+    return LICENSES.format(values=values, folds=_FOLD_SQL.format(known=folded("text"), unit=folded("text")).strip(), respelled=f"trim(replace({text}, '  ', ' '), ' ')")
+
+
+URLS = r"""
+with u as (select page_id, url, cast(date '2024-01-01' + cast(page_id * 37 % 61 as int) as date) day,
+                  regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''),
+                                 '^(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.$', ''), '^www\.', '') host,
+                  coalesce(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)', 1), ''), '/') path from pages),
+e as (select 'list' || event_id % 5 list, event_id seq, event_id % 4 <> 0 active, cast(date '2024-01-01' + cast(event_id * 7 % 53 as int) as date) day,
+             case event_id % 3 when 0 then regexp_replace(host, '^[^.]*\.', '') when 1 then host else host || '/' || split_part(path, '/', 2) || '/' end pattern
+      from events join u on user_id = page_id),
+daily as (select list, pattern, day, arg_max(active, seq) active from e group by all),
+span as (select list, pattern, active, day since, coalesce(lead(day) over (partition by list, pattern order by day), date '9999-01-01') until from daily),
+p as (select page_id, unnest(list_distinct(list_concat(
+             list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, 99), '.')),
+             list_transform(range(2, len(string_split(path, '/'))), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/')))) pattern
+      from u where host <> ''),
+hit as (select page_id, list, p.pattern from p join u using (page_id) join span s on s.pattern = p.pattern and active and since <= u.day and u.day < until)
+select page_id, any_value(day) as day, any_value(host) host, count(list) n_matches, coalesce(string_agg(distinct list, ',' order by list), '') lists,
+       coalesce(string_agg(distinct pattern, ',' order by pattern), '') patterns, count(list) > 0 blocked
+from u left join hit using (page_id) group by page_id"""

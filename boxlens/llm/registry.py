@@ -8,17 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import bpe, chat, decontaminate, fingerprint, oracles, pii, quality, simhash
+from boxlens.llm import bpe, chat, chunks, decontaminate, fingerprint, licenses, oracles, pii, quality, simhash, urls
 from boxlens.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.summary(found).withColumnRenamed("id", "doc_id")
 
 
+def op3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.deduplicate(read(spark, sf_dir, "documents"))
+    chars = lambda spans: F.aggregate(spans, F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "text", "shared", "removed", chars("shared").alias("n_shared"), chars("removed").alias("n_removed"),
+        (F.size("shared") > 0).alias("repeats"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -46,6 +58,28 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def url_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures and list entries: each page is fetched on a day set by its id, each event changes a list.
+
+    An event names the page with its user's number: its host, the parent domain of a third
+    of them, or the host with the first step of the path; one in four takes the pattern off.
+    """
+    pages, events = read(spark, sf_dir, "pages"), read(spark, sf_dir, "events")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 61).cast("int")).alias("day"))
+    host = urls.host_of(F.col("url"))
+    pattern = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(host, r"^[^.]*\.", "")).when(F.col("event_id") % 3 == 1, host).otherwise(
+        F.concat(host, F.lit("/"), F.split_part(urls.path_of(F.col("url")), F.lit("/"), F.lit(2)), F.lit("/")))
+    entries = events.join(pages, F.col("user_id") == F.col("page_id")).select(
+        F.concat(F.lit("list"), (F.col("event_id") % 5).cast("string")).alias("list"), pattern.alias("pattern"), (F.col("event_id") % 4 != 0).alias("active"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") * 7 % 53).cast("int")).alias("day"), F.col("event_id").alias("seq"))
+    return captures, entries
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = url_entries(spark, sf_dir)
+    return urls.evaluate(captures, urls.intervals(entries)).withColumnRenamed("id", "page_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -54,18 +88,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_decontaminate": op2_decontaminate,
+        "op3_chunks": op3_chunks,
         "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_pii": op6_pii,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_fingerprint": op8_fingerprint,
+        "op9_urls": op9_urls,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_licenses": oracles.licenses(),
         "op2_decontaminate": oracles.DECONTAMINATE,
         "op4_chat": oracles.CHAT,
+        "op9_urls": oracles.URLS,
     }
