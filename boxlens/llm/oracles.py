@@ -70,11 +70,11 @@ def licenses() -> str:
 
 
 URLS = r"""
-with u as (select page_id, url, cast(date '2024-01-01' + cast(page_id * 37 % 61 as int) as date) day,
+with u as (select page_id, url, cast(date '2024-01-01' + cast(page_id * 37 % 61 as int) as date) as day,
                   regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''),
                                  '^(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.$', ''), '^www\.', '') host,
                   coalesce(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)', 1), ''), '/') path from pages),
-e as (select 'list' || event_id % 5 list, event_id seq, event_id % 4 <> 0 active, cast(date '2024-01-01' + cast(event_id * 7 % 53 as int) as date) day,
+e as (select 'list' || event_id % 5 list, event_id seq, event_id % 4 <> 0 active, cast(date '2024-01-01' + cast(event_id * 7 % 53 as int) as date) as day,
              case event_id % 3 when 0 then regexp_replace(host, '^[^.]*\.', '') when 1 then host else host || '/' || split_part(path, '/', 2) || '/' end pattern
       from events join u on user_id = page_id),
 daily as (select list, pattern, day, arg_max(active, seq) active from e group by all),
@@ -84,6 +84,6 @@ p as (select page_id, unnest(list_distinct(list_concat(
              list_transform(range(2, len(string_split(path, '/'))), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/')))) pattern
       from u where host <> ''),
 hit as (select page_id, list, p.pattern from p join u using (page_id) join span s on s.pattern = p.pattern and active and since <= u.day and u.day < until)
-select page_id, any_value(day) as day, any_value(host) host, count(list) n_matches, coalesce(string_agg(distinct list, ',' order by list), '') lists,
+select page_id, cast(any_value(day) as varchar) as day, any_value(host) host, count(list) n_matches, coalesce(string_agg(distinct list, ',' order by list), '') lists,
        coalesce(string_agg(distinct pattern, ',' order by pattern), '') patterns, count(list) > 0 blocked
 from u left join hit using (page_id) group by page_id"""

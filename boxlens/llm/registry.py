@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from boxlens.llm import bpe, chat, chunks, decontaminate, fingerprint, licenses, oracles, pii, quality, simhash, urls
 from boxlens.llm.common import read
 
@@ -77,7 +78,7 @@ def url_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = url_entries(spark, sf_dir)
-    return urls.evaluate(captures, urls.intervals(entries)).withColumnRenamed("id", "page_id")
+    return urls.evaluate(captures, urls.intervals(entries)).withColumn("day", F.col("day").cast("string")).withColumnRenamed("id", "page_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +99,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": op8_fingerprint,
         "op9_urls": op9_urls,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {
         "op1_licenses": oracles.licenses(),
         "op2_decontaminate": oracles.DECONTAMINATE,
         "op4_chat": oracles.CHAT,
