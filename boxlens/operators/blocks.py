@@ -56,6 +56,17 @@ def running_totals(blocks: DataFrame, keys: list[str], order: Order, sums: dict[
     return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in sums}).drop(*helper)
 
 
+def running_maximum(blocks: DataFrame, keys: list[str], order: Order, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """Largest non-null value up to each row (or before it) in global order, as columns named by ``values``."""
+    totals = blocks.groupBy(*keys, "block").agg(*[F.max(c).alias(f"_t_{n}") for n, c in values.items()])
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "block", *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "block").orderBy(*columns(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = blocks.select("*", *[F.max(c).over(inside).alias(f"_l_{n}") for n, c in values.items()])
+    joined = local.join(before, [*keys, "block"])
+    return joined.withColumns({n: F.greatest(f"_l_{n}", f"_o_{n}") for n in values}).drop(*[f"_{p}_{n}" for p in "lo" for n in values])
+
+
 def suffix_maximum(blocks: DataFrame, keys: list[str], order: Order, value: str, out: str) -> DataFrame:
     """Largest ``value`` at or after each row in global order."""
     totals = blocks.groupBy(*keys, "block").agg(F.max(value).alias("_m"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.operators.blocks import exact_percentiles
+from boxlens.operators.blocks import exact_percentiles, range_blocks, running_maximum, running_totals
 from boxlens.functions.ratios import finite_or_null
+from boxlens.session import materialize
 
 LOSSES = ("box_loss", "cls_loss", "dfl_loss")
 CURVE = (*LOSSES, "map_50", "map_50_95")
@@ -67,53 +64,41 @@ def epoch_time_projection(epochs: DataFrame, keys: list[str], minimum: int, maxi
         *[project(n, "steady_seconds").alias(f"scenario_{n}") for n in scenarios])
 
 
-@dataclass
-class Stopper:
-    """Best metric and patience reference of one run; five scalars of state."""
-
-    patience: int
-    min_delta: float
-    min_epochs: int
-    best: float | None = None
-    best_epoch: int | None = None
-    reference: float | None = None
-    stale: int = 0
-
-    def observe(self, epoch: int, metric: float) -> tuple[bool, bool, int, bool, int]:
-        new_best = self.best is None or metric > self.best
-        if new_best:
-            self.best, self.best_epoch = metric, epoch
-        gained = self.reference is None or metric > self.reference + self.min_delta
-        if gained:
-            self.reference, self.stale = metric, 0
-        else:
-            self.stale += 1
-        return new_best, gained, self.stale, epoch >= self.min_epochs and self.stale >= self.patience, self.best_epoch
+STOP_FIELDS = "is_new_best boolean, is_significant boolean, epochs_without_improvement int, should_stop boolean, best_epoch int"
 
 
-STOP_FIELDS = "is_new_best boolean, is_significant boolean, epochs_without_improvement int, should_stop boolean, best_epoch int"
+def _significant(records: Column, min_delta: float) -> Column:
+    """Epochs of the (epoch, metric) records that beat the last such epoch by more than ``min_delta``."""
+    step = lambda kept, r: F.when(
+        (F.size(kept) == 0) | (r["metric"] > F.element_at(kept, -1)["metric"] + min_delta), F.concat(kept, F.array(r))).otherwise(kept)
+    kept = F.aggregate(records, F.slice(records, 1, 0), step)
+    return F.transform(kept, lambda r: r["epoch"])
 
 
 def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epochs: int, key: str = "run_id") -> DataFrame:
-    """Patience state after every epoch of every run.
+    """Patience state after every epoch of every run; epochs of a run are distinct.
 
-    The rule depends on the previous epoch, so a run is walked in order; rows
-    stream through sorted partitions and only the five scalars are held.
+    The best metric is a running maximum over range blocks, so a long run is spread. The
+    metric that patience refers to can only move at an epoch that raises the maximum: all
+    others lie within ``min_delta`` of it. So only those epochs, few in any run, are
+    folded in order, and the epochs without improvement are a distance to the last move.
     """
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, state = None, None
-        for part in parts:
-            out = []
-            for r, e, m in part.itertuples(index=False):
-                if r != run:
-                    run, state = r, Stopper(patience, min_delta, min_epochs)
-                out.append((r, e, m, *state.observe(int(e), float(m))))
-            yield pd.DataFrame(out, columns=names)
-
+    order = [("epoch", True)]
     rows = epochs.select(key, F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric"))
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, epoch int, metric double, {STOP_FIELDS}"
-    names = [part.split()[0] for part in schema.split(", ")]
-    return rows.repartition(key).sortWithinPartitions(key, "epoch").mapInPandas(walk, schema)
+    blocks = range_blocks(rows, [(key, True), *order], "epochs")
+    raised = running_maximum(blocks, [key], order, {"before": F.col("metric")}, inclusive=False)
+    is_best = F.coalesce(F.col("metric") > F.col("before"), F.col("metric").isNotNull())
+    raised = materialize(raised.withColumn("is_new_best", is_best).drop("before"), "raised")
+    records = raised.filter("is_new_best").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("epoch", "metric"))).alias("records"))
+    moves = records.select(key, F.explode(_significant(F.col("records"), min_delta)).alias("epoch")).withColumn("is_significant", F.lit(True))
+    marked = materialize(raised.join(moves, [key, "epoch"], "left").fillna(False, ["is_significant"]), "marked")
+    placed = running_totals(marked, [key], order, {"place": F.lit(1).cast("bigint")})
+    last = running_maximum(placed, [key], order, {
+        "moved": F.when(F.col("is_significant"), F.col("place")), "best_epoch": F.when(F.col("is_new_best"), F.col("epoch"))})
+    stale = (F.col("place") - F.coalesce("moved", F.lit(0))).cast("int")
+    return last.select(
+        key, "epoch", "metric", "is_new_best", "is_significant", stale.alias("epochs_without_improvement"),
+        ((F.col("epoch") >= min_epochs) & (stale >= patience)).alias("should_stop"), "best_epoch")
 
 
 def classify_epoch_records(rows: DataFrame, key: str = "run_id") -> DataFrame:

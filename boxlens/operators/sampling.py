@@ -7,17 +7,16 @@ histogram, both small by nature, reach the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxlens.functions.hashing import order_key, sha_hex
 from boxlens.operators.audit import union_all
 from boxlens.operators.blocks import range_blocks, running_totals
-from boxlens.session import small
-
-FILL_LIMIT = 100_000
+from boxlens.session import materialize, small
 
 
 def largest_remainder(counts: DataFrame, size: int, name: str = "stratum", count: str = "n") -> DataFrame:
@@ -30,15 +29,11 @@ def largest_remainder(counts: DataFrame, size: int, name: str = "stratum", count
     return staged.withColumn("rank", rank).withColumn("allocated", F.col("base") + F.when(F.col("rank") <= left, 1).otherwise(0)).select(name, count, "allocated")
 
 
-def exact_counts(total: int, ratios: dict[str, float]) -> dict[str, int]:
-    """Ratios to integer counts; remainders go to the largest fraction, then list order."""
-    raw = {k: total * v for k, v in ratios.items()}
-    counts = {k: math.floor(v) for k, v in raw.items()}
-    names = list(ratios)
-    by_fraction = sorted(names, key=lambda k: (-(raw[k] - counts[k]), names.index(k)))
-    for k in by_fraction[: total - sum(counts.values())]:
-        counts[k] += 1
-    return counts
+def exact_counts(spark: SparkSession, total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Ratios to integer counts by largest remainder; ties go by list position."""
+    listed = spark.createDataFrame(list(enumerate(ratios.values())), "position int, share double")
+    rows = largest_remainder(listed, total, "position", "share").collect()  # one row per split
+    return {name: next(r["allocated"] for r in rows if r["position"] == i) for i, name in enumerate(ratios)}
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
@@ -90,7 +85,8 @@ def stable_hash_order(groups: DataFrame, seed: int, stage: str, key: str = "pati
 def patient_groups(images: DataFrame, strata: list[str], group: str = "patient_group", stratum: str = "stratum") -> DataFrame:
     """Size, stratum counts and dominant stratum (ties: configured order) per group."""
     counts = images.groupBy(group, stratum).agg(F.count("*").alias("n"))
-    position = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col(stratum))
+    place = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col(stratum))
+    position = F.when(place == 0, len(strata) + 1).otherwise(place)  # a stratum that is not listed comes last
     entry = F.struct(F.col(stratum), F.col("n"))
     return counts.groupBy(group).agg(
         F.sum("n").alias("size"), F.max_by(stratum, F.struct(F.col("n"), -position)).alias("dominant"),
@@ -98,56 +94,70 @@ def patient_groups(images: DataFrame, strata: list[str], group: str = "patient_g
     )
 
 
-def _fill(histogram: dict[int, int], missing: int) -> tuple[dict[int, int], int]:
-    """Numbers of groups per size adding up to ``missing``, or the most below it."""
-    take: dict[int, int] = {}
-    free = dict(histogram)
-    for size in sorted(free, reverse=True):
-        n = min(free[size], max(0, missing - FILL_LIMIT) // size)
-        take[size], free[size], missing = n, free[size] - n, missing - n * size
-    # bounded change-making over the histogram: reach[t] = (size, previous total)
-    reach: dict[int, tuple[int, int] | None] = {0: None}
-    for size in sorted(free):
-        used = {t: 0 for t in reach}
-        for total in range(size, missing + 1):
-            if total not in reach and total - size in reach and used.get(total - size, 0) < free[size]:
-                reach[total] = (size, total - size)
-                used[total] = used.get(total - size, 0) + 1
-    total = missing if missing in reach else max(reach)
-    rest = missing - total
-    while reach[total] is not None:
-        size, total = reach[total]
-        take[size] = take.get(size, 0) + 1
-    return {s: n for s, n in take.items() if n}, rest
+def _reachable(size: list[int], count: list[int], goal: int) -> tuple[int, list[int]]:
+    """Largest sum up to ``goal`` of at most count[i] pieces of size[i], and the sums (as bits) reachable before each size."""
+    below = (1 << (goal + 1)) - 1
+    seen, before = 1, []
+    for z, n in zip(size, count, strict=True):
+        before.append(seen)
+        step = 1
+        while n > 0:  # binary splitting: any number of pieces up to n
+            k = min(step, n)
+            seen |= (seen << (k * z)) & below
+            n, step = n - k, 2 * step
+    return seen.bit_length() - 1, before
+
+
+def choose_counts(histogram: dict[tuple[str, int], int], target: int) -> tuple[dict[tuple[str, int], int], int]:
+    """Numbers of groups per (stratum, size) that hold ``target`` images, and how many images are missing to it.
+
+    Starts from each cell's share, rounded down, and changes it as little as an exact sum
+    asks for. Changes are bounded: a solution at least distance from the start needs no
+    more than rest + 2 * largest size + 1 of them, or a part of them would cancel out. So
+    the search is exact, and its width depends on the sizes and not on the number of groups.
+    """
+    total = sum(size * n for (_, size), n in histogram.items())
+    take = {cell: n * min(target, total) // total for cell, n in histogram.items()}
+    unit = math.gcd(*(size for _, size in histogram))
+    sizes = sorted({size for _, size in histogram}, reverse=True)
+    held = sum(size * n for (_, size), n in take.items())
+    rest = (min(target, total) - held) // unit
+    most = rest + 2 * sizes[0] // unit + 1
+    back = [min(most, sum(take[c] for c in take if c[1] == z)) for z in sizes]
+    free = [min(most, sum(histogram[c] - take[c] for c in take if c[1] == z)) for z in sizes]
+    small = [z // unit for z in sizes]
+    # all that may go back is put back first; then the sum is made from pieces alone
+    goal = rest + sum(z * n for z, n in zip(small, back, strict=True))
+    reached, before = _reachable(small, [a + b for a, b in zip(back, free, strict=True)], goal)
+    left = reached
+    for i in reversed(range(len(sizes))):
+        options = (k for k in range(back[i] + free[i] + 1) if left >= k * small[i] and before[i] >> (left - k * small[i]) & 1)
+        k = min(options, key=lambda k: abs(k - back[i]))
+        left -= k * small[i]
+        # the stratum furthest below (above) its share gives (gets back) a group first
+        cells = [c for c in take if c[1] == sizes[i]]
+        lack = lambda c: histogram[c] * target / total - take[c]
+        for _ in range(abs(k - back[i])):
+            if k > back[i]:
+                take[max((c for c in cells if take[c] < histogram[c]), key=lambda c: (lack(c), c))] += 1
+            else:
+                take[min((c for c in cells if take[c] > 0), key=lambda c: (lack(c), c))] -= 1
+    return take, target - sum(size * n for (_, size), n in take.items())
 
 
 def select_groups(groups: DataFrame, target: int, seed: int, stage: str, exact: bool, group: str = "patient_group") -> DataFrame:
-    """Whole groups adding up to ``target`` images with the overall stratum mix.
+    """Whole groups adding up to ``target`` images, or the most below it, with the overall stratum mix.
 
-    Per dominant stratum: groups in hash order while the running size fits its
-    quota. The images still missing are filled by group size from the histogram
-    of the remaining groups.
+    Only the histogram of (dominant stratum, group size) reaches the driver; inside a cell
+    groups are taken in hash order.
     """
-    by_stratum = groups.groupBy("dominant").agg(F.sum("size").alias("n"))
-    quotas = largest_remainder(by_stratum, target, "dominant").select("dominant", "allocated")
-    keyed = stable_hash_order(groups, seed, stage, group).join(small(quotas), "dominant").filter(F.col("size") <= F.col("allocated"))
-    spec = [("order_key", True), (group, True)]
-    blocks = range_blocks(keyed, [("dominant", True), *spec], "groups")
-    filled = running_totals(blocks, ["dominant"], spec, {"running": F.col("size")})
-    main = filled.filter(F.col("running") <= F.col("allocated")).select(*groups.columns)
-    missing = target - (main.agg(F.sum("size")).first()[0] or 0)
-    if missing <= 0:
-        return main
-    rest = groups.join(main.select(group), group, "left_anti").filter(F.col("size") <= missing)
-    histogram = {r["size"]: r["n"] for r in rest.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    take, short = _fill(histogram, missing)
+    cells = {(r["dominant"], r["size"]): r["n"] for r in groups.groupBy("dominant", "size").agg(F.count("*").alias("n")).collect()}
+    take, short = choose_counts(cells, target) if cells else ({}, target)
     if short and exact:
         raise ValueError(f"groups cannot satisfy the exact image count {target}: {short} short")
-    if not take:
-        return main
-    wanted = F.create_map(*[F.lit(x).cast("bigint") for pair in take.items() for x in pair])
-    extra = ranked(stable_hash_order(rest, seed, f"{stage}:fill", group), ["size"], ["order_key", group])
-    return main.unionByName(extra.filter(F.col("position") <= F.coalesce(F.element_at(wanted, F.col("size")), F.lit(0))).select(*groups.columns))
+    wanted = groups.sparkSession.createDataFrame([(s, z, n) for (s, z), n in take.items()], "dominant string, size bigint, wanted bigint")
+    spread = ranked(stable_hash_order(groups, seed, stage, group), ["dominant", "size"], ["order_key", group])
+    return spread.join(small(wanted), ["dominant", "size"]).filter(F.col("position") <= F.col("wanted")).select(*groups.columns)
 
 
 def group_subsample(images: DataFrame, strata: list[str], max_images: int, seed: int, group: str = "patient_group") -> DataFrame:
@@ -159,19 +169,28 @@ def group_subsample(images: DataFrame, strata: list[str], max_images: int, seed:
 
 
 def group_split(images: DataFrame, strata: list[str], ratios: dict[str, float], seed: int, group: str = "patient_group") -> DataFrame:
-    """Images with a ``split``: exact counts, whole groups; the last split takes the remainder."""
-    from boxlens.session import materialize
-
-    targets = exact_counts(images.count(), ratios)
-    left = materialize(patient_groups(images, strata, group), "groups")
-    parts = []
-    names = list(targets)
-    for name in names[:-1]:
+    """Images with a ``split``: exact counts, whole groups; one split takes the remainder.
+
+    Splits are filled one after the other in list order; if a later one finds no exact
+    sum, other orders are tried before it fails.
+    """
+    targets = exact_counts(images.sparkSession, images.count(), ratios)
+    groups = materialize(patient_groups(images, strata, group), "groups")
+    for order in itertools.permutations(targets):
+        try:
+            return images.join(_split_in_order(groups, targets, order, seed, group), group)
+        except ValueError as failure:
+            problem = failure
+    raise problem
+
+
+def _split_in_order(groups: DataFrame, targets: dict[str, int], order: tuple[str, ...], seed: int, group: str) -> DataFrame:
+    left, parts = groups, []
+    for name in order[:-1]:
         chosen = materialize(select_groups(left, targets[name], seed, f"split:{name}", True, group), f"split-{name}")
         parts.append(chosen.select(group, F.lit(name).alias("split")))
         left = left.join(chosen.select(group), group, "left_anti")
-    parts.append(left.select(group, F.lit(names[-1]).alias("split")))
-    return images.join(union_all(parts), group)
+    return union_all([*parts, left.select(group, F.lit(order[-1]).alias("split"))])
 
 
 def split_summary(images: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ COUNTS = ("target_count", "tp", "fp", "fn", "iou_sum", "dice_sum")
 # Detections of both detectors in one order: equal scores list detector A first.
 PAIR_ORDER = [("score", False), ("d", True), ("image_id", True), ("rank", True)]
 OBSERVED = -1
-UNDEFINED_REASON = "The conditional metric is undefined for at least one detector."
+UNDEFINED_REASON = "undefined_metric"
 
 
 def join_patient_cluster(images: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boxlens.operators.runlog import STOP_FIELDS, Stopper, classify_epoch_records
+from boxlens.operators.runlog import STOP_FIELDS, classify_epoch_records
 
 EPOCH_SCHEMA = "run_id bigint, epoch int, metric double, seconds double, arrival bigint"
 
@@ -37,19 +38,44 @@ def ingest_epochs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def patience_states(epoch: np.ndarray, metric: np.ndarray, carry: tuple | None, patience: int, min_delta: float, min_epochs: int):
+    """Columns of ``STOP_FIELDS`` for epochs in order, and the carry (best, its epoch, reference, stale) after them.
+
+    As in the batch operator: a running maximum finds the best epochs, only they can move
+    the reference, and staleness is the distance to the last move.
+    """
+    best, best_epoch, reference, stale = carry or (-np.inf, -1, -np.inf, 0)
+    top = np.maximum.accumulate(np.r_[best, metric])
+    is_best = metric > top[:-1]
+    moved = np.zeros(len(metric), bool)
+    for i in np.flatnonzero(is_best):
+        if metric[i] > reference + min_delta:
+            moved[i], reference = True, float(metric[i])
+    at = np.arange(len(metric))
+    last_move = np.maximum.accumulate(np.where(moved, at, -1 - stale))
+    waited = at - last_move
+    last_best = np.maximum.accumulate(np.where(is_best, at, -1))
+    best_at = np.where(last_best >= 0, epoch[np.maximum(last_best, 0)], best_epoch)
+    columns = (is_best, moved, waited.astype(np.int32), (epoch >= min_epochs) & (waited >= patience), best_at.astype(np.int32))
+    return columns, (float(top[-1]), int(best_at[-1]), reference, int(waited[-1]))
+
+
 def early_stopping_stream(stream: DataFrame, patience: int, min_delta: float, min_epochs: int) -> DataFrame:
-    """Patience state per run across micro-batches; five scalars per run, no timeout."""
-    state_schema = "best double, best_epoch int, reference double, stale int"
+    """Patience state per run across micro-batches; four scalars per run, no timeout.
 
+    A run's rows of one micro-batch are sorted together, so a micro-batch bounds memory.
+    """
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Stopper(patience, min_delta, min_epochs, *(state.get if state.exists else (None, None, None, 0)))
         rows = pd.concat(list(parts)).sort_values("epoch")
-        out = [(key[0], int(e), float(m), *s.observe(int(e), float(m))) for e, m in zip(rows["epoch"], rows["metric"])]
-        state.update((s.best, s.best_epoch, s.reference, s.stale))
-        yield pd.DataFrame(out, columns=["run_id", "epoch", "metric", "is_new_best", "is_significant", "epochs_without_improvement", "should_stop", "best_epoch"])
+        carry = state.get if state.exists else None
+        columns, carry = patience_states(rows["epoch"].to_numpy(), rows["metric"].to_numpy(float), carry, patience, min_delta, min_epochs)
+        state.update(carry)
+        names = [field.split()[0] for field in STOP_FIELDS.split(", ")]
+        yield pd.DataFrame({"run_id": key[0], "epoch": rows["epoch"].to_numpy(), "metric": rows["metric"].to_numpy(float), **dict(zip(names, columns, strict=True))})
 
     return stream.groupBy("run_id").applyInPandasWithState(
-        update, f"run_id bigint, epoch int, metric double, {STOP_FIELDS}", state_schema, "append", GroupStateTimeout.NoTimeout)
+        update, f"run_id bigint, epoch int, metric double, {STOP_FIELDS}", "best double, best_epoch int, reference double, stale int", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from boxlens.functions.grids import IOU_LEVELS, RECALL_POINTS, points_reached
 from boxlens.functions.text import general_6g
 from boxlens.operators import ap, blocks, comparison, matching, sampling, stats, sweep
-from boxlens.operators.runlog import Stopper
 
 PRED = "d int, s int, image_id bigint, pidx bigint, label bigint, score double, x1 double, y1 double, x2 double, y2 double"
 TGT = "image_id bigint, tidx bigint, label bigint, x1 double, y1 double, x2 double, y2 double"
@@ -127,14 +126,40 @@ def test_largest_remainder_golden(spark):
     assert {r.stratum: r.allocated for r in sampling.largest_remainder(df, 300).collect()} == {"a": 68, "b": 132, "c": 100}
 
 
-def test_exact_counts_golden():
-    assert sampling.exact_counts(5000, {"train": 0.7, "validation": 0.15, "test": 0.15}) == {"train": 3500, "validation": 750, "test": 750}
+def test_exact_counts_golden(spark):
+    assert sampling.exact_counts(spark, 5000, {"train": 0.7, "validation": 0.15, "test": 0.15}) == {"train": 3500, "validation": 750, "test": 750}
+    assert sampling.exact_counts(spark, 2, {"b": 1 / 3, "a": 1 / 3, "c": 1 / 3}) == {"b": 1, "a": 1, "c": 0}
 
 
-def test_fill_uses_each_group_once():
-    take, rest = sampling._fill({5: 2, 3: 1}, 13)
-    assert rest == 0 and take == {5: 2, 3: 1}
-    assert sampling._fill({4: 3}, 10)[1] == 2
+def test_choose_counts_is_exact():
+    import itertools
+    import random
+
+    assert sampling.choose_counts({("s", 60000): 2, ("s", 50000): 4}, 200000) == ({("s", 60000): 0, ("s", 50000): 4}, 0)
+    assert sampling.choose_counts({("s", 5): 2, ("s", 4): 2, ("s", 2): 1}, 10)[1] == 0
+    assert sampling.choose_counts({("s", 4): 3}, 10)[1] == 2
+    rng = random.Random(0)
+    for _ in range(300):
+        cells = {(rng.choice("ab"), rng.randrange(1, 9)): rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))}
+        total = sum(z * n for (_, z), n in cells.items())
+        target = rng.randrange(total + 1)
+        take, short = sampling.choose_counts(cells, target)
+        sums = {sum(z * k for (_, z), k in zip(cells, pick)) for pick in itertools.product(*(range(n + 1) for n in cells.values()))}
+        assert all(0 <= take[c] <= n for c, n in cells.items())
+        assert sum(z * k for (_, z), k in take.items()) == target - short == max(x for x in sums if x <= target)
+    # a large table: shares stay close to the mix
+    cells = {(s, z): 1000 * (1 + i) for i, s in enumerate("abc") for z in range(1, 25)}
+    total = sum(z * n for (_, z), n in cells.items())
+    take, short = sampling.choose_counts(cells, total // 3)
+    share = {s: sum(z * n for (x, z), n in take.items() if x == s) / sum(z * n for (x, z), n in cells.items() if x == s) for s in "abc"}
+    assert short == 0 and all(abs(v - 1 / 3) < 0.001 for v in share.values())
+
+
+def test_group_split_exchanges_groups(spark):
+    rows = [(f"g{i}", f"{i}-{j}", "a", True, 1) for i, n in enumerate([5, 5, 4, 4, 2]) for j in range(n)]
+    images = spark.createDataFrame(rows, "patient_group string, image_id string, stratum string, is_positive boolean, box_count int")
+    out = sampling.group_split(images, ["a"], {"x": 0.5, "y": 0.5}, 3)
+    assert {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"x": 10, "y": 10}
 
 
 def test_split_with_one_huge_group(spark):
@@ -174,7 +199,37 @@ def test_dominance_needs_every_seed(spark):
     assert got == {"a": 0, "b": None, "c": None, "d": None}
 
 
-def test_stopper_small_gains_do_not_reset_patience():
-    s = Stopper(2, 0.1, 1)
-    seen = [s.observe(e, m) for e, m in enumerate([0.5, 0.55, 0.58, 0.9], 1)]
-    assert [x[0] for x in seen] == [True] * 4 and [x[2] for x in seen] == [0, 1, 2, 0] and seen[2][3]
+def slow_patience(metrics, patience, min_delta, min_epochs):
+    """From the whole history at every epoch."""
+    out = []
+    for i in range(len(metrics)):
+        seen = metrics[: i + 1]
+        moves = [0]
+        for j, m in enumerate(seen):
+            if m > seen[moves[-1]] + min_delta:
+                moves.append(j)
+        wait = i - moves[-1]
+        out.append((seen.index(max(seen)) == i, moves[-1] == i, wait, i + 1 >= min_epochs and wait >= patience, seen.index(max(seen)) + 1))
+    return out
+
+
+def test_early_stopping_matches_the_history(spark):
+    import random
+
+    import numpy as np
+    from boxlens.operators.runlog import early_stopping
+    from boxlens.streaming.logs import patience_states
+
+    rng = random.Random(8)
+    runs = {r: [round(rng.random(), 1 + r % 2) for _ in range(rng.randrange(1, 40))] for r in range(25)}
+    rows = [(r, e + 1, m) for r, ms in runs.items() for e, m in enumerate(ms)]
+    got = early_stopping(spark.createDataFrame(rows, "run_id bigint, epoch int, metric double"), 3, 0.05, 2).orderBy("run_id", "epoch").collect()
+    want = [(r, e + 1, *row) for r, ms in runs.items() for e, row in enumerate(slow_patience(ms, 3, 0.05, 2))]
+    assert [(g.run_id, g.epoch, g.is_new_best, g.is_significant, g.epochs_without_improvement, g.should_stop, g.best_epoch) for g in got] == want
+    for r, ms in runs.items():
+        cut, carry, parts = rng.randrange(len(ms) + 1), None, []
+        for lo, hi in ((0, cut), (cut, len(ms))):
+            if hi > lo:
+                columns, carry = patience_states(np.arange(lo + 1, hi + 1), np.array(ms[lo:hi]), carry, 3, 0.05, 2)
+                parts += list(zip(*(c.tolist() for c in columns)))
+        assert parts == slow_patience(ms, 3, 0.05, 2)
