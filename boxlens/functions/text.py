@@ -27,7 +27,12 @@ def ten_decimals(label: Column, *values: Column) -> Column:
     return F.format_string("%d" + " %.10f" * len(values), label, *[F.bround(v, 10) for v in values])
 
 
+def strip(text: Column) -> Column:
+    """Text without blanks, tabs and line breaks at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def parse_finite(text: Column) -> Column:
     """String to finite double, else NULL."""
-    value = F.trim(text).try_cast("double")
+    value = strip(text).try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)

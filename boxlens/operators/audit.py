@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.functions.geometry import edges_from_center
-from boxlens.functions.text import parse_finite
+from boxlens.functions.text import parse_finite, strip
 from boxlens.session import materialize
 
 COORDS = ("x", "y", "width", "height")
@@ -56,13 +56,13 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def extract_patient_id(name: Column, pattern: str = PATIENT_PATTERN) -> Column:
     """Patient id if the whole name matches, else NULL."""
-    pid = F.regexp_extract(F.trim(name), pattern, 1)
+    pid = F.regexp_extract(strip(name), pattern, 1)
     return F.when(pid != "", pid)
 
 
 def parse_mapping(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(exam_id, patient_id) with the first entry winning, and the mapping issues."""
-    exam = F.trim(F.coalesce("subset_key", F.lit("")))
+    exam = strip(F.coalesce("subset_key", F.lit("")))
     entries = mapping.select("entry", exam.alias("exam_id"), extract_patient_id(F.coalesce("original_name", F.lit(""))).alias("patient_id"))
     good = (F.col("exam_id") != "") & F.col("patient_id").isNotNull()
     bad = _issues(entries.filter(~good), "malformed_mapping_entry", F.when(F.col("exam_id") != "", F.col("exam_id")), F.col("entry"))
@@ -74,7 +74,7 @@ def parse_mapping(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def class_sets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per exam the smallest and largest class, and malformed rows."""
-    rows = classes.select("row_number", F.trim(F.coalesce("exam_ref", F.lit(""))).alias("exam_id"), F.trim(F.coalesce("label", F.lit(""))).alias("label"))
+    rows = classes.select("row_number", strip(F.coalesce("exam_ref", F.lit(""))).alias("exam_id"), strip(F.coalesce("label", F.lit(""))).alias("label"))
     good = (F.col("exam_id") != "") & (F.col("label") != "")
     bad = _issues(rows.filter(~good), "malformed_class_info", F.when(F.col("exam_id") != "", F.col("exam_id")), F.col("row_number"))
     return rows.filter(good).groupBy("exam_id").agg(F.min("label").alias("first_class"), F.max("label").alias("last_class")), bad
@@ -87,7 +87,7 @@ def orphan_class_info(class_exams: DataFrame, label_exams: DataFrame) -> DataFra
 
 def join_exam_sources(labels: DataFrame, patients: DataFrame, classes: DataFrame, rules: AuditRules = AuditRules()) -> DataFrame:
     """One row per exam: label summary with patient and class, both optional."""
-    target = F.trim(F.coalesce("target", F.lit("")))
+    target = strip(F.coalesce("target", F.lit("")))
     exams = labels.groupBy("exam_id").agg(
         F.min(target).alias("first_target"), F.max(target).alias("last_target"), F.count("*").alias("label_rows"),
         F.max(~target.isin(rules.positive_target, rules.negative_target)).alias("unknown_target"),
@@ -118,7 +118,7 @@ def audit_annotations(labels: DataFrame, classes: DataFrame, mapping: DataFrame,
     """Labels (row_number, exam_id, x, y, width, height, target), class info and patient mapping, all text."""
     patients, mapping_issues = parse_mapping(mapping)
     class_info, class_issues = class_sets(classes)
-    named = labels.withColumn("exam_id", F.trim(F.coalesce("exam_id", F.lit(""))))
+    named = labels.withColumn("exam_id", strip(F.coalesce("exam_id", F.lit(""))))
     rows = named.filter("exam_id <> ''")
     # the exam and row tables feed every rule below: computed once, kept durably
     exams = materialize(join_exam_sources(rows, patients, class_info, rules), "audit-exams")
@@ -126,7 +126,7 @@ def audit_annotations(labels: DataFrame, classes: DataFrame, mapping: DataFrame,
     values = {c: parse_finite(F.col(c)) for c in COORDS}
     checked = rows.join(exams.select("exam_id", "is_positive"), "exam_id").select(
         "exam_id", "row_number", "is_positive", *[v.alias(f"b_{c}") for c, v in values.items()],
-        reduce(lambda a, b: a | b, [F.trim(F.coalesce(c, F.lit(""))) != "" for c in COORDS]).alias("has_text"),
+        reduce(lambda a, b: a | b, [strip(F.coalesce(c, F.lit(""))) != "" for c in COORDS]).alias("has_text"),
     )
     code = F.when(F.col("is_positive"), box_code(*[F.col(f"b_{c}") for c in COORDS], rules)).when(F.col("has_text"), "negative_with_box")
     coded = materialize(checked.withColumn("code", code), "audit-rows")
@@ -172,14 +172,20 @@ def audit_annotations(labels: DataFrame, classes: DataFrame, mapping: DataFrame,
     return Audit(out, boxes, issues)
 
 
-def audit_input_counts(audit: Audit) -> DataFrame:
-    """Exam, box and patient counts of an audit, in one row."""
+def audit_input_counts(audit: Audit, labels: DataFrame, classes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Row and exam counts of the three inputs, and exam, box and patient counts of their audit, in one row."""
     valid = audit.exams.filter("valid")
-    exams = audit.exams.agg(F.count("*").alias("annotation_exam_ids"), F.count_if("valid").alias("valid_exam_ids"), F.count_if(~F.col("valid")).alias("invalid_exam_ids"),
-                            F.sum(F.when(F.col("valid"), F.col("box_count")).otherwise(0)).alias("valid_boxes"))
-    patients = valid.groupBy("patient_id").count().agg(
-        F.count("*").alias("unique_patients"), F.count_if(F.col("count") > 1).alias("multi_exam_patients"), F.coalesce(F.max("count"), F.lit(0)).alias("maximum_exams_per_patient"))
-    return exams.crossJoin(patients)
+    named = lambda df, c: F.count_distinct(F.when(strip(F.col(c)) != "", strip(F.col(c))))
+    mapped = parse_mapping(mapping)[0].agg(F.count("*").alias("mapped_exam_ids"))
+    rows = [
+        mapping.agg(F.count("*").alias("mapping_entries")), mapped, labels.agg(F.count("*").alias("label_rows"), named(labels, "exam_id").alias("annotation_exam_ids")),
+        classes.agg(F.count("*").alias("class_info_rows")), class_sets(classes)[0].agg(F.count("*").alias("class_info_exam_ids")),
+        audit.exams.agg(F.count_if("valid").alias("valid_exam_ids"), F.count_if(~F.col("valid")).alias("invalid_exam_ids"),
+                        F.sum(F.when(F.col("valid"), F.col("box_count")).otherwise(0)).alias("valid_boxes")),
+        valid.groupBy("patient_id").count().agg(
+            F.count("*").alias("unique_patients"), F.count_if(F.col("count") > 1).alias("multi_exam_patients"),
+            F.coalesce(F.max("count"), F.lit(0)).alias("maximum_exams_per_patient"))]
+    return reduce(DataFrame.crossJoin, rows)  # one row each
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
@@ -196,7 +202,7 @@ def file_key(path: Column, folder: Column) -> Column:
 def parse_label_lines(label_files: DataFrame, class_count: int) -> DataFrame:
     """Non-blank lines of each label file with their parsed box and first broken rule."""
     text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: strip(x)), lambda x: x != "")
     rows = label_files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("split", "path", F.posexplode(lines).alias("pos", "line"))
     f = F.split("line", r"\s+")
     at = lambda i: F.get(f, F.lit(i))
@@ -283,7 +289,7 @@ def yolo_layout_summary(audit: LayoutAudit) -> DataFrame:
     ).crossJoin(F.broadcast(passed))
 
 
-def manifest_fingerprint(rows: DataFrame, key: str, columns: list[str], buckets: int = 256) -> DataFrame:
+def manifest_fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Order-defined digest of a file table: row digests, bucket digests, one digest.
 
     Two tree levels bound every ordered list: a bucket's list is itself the
@@ -325,8 +331,21 @@ def verify_digests(inventory: DataFrame, declared: DataFrame) -> DataFrame:
     return j.withColumn("problem", problem).filter("problem is not null").select("path", "problem")
 
 
-def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floats: list[str], probabilities: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
-    """Field rules of a flat result table, one row per (key, field, rule)."""
+def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floats: list[str], probabilities: list[str], optional: tuple[str, ...] = (),
+                      booleans: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
+    """Field rules of a flat result table, one row per (key, field, rule).
+
+    The table must hold the key and the named fields and no other; numbers must not be of
+    type boolean, and boolean fields of no other type.
+    """
+    fields = dict(rows.dtypes)
+    named = {*integers, *floats, *booleans}
+    problems = [f"missing field {c}" for c in sorted(named - set(fields))] + [f"unknown field {c}" for c in sorted(set(fields) - named - set(key))]
+    problems += [f"{c} must be boolean" for c in booleans if fields.get(c, "boolean") != "boolean"]
+    problems += [f"{c} must be a number" for c in (*integers, *floats) if fields.get(c) == "boolean"]
+    problems += [f"{c} must be an integer" for c in integers if fields.get(c) in ("float", "double", "string")]
+    if problems:
+        raise ValueError("; ".join(problems))
     rules = []
     def add(field: str, name: str, cond: Column) -> None:
         rules.append(F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(name).alias("rule"))))
@@ -334,6 +353,10 @@ def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floa
         if c not in optional:
             add(c, "missing", F.col(c).isNull())
         add(c, "negative", F.col(c) < 0)
+    for c in booleans:
+        add(c, "missing", F.col(c).isNull())
+    for c in positive:
+        add(c, "not_positive", F.col(c) == 0)
     for c in floats:
         add(c, "nonfinite", F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf"))))
     for c in probabilities:
@@ -346,7 +369,7 @@ def validate_records(boxes: DataFrame, key: list[str], scored: bool = True) -> D
     x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     rules = {
-        "empty_image_id": F.trim(F.col("image_id").cast("string")) == "",
+        "empty_image_id": strip(F.col("image_id").cast("string")) == "",
         "nonpositive_image_size": (F.col("width") <= 0) | (F.col("height") <= 0),
         "nonfinite_box": ~(finite(x1) & finite(y1) & finite(x2) & finite(y2)),
         "empty_box": (x2 <= x1) | (y2 <= y1),

@@ -66,10 +66,11 @@ def dedupe_keep_first(spark, sf):
 
 
 @query("audit_input_counts", AUDIT_SQL + """, vp as (select pid, count(*) n from ex2 where ok group by pid)
-    select (select count(*) from ex2) annotation_exam_ids, (select count(*) from ex2 where ok) valid_exam_ids, (select count(*) from ex2 where not ok) invalid_exam_ids, (select sum(boxes)::bigint from ex2 where ok) valid_boxes,
+    select (select count(*) from raw_mapping) mapping_entries, (select count(*) from mf) mapped_exam_ids, (select count(*) from raw_labels) label_rows, (select count(*) from raw_classes) class_info_rows,
+    (select count(distinct trim(exam_ref)) from raw_classes where trim(exam_ref) <> '' and trim(label) <> '') class_info_exam_ids, (select count(*) from ex2) annotation_exam_ids, (select count(*) from ex2 where ok) valid_exam_ids, (select count(*) from ex2 where not ok) invalid_exam_ids, (select sum(boxes)::bigint from ex2 where ok) valid_boxes,
     (select count(*) from vp) unique_patients, (select count(*) from vp where n>1) multi_exam_patients, (select max(n) from vp) maximum_exams_per_patient""")
 def audit_input_counts(spark, sf):
-    return audit.audit_input_counts(the_audit(spark, sf))
+    return audit.audit_input_counts(the_audit(spark, sf), *(fx.view(spark, sf, v) for v in ("raw_labels", "raw_classes", "raw_mapping")))
 
 
 @query("issue_counts", AUDIT_SQL + f" select code, {SEV} severity, count(*) n from iss group by all")
@@ -92,9 +93,14 @@ def orphan_class_info(spark, sf):
 
 @query("scan_patient_mapping", f"with {V('raw_mapping')}, {MAPPING_SQL} select exam_id, pid patient_id from mf")
 def scan_patient_mapping(spark, sf):
+    """List documents of a thousand elements each; the entry number continues over them."""
     path = scratch_path(spark, "mapping")
-    fx.view(spark, sf, "raw_mapping").write.json(path)
-    return audit.parse_mapping(readers.scan_patient_mapping(spark, path))[0]
+    rows = fx.view(spark, sf, "raw_mapping").withColumn("part", F.floor((F.col("entry") - 1) / 1000))
+    item = F.struct("entry", "subset_key", "original_name")
+    listed = F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["subset_key"].alias("subset_key"), x["original_name"].alias("original_name"))))
+    rows.groupBy("part").agg(listed.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    mapping = readers.scan_patient_mapping(spark, path, ["part"]).withColumn("entry", F.col("entry") + F.col("part") * 1000)
+    return audit.parse_mapping(mapping.drop("part"))[0]
 
 
 @query("extract_patient_id", f"with {V('raw_mapping')} select entry, nullif({PID}, '') patient_id from raw_mapping")
@@ -297,12 +303,16 @@ def dense_ids(spark, sf):
 
 # --- sources and sinks: tables are written to scratch files and scanned back ----
 
-@query("scan_csv_required", f"with {V('exm')} select image_id::varchar image_id, stratum, box_count::varchar box_count, row_number() over (order by file_name)+1 line from exm")
+@query("scan_csv_required", f"""with {V('exm')}, n as (select *, row_number() over (order by file_name) - 1 id from exm)
+    select image_id::varchar image_id, stratum, box_count::varchar box_count, (id // 1000)::int part, id % 1000 + 2 line from n""")
 def scan_csv_required(spark, sf):
+    """Files of a thousand rows each; lines count anew in every file."""
     path = scratch_path(spark, "csv")
-    ordered = blocks.dense_ids(fx.view(spark, sf, "exm"), ["file_name"]).repartitionByRange(1, "id").sortWithinPartitions("id")
-    ordered.select("image_id", "stratum", "box_count").write.option("header", True).csv(path)
-    return readers.scan_csv_required(spark, path, ["image_id", "stratum"]).drop("file")
+    ordered = blocks.dense_ids(fx.view(spark, sf, "exm"), ["file_name"], start=0).withColumn("part", F.floor(F.col("id") / 1000))
+    ordered = ordered.repartition("part").sortWithinPartitions("part", "id")
+    ordered.select("image_id", "stratum", "box_count", "part").write.partitionBy("part").option("header", True).csv(path)
+    rows = readers.scan_csv_required(spark, path, ["image_id", "stratum"])
+    return rows.withColumn("part", F.regexp_extract("file", "part=([0-9]+)", 1).cast("int")).drop("file")
 
 
 @query("scan_split_manifests", f"with {V('spl')} select split, count(*) images, sum(box_count)::bigint boxes from spl group by split")
@@ -321,7 +331,7 @@ def clean_coco(spark, sf):
     return writers.coco_tables(images, b)
 
 
-COCO_IDS = f"with {V('exm', 'b')}, n as (select image_id, file_name, row_number() over (order by file_name) id from exm), an as (select row_number() over (order by n.id, ln) id, n.id image_id, x1, y1, w, h from b join n using (image_id) where rf='R')"
+COCO_IDS = f"with {V('exm', 'b')}, n as (select image_id, file_name, row_number() over (order by image_id) id from exm), an as (select row_number() over (order by n.id, ln) id, n.id image_id, x1, y1, w, h from b join n using (image_id) where rf='R')"
 
 
 @query("sink_coco", COCO_IDS + " select id, image_id, 1::bigint category_id, (w*h)::double area, x1::double x1, (x1+w)::double x2 from an")
@@ -333,20 +343,16 @@ def sink_coco(spark, sf):
     return annotations.select("id", "image_id", "category_id", "area").join(box, "id")
 
 
-@query("scan_coco", COCO_IDS + " select n.id image_id, file_name, count(an.id) boxes, coalesce(sum(w*h), 0)::double area from n left join an on an.image_id=n.id group by all")
+@query("scan_coco", COCO_IDS + """, c as (select 1::bigint id, 'opacity' as name)
+    select n.id image_id, file_name, count(an.id) boxes, coalesce(sum(w*h), 0)::double area, any_value(c.name) category from n left join an on an.image_id=n.id cross join c group by n.id, file_name""")
 def scan_coco(spark, sf):
-    """COCO documents of one split part each, so no document holds the whole table."""
-    images, annotations = clean_coco(spark, sf)
+    """Whole documents of a thousand images each, so their number grows and their size does not."""
     path = scratch_path(spark, "coco-doc")
-    part = lambda c: (F.col(c) % 64).cast("int").alias("part")
-    docs = images.groupBy(part("id")).agg(F.collect_list(F.struct("id", "file_name", "width", "height")).alias("images")).join(
-        annotations.groupBy(part("image_id")).agg(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd")).alias("annotations")), "part", "left")
-    docs.drop("part").repartition(8).write.json(path)
-    spark_images = spark.read.schema(readers.COCO_SCHEMA).json(path)
-    i = spark_images.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
-    a = spark_images.select(F.explode("annotations").alias("a")).select("a.*")
-    sums = a.groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("area").alias("area"))
-    return i.join(sums, "image_id", "left").fillna(0, ["boxes", "area"])
+    writers.sink_coco_documents(*clean_coco(spark, sf), path)
+    images, annotations, categories = readers.scan_coco(spark, path)
+    sums = annotations.groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("area").alias("area"))
+    named = categories.distinct().agg(F.max("name").alias("category"))  # one row
+    return images.select(F.col("id").alias("image_id"), "file_name").join(sums, "image_id", "left").fillna(0, ["boxes", "area"]).crossJoin(named)
 
 
 BUNDLE = f"with {V('pr')} select d::varchar detector, s seed, image_id::varchar image_id, row_number() over (partition by d, s, image_id order by pidx)-1 pidx, label, score, x1::double x1, y1::double y1, x2::double x2, y2::double y2 from pr"
@@ -362,14 +368,14 @@ def sink_prediction_bundle(spark, sf):
 
 @query("scan_prediction_bundles", f"with {V('pr')} select d::varchar detector, s seed, count(*) boxes, count(distinct image_id) images, round(sum(score), 6) score from pr group by all")
 def scan_prediction_bundles(spark, sf):
-    """Gzip documents with header and predictions[]; many parts per run."""
+    """Gzip documents with header and predictions[]: one file per run and thousand images."""
     path = scratch_path(spark, "bundle-doc")
     records = writers.bundle_records(fx.det_predictions(spark, sf), fx.det_images(spark, sf), ["d", "s"])
     entry = F.struct("image_id", "image_size", "boxes_xyxy", "labels", "scores")
-    docs = records.groupBy(F.col("d").cast("string").alias("detector"), F.col("s").alias("seed"), (F.col("image_id").cast("bigint") % 64).alias("part")).agg(F.collect_list(entry).alias("predictions"))
-    docs.drop("part").repartition(64).write.option("compression", "gzip").json(path)
-    out = spark.read.schema(readers.BUNDLE_SCHEMA).json(path).select("detector", "seed", F.explode("predictions").alias("p")).select("detector", "seed", "p.*")
-    boxes = readers._boxes(out, ["detector", "seed"])
+    part = F.floor(F.col("image_id").cast("bigint") / 4000).alias("part")  # a thousand images, as ids are sparse
+    docs = records.groupBy(F.col("d").cast("string").alias("detector"), F.col("s").alias("seed"), part).agg(F.collect_list(entry).alias("predictions"))
+    docs.drop("part").write.option("compression", "gzip").option("maxRecordsPerFile", 1).json(path)
+    boxes = readers.scan_prediction_bundles(spark, path)
     return boxes.groupBy("detector", "seed").agg(F.count("*").alias("boxes"), F.count_distinct("image_id").alias("images"), F.round(F.sum("score"), 6).alias("score"))
 
 
@@ -378,13 +384,14 @@ def yolo_boxes(spark, sf):
     return fx.boxes(spark, sf).filter("rf = 'R'").select("image_id", "ln", (F.col("label") - 1).alias("class_id"), n["xc"].alias("xc"), n["yc"].alias("yc"), n["nw"].alias("w"), n["nh"].alias("h"))
 
 
-@query("sink_yolo_labels", f"""with {V('im', 'b')}, t as (select image_id, string_agg(printf('%d %.10f %.10f %.10f %.10f', label-1, (x1+w/2e0)/1024, (y1+h/2e0)/1024, w/1024e0, h/1024e0), chr(10) order by ln) txt from b where rf='R' group by image_id)
-    select image_id, coalesce(txt, '') as text from im left join t using (image_id)""")
+@query("sink_yolo_labels", f"""with {V('b')} select image_id, (label-1)::int class_id, count(*) boxes, round(sum((x1+w/2e0)/1024)*1024, 3) xc, round(sum(h/1024e0)*1024, 3) h from b where rf='R' group by all""")
 def sink_yolo_labels(spark, sf):
+    """Label files written and read by the label scan, summed per image and class."""
     path = scratch_path(spark, "yolo")
     writers.sink_yolo_labels(fx.det_images(spark, sf), yolo_boxes(spark, sf), "image_id", "ln", path)
-    cells = F.split("value", "\t")
-    return spark.read.text(path).select(cells[0].cast("bigint").alias("image_id"), F.regexp_replace(cells[1], r"\\n", "\n").alias("text"))
+    rows = readers.scan_yolo_labels(spark, path, keyed=True)
+    pixels = lambda c: F.round(F.sum(c) * 1024, 3).alias(c)
+    return rows.groupBy(F.col("file").cast("bigint").alias("image_id"), "class_id").agg(F.count("*").alias("boxes"), pixels("xc"), pixels("h"))
 
 
 @query("scan_yolo_labels", f"with {V('b')} select (label-1)::int class_id, count(*) boxes, round(sum(w/1024e0), 6) width from b where rf='R' group by all")
@@ -395,7 +402,7 @@ def scan_yolo_labels(spark, sf):
     return rows.groupBy("class_id").agg(F.count("*").alias("boxes"), F.round(F.sum("w"), 6).alias("width"))
 
 
-MANIFEST = f"with {V('spl')} select split, image_id::varchar image_id, patient_group::varchar nih_patient_id, stratum study_stratum, is_positive::varchar is_positive, box_count::varchar box_count from spl"
+MANIFEST = f"with {V('spl')} select split, image_id::varchar image_id, patient_group::varchar nih_patient_id, stratum study_stratum, is_positive::int::varchar is_positive, box_count::varchar box_count from spl"
 
 
 @query("sink_split_manifest", MANIFEST)
@@ -425,16 +432,14 @@ def doc_rows(spark, sf):
                                                    F.octet_length("text").cast("bigint").alias("size"))
 
 
-@query("file_inventory", f"with {DOCS}, g as (select r from (select count(*) c from documents), range(16) t(r)) select 'bucket_' || (doc_id % 16) bucket, count(*) files, sum(size)::bigint bytes from f group by all")
+@query("file_inventory", "select 'doc_id=' || doc_id folder, lower('doc_id=' || doc_id) key_folder, strlen(text) + 1 size, sha256(text || chr(10)) sha from documents")
 def file_inventory(spark, sf):
-    """Texts written as one file per bucket and listed back; bytes must agree."""
+    """Every text as a file of its own, listed back with key, size and digest."""
     path = scratch_path(spark, "inventory")
-    docs = fx.table(spark, sf, "documents").select(F.concat(F.lit("bucket_"), F.col("doc_id") % 16).alias("bucket"), F.hex(F.encode("text", "UTF-8")).alias("value"))
-    docs.write.partitionBy("bucket").text(path)
-    files = readers.file_inventory(spark, path, [".txt"]).select("path", "sha")
-    rows = spark.read.text(path).select("bucket", F.unhex("value").alias("bytes"))
-    seen = files.select(F.regexp_extract("path", r"bucket=([^/]+)", 1).alias("bucket")).distinct()
-    return rows.join(seen, "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("files"), F.sum(F.octet_length("bytes").cast("bigint")).alias("bytes"))
+    fx.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(path)
+    files = readers.file_inventory(spark, path, [".txt"])
+    folder = lambda c: F.regexp_extract(c, "^([^/]+)/", 1)
+    return files.select(folder("path").alias("folder"), folder("key").alias("key_folder"), F.col("size").cast("bigint").alias("size"), "sha")
 
 
 @query("verify_digests", f"""with {DOCS}, dc as (select path, case when doc_id%13=0 then sha256(sha) else sha end sha, case when doc_id%17=1 then size+1 else size end size from f union all select 'gone_' || doc_id, sha, size from f where doc_id%19=2)

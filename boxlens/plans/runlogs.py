@@ -29,10 +29,11 @@ def curves(spark, sf):
     k, v = F.col("event_id"), F.col("value")
     zero = lambda d: F.when(k % 17 == 0, 0.0).otherwise(v / d)
     return epochs(spark, sf).withColumns({
-        "box_loss": F.when(k % 23 == 0, F.lit(float("nan"))).otherwise(zero(100)), "cls_loss": zero(200), "dfl_loss": zero(300), "map_50": v / 500, "map_50_95": F.when(k % 5 == 0, 0.0).otherwise(v / 1000)})
+        "box_loss": F.when(k % 23 == 0, F.lit(float("nan"))).otherwise(zero(100)), "cls_loss": zero(200), "dfl_loss": zero(300), "map_50": v / 500, "map_50_95": F.when(k % 5 == 0, 0.0).otherwise(v / 1000),
+        "val_box_loss": F.when(k % 29 == 0, F.lit(float("inf"))).otherwise(v / 90), "val_cls_loss": v / 80, "val_dfl_loss": v / 70})
 
 
-CS = EP + """, cs as (select run_id, count(*) completed_epochs, count(*) filter (isnan(box_loss)) nonfinite_values, count(*) filter (box_loss=0 and cls_loss=0 and dfl_loss=0) zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs,
+CS = EP + """, cs as (select run_id, count(*) completed_epochs, (count(*) filter (isnan(box_loss)) + count(*) filter (event_id%29=0))::bigint nonfinite_values, count(*) filter (box_loss=0 and cls_loss=0 and dfl_loss=0) zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs,
     max(map_50) best_map_50, max(map_50_95) best_map_50_95, arg_max(case when isnan(box_loss) then -1 else box_loss end, epoch) final_box_loss, arg_max(cls_loss, epoch) final_cls_loss, arg_max(dfl_loss, epoch) final_dfl_loss, arg_max(map_50, epoch) final_map_50, arg_max(map_50_95, epoch) final_map_50_95 from cv group by run_id)"""
 CONV = "case when {s}='complete' and nonfinite_values=0 and zero_loss_epochs=0 and positive_map_epochs>0 and best_map_50_95>0 then 'normal_converged' else 'collapse_or_invalid' end"
 
@@ -84,9 +85,9 @@ def arrivals(spark, sf):
                                                 F.round(v / 400, 0).alias("seconds"), k.alias("arrival"))
 
 
-INGEST = f"""with {ARRIVE}, fi as (select run_id, epoch, min(arrival) fa, arg_min(metric, arrival) fm, arg_min(seconds, arrival) fs from ar where metric>=0 group by all),
+INGEST = f"""with {ARRIVE}, fi as (select run_id, epoch, min(arrival) fa, arg_min(metric, arrival) fm, arg_min(seconds, arrival) fs from ar where metric>=0 and metric<=1 and seconds>0 group by all),
     ri as (select *, coalesce(epoch > max(epoch) over (partition by run_id order by fa rows between unbounded preceding and 1 preceding), true) up from fi)
-    select ar.*, case when metric<0 then 'rejected_invalid' when not up then 'rejected_not_rising' when arrival=fa then 'accepted' when metric=fm and seconds=fs then 'ignored' else 'rejected_conflict' end fate from ar left join ri using (run_id, epoch)"""
+    select ar.*, case when metric<0 or metric>1 or seconds<=0 then 'rejected_invalid' when not up then 'rejected_not_rising' when arrival=fa then 'accepted' when metric=fm and seconds=fs then 'ignored' else 'rejected_conflict' end fate from ar left join ri using (run_id, epoch)"""
 
 
 @query("epoch_log_ingest", INGEST)
@@ -94,27 +95,29 @@ def epoch_log_ingest(spark, sf):
     return runlog.classify_epoch_records(arrivals(spark, sf))
 
 
-def write_in_order(df, path, order, parts=3):
-    """Files in arrival order, one write each, as a producer would leave them."""
+def arrive_in_order(df, path, order, drain, parts=3):
+    """Rows come in ``parts`` steps of their order, each in many files, and are drained before the next."""
     top = df.agg(F.max(order)).first()[0] + 1
     step = -(-top // parts)
     for i in range(parts):
-        df.filter((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step)).coalesce(1).write.json(f"{path}/part{i}")
+        df.filter((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step)).write.json(f"{path}/part{i}")
+        drain()
 
 
 @query("epoch_log_ingest_stream", INGEST)
 def epoch_log_ingest_stream(spark, sf):
     src, table, cp = (scratch_path(spark, n) for n in ("epochs-in", "epochs-log", "epochs-cp"))
-    write_in_order(arrivals(spark, sf), src, "arrival")
-    logs.ingest_epochs(logs.epoch_stream(spark, src), table, cp).awaitTermination()
+    arrive_in_order(arrivals(spark, sf), src, "arrival", lambda: logs.ingest_epochs(logs.epoch_stream(spark, src), table, cp).awaitTermination())
     return spark.read.schema(logs.EPOCH_SCHEMA + ", fate string").parquet(table).drop("batch")
 
 
 @query("early_stopping_stream", STOP)
 def early_stopping_stream(spark, sf):
     src, table, cp = (scratch_path(spark, n) for n in ("stop-in", "stop-out", "stop-cp"))
-    write_in_order(epochs(spark, sf).select("run_id", "epoch", "metric", "seconds", F.col("epoch").cast("bigint").alias("arrival")), src, "epoch")
-    return logs.run_to_table(logs.early_stopping_stream(logs.epoch_stream(spark, src), 5, 0.05, 3), table, cp)
+    rows = epochs(spark, sf).select("run_id", "epoch", "metric", "seconds", F.col("epoch").cast("bigint").alias("arrival"))
+    drain = lambda: logs.run_to_table(logs.early_stopping_stream(logs.epoch_stream(spark, src), 5, 0.05, 3), table, cp)
+    arrive_in_order(rows, src, "epoch", drain)
+    return drain()
 
 
 @query("strict_table_rows", """with t as (select event_id, case when event_id%31=0 then null when event_id%29=0 then -1 else user_id end epoch, case when event_id%37=0 then 'nan'::double when event_id%43=1 then -value else value end loss, value/400 recall from events)
@@ -141,19 +144,20 @@ def scan_epoch_logs(spark, sf):
     return readers.scan_epoch_logs(spark, csv, jsonl, _parse_datatype_string(LOG_SCHEMA))
 
 
-@query("scan_training_curve", f"with {EP} select run_id::varchar run_id, epoch, case when event_id%19=0 then 'recall' else '' end bad_fields, round(value/100, 9) box_loss, round(value/1000, 9) map_50_95 from cv")
+@query("scan_training_curve", f"with {EP} select run_id::varchar run_id, epoch, case when event_id%19=0 then 'val_cls_loss' else '' end bad_fields, round(value/100, 9) box_loss, round(value/1000, 9) map_50_95 from cv")
 def scan_training_curve(spark, sf):
     v = F.col("value")
     path = scratch_path(spark, "curve-csv")
     rows = epochs(spark, sf).select("run_id", "epoch", (v / 100).alias("box_loss"), (v / 200).alias("cls_loss"), (v / 300).alias("dfl_loss"), (v / 600).alias("precision"),
-                                    F.when(F.col("event_id") % 19 == 0, "n/a").otherwise((v / 700).cast("string")).alias("recall"), (v / 500).alias("map_50"), (v / 1000).alias("map_50_95"), (v / 50).alias("seconds"))
-    rows.write.option("header", True).csv(path)
-    return round_cols(readers.scan_training_curve(spark, path).select("run_id", "epoch", "bad_fields", "box_loss", "map_50_95"), ["box_loss", "map_50_95"])
+                                    F.when(F.col("event_id") % 19 == 0, "n/a").otherwise((v / 700).cast("string")).alias("val_cls_loss"), (v / 500).alias("map_50"), (v / 1000).alias("map_50_95"),
+                                    (v / 50).alias("seconds"), (v / 90).alias("val_box_loss"), (v / 70).alias("val_dfl_loss"))
+    rows.select(*reversed(rows.columns)).write.option("header", True).csv(path)
+    return round_cols(readers.scan_training_curve(spark, path, strict=False).select("run_id", "epoch", "bad_fields", "box_loss", "map_50_95"), ["box_loss", "map_50_95"])
 
 
 POINTS = {"frozen": 0.05, "selected": 0.5, "floor": 0.01}
 STAB = f"""with recursive {fx.sql_views('gpr', 'tg', 'runs')}, {match_block('g', 'gpr', 'tg', score=0.01)}, {EP},
-    c6 as (select run_id%6%2 d, [17, 42, 137][1+run_id%6//2] s, count(*) completed_epochs, count(*) filter (event_id%230=0) nonfinite_values, 0 zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs, max(map_50_95) best_map_50_95 from cv where run_id is not null group by all),
+    c6 as (select run_id%6%2 d, [17, 42, 137][1+run_id%6//2] s, count(*) completed_epochs, (count(*) filter (event_id%230=0))::bigint nonfinite_values, 0 zero_loss_epochs, count(*) filter (map_50_95>0) positive_map_epochs, max(map_50_95) best_map_50_95 from cv where run_id is not null group by all),
     th as (select * from (values ('frozen', 0.05e0), ('selected', 0.5e0), ('floor', 0.01e0)) t(point, thr)), cn as (select d, s, point, count(*) n from rk_g join th on score>=thr group by all), tc as (select d, s, point, count(*) tp from mt_g join th on score>=thr group by all),
     pv as (select r.d, r.s, {', '.join(f"coalesce(max(n) filter (point='{p}'), 0) {p}_predictions, coalesce(max(tp) filter (point='{p}'), 0) {p}_tp" for p in POINTS)} from runs r left join cn using (d, s) left join tc using (d, s, point) group by all),
     j as (select pv.*, completed_epochs, nonfinite_values, {CONV.format(s="'complete'")} convergence from pv join c6 on c6.d=pv.d and c6.s=pv.s),
@@ -164,7 +168,7 @@ def stability(spark, sf):
     k = F.col("event_id")
     seeds = F.array(*[F.lit(x) for x in fx.SEEDS])
     r = F.col("run_id") % 6
-    rows = curves(spark, sf).withColumns({"box_loss": F.when(k % 230 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 1), "d": (r % 2).cast("int"), "s": F.element_at(seeds, (F.floor(r / 2) + 1).cast("int"))})
+    rows = curves(spark, sf).withColumns({"box_loss": F.when(k % 230 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 1), "val_box_loss": F.col("value"), "d": (r % 2).cast("int"), "s": F.element_at(seeds, (F.floor(r / 2) + 1).cast("int"))})
     curve = runlog.training_curve_summary(rows, ["d", "s"])
     order = sorted(POINTS.values())
     swept = sweep.threshold_sweep(fx.degenerate_predictions(spark, sf), fx.det_targets(spark, sf), fx.runs(spark), order)

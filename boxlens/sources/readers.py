@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxlens.functions.text import strip
+
 BOX = T.ArrayType(T.DoubleType())
 COCO_SCHEMA = T.StructType([
     T.StructField("images", T.ArrayType(T.StructType([
@@ -21,7 +23,8 @@ BUNDLE_RECORD = T.StructType([
 BUNDLE_SCHEMA = T.StructType([
     T.StructField("detector", T.StringType()), T.StructField("seed", T.IntegerType()), T.StructField("split", T.StringType()),
     T.StructField("predictions", T.ArrayType(BUNDLE_RECORD))])
-CURVE_FIELDS = ("box_loss", "cls_loss", "dfl_loss", "precision", "recall", "map_50", "map_50_95", "seconds")
+# Curve columns of a training run: three losses, two scores, three validation losses.
+CURVE_FIELDS = ("box_loss", "cls_loss", "dfl_loss", "map_50", "map_50_95", "val_box_loss", "val_cls_loss", "val_dfl_loss")
 
 
 class MissingColumns(ValueError):
@@ -34,15 +37,30 @@ def require_columns(df: DataFrame, required: list[str]) -> None:
         raise MissingColumns(f"missing columns: {', '.join(missing)}")
 
 
+def csv_by_name(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """CSV as text columns named by the header; every file must have the header of the first."""
+    first = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = spark.read.schema(first.schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    raw = raw.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in raw.columns})
+    require_columns(raw, required)
+    return raw
+
+
+def cast_or_fail(column: str, kind: str) -> Column:
+    """A text column as ``kind``; text that is not one fails the job instead of becoming NULL."""
+    value = strip(F.col(column))
+    number = value.try_cast(kind)
+    bad = number.isNull() & (F.coalesce(value, F.lit("")) != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{column} is no {kind}: "), value)).cast(kind)).otherwise(number)
+
+
 def scan_csv_required(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """CSV as text, NULL as empty, with ``line`` (the first data row is 2) and ``file``.
 
     Rows are counted per file block and offset by the blocks before it, so large
     files stay split over tasks.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    raw = raw.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in raw.columns})
-    require_columns(raw, required)
+    raw = csv_by_name(spark, path, required)
     names = raw.columns
     rows = raw.select(*names, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     # one row per file block
@@ -54,26 +72,23 @@ def scan_csv_required(spark: SparkSession, path: str, required: list[str]) -> Da
 
 
 def scan_split_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """All split CSVs; an empty split falls back to the file stem."""
-    raw = spark.read.option("header", True).csv(path)
+    """All split CSVs, of one header; an empty split falls back to the file stem."""
+    raw = csv_by_name(spark, path, ["image_id"])
     stem = F.regexp_extract("_metadata.file_path", r"([^/]+?)\.csv(?:/[^/]*)?$", 1)
     given = F.col("split") if "split" in raw.columns else F.lit(None).cast("string")
     return raw.select(*[c for c in raw.columns if c != "split"], F.coalesce(F.when(given != "", given), stem).alias("split"))
 
 
-def scan_patient_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list of mapping objects, one row per entry; non-objects become NULL fields."""
-    schema = T.StructType([T.StructField("entry", T.LongType()), T.StructField("subset_key", T.StringType()), T.StructField("original_name", T.StringType())])
-    return spark.read.schema(schema).json(path)
+def scan_patient_mapping(spark: SparkSession, path: str, parts: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """JSON list documents, one row per element; ``entry`` is its 1-based position in the list.
 
-
-def scan_patient_mapping_document(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON list document; ``entry`` is the 1-based list position."""
-    item = T.ArrayType(T.StringType())
+    Elements that are no objects become NULL fields. A document is one text in one task;
+    ``parts`` are partition columns of the folder to keep.
+    """
     text = spark.read.option("wholetext", True).text(path)
-    entries = text.select(F.posexplode(F.from_json("value", item)).alias("pos", "item"))
-    field = lambda n: F.get_json_object("item", f"$.{n}").alias(n)
-    return entries.select((F.col("pos") + 1).cast("bigint").alias("entry"), field("subset_key"), field("original_name"))
+    entries = text.select(*parts, F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("pos", "item"))
+    field = lambda n: F.get_json_object("item", f"$.{n}").alias(n)
+    return entries.select(*parts, (F.col("pos") + 1).cast("bigint").alias("entry"), field("subset_key"), field("original_name"))
 
 
 def scan_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,9 +131,15 @@ def scan_prediction_records(spark: SparkSession, path: str) -> DataFrame:
     return _boxes(spark.read.schema(schema).json(path), ["detector", "seed"])
 
 
-def scan_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``class xc yc w h`` lines, blank lines skipped, NULL where not numeric."""
-    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter("line <> ''")
+def scan_yolo_labels(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """``class xc yc w h`` lines with their file, blank lines skipped, NULL where not numeric.
+
+    ``keyed``: lines begin with the image and a tab, and ``file`` is that image.
+    """
+    text = spark.read.text(path)
+    line = F.regexp_replace("value", "^[^\t]*\t", "") if keyed else F.col("value")
+    file = F.substring_index("value", "\t", 1) if keyed else F.col("_metadata.file_path")
+    rows = text.select(strip(line).alias("line"), file.alias("file")).filter("line <> ''")
     f = F.split("line", r"\s+")
     at = lambda i: F.get(f, F.lit(i))
     return rows.select("file", F.size(f).alias("fields"), at(0).try_cast("int").alias("class_id"), *[at(i).try_cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"), 1)])
@@ -132,9 +153,15 @@ def file_inventory(spark: SparkSession, root: str, suffixes: list[str]) -> DataF
         relative.alias("path"), F.lower(F.regexp_replace(relative, r"\.[^./]*$", "")).alias("key"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
 
 
+def epoch_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Epoch records by column name; a missing column or a value of another type fails."""
+    raw = csv_by_name(spark, path, schema.fieldNames())
+    return raw.select(*[cast_or_fail(f.name, f.dataType.simpleString()).alias(f.name) for f in schema.fields])
+
+
 def epoch_log_differences(spark: SparkSession, csv_path: str, jsonl_path: str, schema: T.StructType) -> DataFrame:
     """Records that occur in only one of the two epoch logs."""
-    a = spark.read.schema(schema).option("header", True).csv(csv_path)
+    a = epoch_csv(spark, csv_path, schema)
     b = spark.read.schema(schema).json(jsonl_path)
     tag = lambda df, side: df.withColumn("only_in", F.lit(side))
     return tag(a.exceptAll(b), "csv").unionByName(tag(b.exceptAll(a), "jsonl"))
@@ -144,13 +171,14 @@ def scan_epoch_logs(spark: SparkSession, csv_path: str, jsonl_path: str, schema:
     """Epoch records, read only if both logs hold the same ones."""
     if not epoch_log_differences(spark, csv_path, jsonl_path, schema).isEmpty():
         raise ValueError("CSV and JSONL epoch logs differ")
-    return spark.read.schema(schema).option("header", True).csv(csv_path)
+    return epoch_csv(spark, csv_path, schema)
 
 
-def scan_training_curve(spark: SparkSession, path: str, fields: tuple[str, ...] = CURVE_FIELDS) -> DataFrame:
-    """Per-epoch CSV; ``bad_fields`` names required fields that are not numeric."""
-    text = T.StructType([T.StructField(n, T.StringType()) for n in ("run_id", "epoch", *fields)])
-    raw = spark.read.schema(text).option("header", True).csv(path)
-    num = {c: F.trim(c).try_cast("double") for c in fields}
+def scan_training_curve(spark: SparkSession, path: str, fields: tuple[str, ...] = CURVE_FIELDS, strict: bool = True) -> DataFrame:
+    """Per-epoch CSV by column name. A field that is not numeric fails; with ``strict`` off it is NULL and named in ``bad_fields``."""
+    raw = csv_by_name(spark, path, ["run_id", "epoch", *fields])
+    num = {c: strip(F.col(c)).try_cast("double") for c in fields}
     bad = F.array_join(F.array_compact(F.array(*[F.when(v.isNull(), F.lit(c)) for c, v in num.items()])), ";")
-    return raw.select("run_id", F.col("epoch").try_cast("int").alias("epoch"), *[v.alias(c) for c, v in num.items()], bad.alias("bad_fields"))
+    if strict:
+        bad = F.when(bad != "", F.raise_error(F.concat(F.lit("curve fields are not numeric: "), bad)).cast("string")).otherwise(bad)
+    return raw.select("run_id", cast_or_fail("epoch", "int").alias("epoch"), *[v.alias(c) for c, v in num.items()], bad.alias("bad_fields"))

@@ -1,32 +1,50 @@
-"""File sinks. Writes replace a table as a whole through the output committer."""
+"""File sinks. Result tables are replaced as a whole; other writes go through the output committer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlens.functions.text import ten_decimals
 from boxlens.operators.blocks import dense_ids
 
-# Column order of a split manifest.
+# Fixed value: column order of a split manifest.
 MANIFEST_FIELDS = ("split", "image_id", "nih_patient_id", "study_stratum", "is_positive", "source_file", "processed_file", "width", "height", "box_count")
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished folder in the place of another by renames; the old one goes last."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, ready, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{new}-old"))
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(ready, target):
+        fs.rename(old, target)
+        raise OSError(f"cannot put {new} in the place of {path}")
+    fs.delete(old, True)
+
+
 def sink_result_table(df: DataFrame, fields: list[str], path: str, fmt: str = "parquet") -> None:
-    """Replace a result table, columns in fixed order."""
-    writer = df.select(*fields).write.mode("overwrite")
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
+    """Replace a result table, columns in fixed order: all or nothing, the old one stays until the new one is complete."""
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    writer = df.select(*fields).write.mode("error")
+    (writer.option("header", True).csv(new) if fmt == "csv" else writer.parquet(new))
+    replace_folder(df.sparkSession, new, path)
 
 
 def sink_split_manifest(exams: DataFrame, path: str) -> None:
     """One sorted CSV folder per split; a column copy names the folder."""
-    rows = exams.select(*MANIFEST_FIELDS, F.col("split").alias("split_name"))
+    flag = F.col("is_positive").cast("int").alias("is_positive")  # 1 or 0
+    rows = exams.select(*[flag if c == "is_positive" else c for c in MANIFEST_FIELDS], F.col("split").alias("split_name"))
     rows.repartitionByRange("split", "image_id").sortWithinPartitions("split", "image_id").write.mode("overwrite").partitionBy("split_name").option("header", True).csv(path)
 
 
 def coco_tables(images: DataFrame, boxes: DataFrame, category_id: int = 1) -> tuple[DataFrame, DataFrame]:
-    """COCO images and annotations: ids run from 1 by file name, annotation ids by image and row."""
-    ids = dense_ids(images.select("exam_id", "file_name", "width", "height"), ["file_name"])
+    """COCO images and annotations: ids run from 1 by exam, annotation ids by image and row."""
+    ids = dense_ids(images.select("exam_id", "file_name", "width", "height"), ["exam_id"])
     out_images = ids.select("id", "file_name", "width", "height")
     linked = boxes.join(ids.select("exam_id", F.col("id").alias("image_id")), "exam_id")
     numbered = dense_ids(linked, ["image_id", "row_number"])
@@ -35,10 +53,25 @@ def coco_tables(images: DataFrame, boxes: DataFrame, category_id: int = 1) -> tu
     return out_images, annotations
 
 
-def sink_coco(images: DataFrame, annotations: DataFrame, path: str) -> None:
-    """JSON lines for both tables: splittable, and readable as one document's parts."""
+def sink_coco(images: DataFrame, annotations: DataFrame, path: str, categories: tuple[tuple[int, str], ...] = ((1, "opacity"),)) -> None:
+    """JSON lines for the three tables: splittable, and readable as one document's parts."""
     images.write.mode("overwrite").json(f"{path}/images")
     annotations.write.mode("overwrite").json(f"{path}/annotations")
+    images.sparkSession.createDataFrame(list(categories), "id bigint, name string").write.mode("overwrite").json(f"{path}/categories")
+
+
+def sink_coco_documents(images: DataFrame, annotations: DataFrame, path: str, per_document: int = 1000,
+                        categories: tuple[tuple[int, str], ...] = ((1, "opacity"),)) -> None:
+    """Whole COCO documents, one file each, of ``per_document`` images in id order with their annotations and all categories.
+
+    The number of documents grows with the images, their size does not. Image ids must be dense.
+    """
+    part = lambda c: F.floor((F.col(c) - 1) / per_document).alias("part")
+    pack = lambda df, c, name, fields: df.groupBy(part(c)).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    docs = pack(images, "id", "images", ("id", "file_name", "width", "height")).join(
+        pack(annotations, "image_id", "annotations", ("id", "image_id", "category_id", "bbox", "area", "iscrowd")), "part", "left")
+    listed = F.array(*[F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(n).alias("name")) for i, n in categories])
+    docs.drop("part").withColumn("categories", listed).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def yolo_label_text(boxes: DataFrame, key: str, order: str) -> DataFrame:
@@ -49,9 +82,14 @@ def yolo_label_text(boxes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def sink_yolo_labels(images: DataFrame, boxes: DataFrame, key: str, order: str, path: str) -> None:
-    """Label texts, one row per image (empty for negatives), in folders by image bucket."""
-    texts = images.select(key).join(yolo_label_text(boxes, key, order), key, "left").fillna("", ["text"])
-    texts.select(F.concat_ws("\t", F.col(key).cast("string"), F.regexp_replace("text", "\n", "\\\\n")).alias("value")).write.mode("overwrite").text(path)
+    """Label lines, each behind its image and a tab, as ``scan_yolo_labels(keyed=True)`` reads them.
+
+    One file per image would be one file per row; instead files hold many images, and an
+    image without boxes has a line without a box.
+    """
+    line = ten_decimals(F.col("class_id"), *[F.col(c) for c in ("xc", "yc", "w", "h")])
+    rows = images.select(key).join(boxes.select(key, order, line.alias("line")), key, "left").sortWithinPartitions(key, order)
+    rows.select(F.concat_ws("\t", F.col(key).cast("string"), F.coalesce("line", F.lit(""))).alias("value")).write.mode("overwrite").text(path)
 
 
 def bundle_records(predictions: DataFrame, images: DataFrame, run: list[str]) -> DataFrame:

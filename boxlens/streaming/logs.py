@@ -16,8 +16,8 @@ from boxlens.operators.runlog import STOP_FIELDS, classify_epoch_records
 EPOCH_SCHEMA = "run_id bigint, epoch int, metric double, seconds double, arrival bigint"
 
 
-def epoch_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(EPOCH_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).json(path)
+def epoch_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(EPOCH_SCHEMA).option("recursiveFileLookup", True).json(path)
 
 
 def ingest_epochs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -233,3 +233,81 @@ def test_early_stopping_matches_the_history(spark):
                 columns, carry = patience_states(np.arange(lo + 1, hi + 1), np.array(ms[lo:hi]), carry, 3, 0.05, 2)
                 parts += list(zip(*(c.tolist() for c in columns)))
         assert parts == slow_patience(ms, 3, 0.05, 2)
+
+
+def write_lines(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+    return str(path)
+
+
+def test_readers_bind_by_name(spark, tmp_path):
+    from boxlens.sources import readers
+
+    fields = [*reversed(readers.CURVE_FIELDS), "epoch", "run_id"]
+    path = write_lines(tmp_path / "curve.csv", ",".join(fields) + "\n" + ",".join([f"0.{i}" for i in range(8)] + ["3", "r"]) + "\n")
+    row = readers.scan_training_curve(spark, path).first()
+    assert (row.val_dfl_loss, row.box_loss, row.epoch, row.run_id, row.bad_fields) == (0.0, 0.7, 3, "r", "")
+    bad = write_lines(tmp_path / "bad.csv", ",".join(fields) + "\n" + ",".join(["x"] * 8 + ["3", "r"]) + "\n")
+    with pytest.raises(Exception, match="not numeric"):
+        readers.scan_training_curve(spark, bad).collect()
+    with pytest.raises(readers.MissingColumns, match="run_id"):
+        readers.scan_training_curve(spark, write_lines(tmp_path / "short.csv", "epoch\n1\n"))
+    write_lines(tmp_path / "m" / "a.csv", "image_id,box_count\n1,2\n")
+    write_lines(tmp_path / "m" / "b.csv", "box_count,image_id\n7,8\n")
+    with pytest.raises(Exception):
+        readers.scan_split_manifests(spark, str(tmp_path / "m")).collect()
+    both = write_lines(tmp_path / "log.csv", "seconds,epoch\n1.5,2\n")
+    with pytest.raises(Exception, match="is no int"):
+        readers.epoch_csv(spark, write_lines(tmp_path / "wrong.csv", "seconds,epoch\n1.5,two\n"), readers.T._parse_datatype_string("epoch int, seconds double")).collect()
+    assert readers.epoch_csv(spark, both, readers.T._parse_datatype_string("epoch int, seconds double")).first() == (2, 1.5)
+
+
+def test_label_lines_with_tabs(spark, tmp_path):
+    from boxlens.operators import audit
+    from boxlens.sources import readers
+
+    text = "\t0 0.5 0.5 0.1 0.1\t\n\t\n1\t0.5 0.5  0.1 0.1\n"
+    lines = audit.parse_label_lines(spark.createDataFrame([("train", "a.txt", text.encode())], "split string, path string, content binary"), 2)
+    assert [(r.class_id, r.code) for r in lines.orderBy("line_number").collect()] == [(0, None), (1, None)]
+    rows = readers.scan_yolo_labels(spark, write_lines(tmp_path / "a.txt", text)).collect()
+    assert [(r.class_id, r.fields) for r in rows] == [(0, 5), (1, 5)]
+
+
+def test_result_table_is_replaced_as_a_whole(spark, tmp_path):
+    from boxlens.sources import writers
+
+    path = str(tmp_path / "table")
+    for n in (3, 1):
+        writers.sink_result_table(spark.range(n), ["id"], path)
+        assert spark.read.parquet(path).count() == n
+    failing = spark.range(2).withColumn("x", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        writers.sink_result_table(failing, ["id", "x"], path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_coco_ids_follow_the_exam(spark):
+    from boxlens.sources import writers
+
+    images = spark.createDataFrame([("a-b", "a-b.png", 1, 1), ("a", "a.png", 1, 1)], "exam_id string, file_name string, width int, height int")
+    boxes = spark.createDataFrame([], "exam_id string, row_number bigint, x double, y double, w double, h double")
+    assert {r.file_name: r.id for r in writers.coco_tables(images, boxes)[0].collect()} == {"a.png": 1, "a-b.png": 2}
+
+
+def test_epoch_record_rules(spark):
+    from boxlens.operators import runlog
+
+    base = dict.fromkeys(runlog.EPOCH_INTEGERS, 1) | dict.fromkeys(runlog.EPOCH_FLOATS, 0.5) | {"run_id": "r", "is_best": True}
+    kinds = {c: "int" for c in runlog.EPOCH_INTEGERS} | {c: "double" for c in runlog.EPOCH_FLOATS} | {"run_id": "string", "is_best": "boolean"}
+    changes = [{}, {"epoch": 0}, {"epoch_seconds": 0.0}, {"val_f1": 1.5}, {"val_f1": None}, {"train_seconds": None}, {"run_id": ""}, {"seed": -1}, {"learning_rate": float("nan")}, {"is_best": None}]
+    frame = lambda rows, kinds: spark.createDataFrame([tuple((base | r)[c] for c in kinds) for r in rows], ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    found = sorted((r.field, r.rule) for r in runlog.epoch_record_problems(frame(changes, kinds)).collect())
+    assert found == sorted([("epoch", "not_positive"), ("epoch_seconds", "not_positive"), ("val_f1", "above_one"), ("train_seconds", "missing"), ("run_id", "missing"),
+                            ("seed", "negative"), ("learning_rate", "nonfinite"), ("is_best", "missing")])
+    with pytest.raises(ValueError, match="unknown field other"):
+        runlog.epoch_record_problems(frame([{}], kinds).withColumn("other", F.lit(1)))
+    with pytest.raises(ValueError, match="is_best must be boolean"):
+        runlog.epoch_record_problems(frame([{}], kinds).withColumn("is_best", F.lit(1)))
+    with pytest.raises(ValueError, match="missing field seed"):
+        runlog.epoch_record_problems(frame([{}], kinds).drop("seed"))
