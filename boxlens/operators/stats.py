@@ -8,10 +8,14 @@ before the replicates multiply it. Replicate -1 is the observed sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxlens.functions.hashing import draw
 from boxlens.functions.ratios import finite_or_null, mean_or_null, operating_ratios
@@ -73,6 +77,80 @@ def permutation_swaps(groups: DataFrame, resamples: int, seed: int, group: str =
     )
 
 
+def bootstrap_arrays(groups: DataFrame, resamples: int, seed: int, group: str = "patient_group") -> DataFrame:
+    """One row per group: its multiplicity in every replicate, as an array; groups that are never drawn have zeros."""
+    drawn = cluster_bootstrap_weights(groups, resamples, seed, group).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("rep", "w"))).alias("drawn"))
+    rows = groups.select(group).distinct().join(drawn, group, "left")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, resamples), np.int32)
+            for i, pairs in enumerate(batch.column("drawn").to_pylist()):
+                for rep, w in pairs or ():
+                    out[i, rep] = w
+            yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(list(out), pa.list_(pa.int32()))], names=[group, "w"])
+
+    return rows.mapInArrow(fill, f"{group} {rows.schema[group].dataType.simpleString()}, w array<int>")
+
+
+def swap_arrays(groups: DataFrame, permutations: int, seed: int, group: str = "patient_group") -> DataFrame:
+    """One row per group: its fair bit in every replicate, as an array."""
+    bit = lambda rep: draw(F.lit(seed), F.lit("swap"), rep, F.col(group)) % 2 == 1
+    return groups.select(group).distinct().withColumn("swap", F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), bit))
+
+
+def _replicate_sums(rows: DataFrame, keys: list[str], sides: dict[str, str]) -> DataFrame:
+    """Sums of ``COUNTS`` per (rep, role, keys) where each row counts as often as its array of a side says.
+
+    ``sides``: role -> array column. Every task adds up one matrix per run, so what is
+    shuffled depends on tasks, runs and replicates, and not on the rows.
+    """
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = [rows.schema[c].dataType for c in COUNTS]
+    key_types = [to_arrow_type(rows.schema[k].dataType) for k in keys]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            evidence = np.array([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in COUNTS])
+            runs = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) or [()] * batch.num_rows
+            for role, column in sides.items():
+                times = batch.column(column).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for run in set(runs):
+                    own = np.array([r == run for r in runs])
+                    part = evidence[:, own] @ times[own]
+                    totals[run, role] = totals.get((run, role), 0) + part
+        for (run, role), total in totals.items():
+            n = total.shape[1]
+            fixed = [pa.array([v] * n, type=t) for t, v in zip(key_types, run, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*fixed, pa.array([role] * n), pa.array(range(n), pa.int32()), *[pa.array(x) for x in total]], names=[*keys, "role", "rep", *COUNTS])
+
+    parts = rows.mapInArrow(add, f"{schema}, role string, rep int, " + ", ".join(f"{c} double" for c in COUNTS))
+    # counts are whole numbers below 2^53, so they are exact in between
+    return parts.groupBy("rep", "role", *keys).agg(*[F.sum(c).cast(kind).alias(c) for c, kind in zip(COUNTS, kinds, strict=True)])
+
+
+def bootstrap_sums(group_ev: DataFrame, arrays: DataFrame, keys: list[str], group: str = "patient_group") -> DataFrame:
+    """Weighted evidence of every run in every bootstrap replicate."""
+    return _replicate_sums(group_ev.join(arrays, group), keys, {"": "w"}).drop("role")
+
+
+def hybrid_sums(group_ev: DataFrame, arrays: DataFrame, detector_b, keys: list[str], group: str = "patient_group") -> DataFrame:
+    """Evidence of hybrid a and b in every permutation: a swapped group trades detectors; ``keys`` omit the detector."""
+    is_b = F.col("d") == F.lit(detector_b)
+    rows = group_ev.join(arrays, group)
+    rows = rows.withColumn("in_a", F.transform("swap", lambda x: (x == is_b).cast("int"))).withColumn("in_b", F.transform("swap", lambda x: (x != is_b).cast("int")))
+    return _replicate_sums(rows.drop("swap"), keys, {"a": "in_a", "b": "in_b"})
+
+
+def count_metrics(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics that follow from summed evidence alone: all but the two average precisions."""
+    return sums.select(
+        *keys, *[c.alias(n) for n, c in operating_ratios(F.col("tp"), F.col("fp"), F.col("fn")).items()],
+        mean_or_null(F.col("iou_sum"), F.col("tp")).alias("iou"), mean_or_null(F.col("dice_sum"), F.col("tp")).alias("dice"))
+
+
 def group_evidence(image_evidence: DataFrame, groups: DataFrame, keys: list[str], group: str = "patient_group") -> DataFrame:
     """Sum of image evidence over the images of each group."""
     return image_evidence.join(groups, "image_id").groupBy(*keys, group).agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -86,11 +164,7 @@ def pair_blocks(detections: DataFrame, groups: DataFrame, scope: tuple[str, ...]
 
 def _seven(sums: DataFrame, blocks: DataFrame, keys: list[str], weight: Column | None, order) -> DataFrame:
     ap = ap_summary(average_precision(blocks, sums.select(*keys, "target_count"), keys, weight, order), keys)
-    counted = sums.select(
-        *keys, *[c.alias(n) for n, c in operating_ratios(F.col("tp"), F.col("fp"), F.col("fn")).items()],
-        mean_or_null(F.col("iou_sum"), F.col("tp")).alias("iou"), mean_or_null(F.col("dice_sum"), F.col("tp")).alias("dice"),
-    )
-    return counted.join(ap, keys)
+    return count_metrics(sums, keys).join(ap, keys)
 
 
 def weighted_metrics(group_ev: DataFrame, blocks: DataFrame, weights: DataFrame, keys: list[str], group: str = "patient_group") -> DataFrame:
@@ -114,8 +188,9 @@ def hybrid_metrics(group_ev: DataFrame, blocks: DataFrame, swaps: DataFrame, det
 
 
 def seed_average(metrics: DataFrame, seed_weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Seed-weighted mean per (rep, keys), long form; one undefined seed makes it NULL."""
-    long = unpivot(metrics, ["rep", *keys, "s"], list(METRIC_VECTOR)).join(seed_weights, ["rep", "s"])
+    """Seed-weighted mean per (rep, keys) of the metrics given, long form; one undefined seed makes it NULL."""
+    given = [m for m in METRIC_VECTOR if m in metrics.columns]
+    long = unpivot(metrics, ["rep", *keys, "s"], given).join(seed_weights, ["rep", "s"])
     return long.groupBy("rep", *keys, "metric").agg(
         F.when(F.count_if(F.col("value").isNull()) == 0, F.sum(F.col("sw") * F.col("value")) / F.sum("sw")).alias("value")
     )

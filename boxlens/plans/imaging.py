@@ -229,12 +229,12 @@ def select_qualitative_cases(spark, sf):
     return round_cols(chosen(spark, sf), ["selection_score"])
 
 
-@query("case_ranks", """select o_orderpriority category, o_orderkey image_id, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey::varchar)::int rank from orders qualify rank <= 20""")
+@query("case_ranks", """select o_orderpriority category, o_orderkey image_id, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey::varchar)::int rank from orders""")
 def case_ranks(spark, sf):
-    """Ranks inside each category; here the twenty dearest orders per priority."""
+    """Ranks of all orders inside each priority, the dearest first."""
     o = fx.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("category"), F.col("o_orderkey").alias("image_id"), F.lit(None).cast("bigint").alias("tidx"),
                                              F.col("o_totalprice").alias("selection_score"), F.lit(None).cast("double").alias("selection_quantile"))
-    return cases.case_ranks(o).filter("rank <= 20").select("category", "image_id", "rank")
+    return cases.case_ranks(o).select("category", "image_id", "rank")
 
 
 SAL = SBASE + ", " + STATUS_SQL + ", " + proxy_sql(False) + f""", ne as (select count(*) n from embeddings), hv as (select vec_id, i, case when vec_id%50=0 then 0 else abs(embedding[i+1]::double) end v from embeddings, range(64) r(i)),

@@ -12,7 +12,11 @@ from boxlens.plans.catalog import query
 from boxlens.plans.detection import round_cols
 from boxlens.plans.oracle_parts import RATIOS, ap_ctes, image_evidence_block, level_block, match_block
 
-B, P, SEED = 5, 5, 7
+SEED = 7
+# Draws of the statistics that follow from summed evidence.
+B, P = 2000, 5000
+# Draws of the ones with average precision: as many as the oracle can evaluate.
+AP_B, AP_P = 5, 5
 SEEDS = list(fx.SEEDS)
 SEVEN = list(comparison.METRIC_VECTOR)
 
@@ -33,14 +37,19 @@ def hex8(expr):
     return f"('0x' || substr(md5({expr}), 1, 8))::bigint"
 
 
-GROUPS_SQL = f"""gi as (select patient_group, row_number() over (order by patient_group) - 1 g from (select distinct patient_group from im)),
+def groups_sql(b: int, p: int) -> str:
+    return f"""gi as (select patient_group, row_number() over (order by patient_group) - 1 g from (select distinct patient_group from im)),
     gn as (select count(*) n from gi),
-    bw as (select rep::int rep, patient_group, count(*) w from (select rep, {hex8(f"'{SEED}:group:' || rep || ':' || j.g")} % n g from range({B}) r(rep), gi j, gn) x join gi using (g) group by all),
-    swp as (select patient_group, rep::int rep, {hex8(f"'{SEED}:swap:' || rep || ':' || patient_group")} % 2 = 1 swap from gi, range({P}) r(rep)),
-    sw as (select rep::int rep, [17, 42, 137][1 + {hex8(f"'{SEED}:seed:' || rep || ':' || j")} % 3] s, count(*) sw from range({B}) r(rep), range(3) k(j) group by all)"""
-BASE = f"with recursive {fx.sql_views('pr', 'tg', 'runs', 'im')}, {GROUPS_SQL}"
-EVID = BASE + f", {match_block('o', 'pr', 'tg')}, {image_evidence_block('o', 'tg', 'runs')}, ge as (select d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_o join im using (image_id) group by all)"
-FULL = EVID + f", {level_block('o', 'pr', 'tg')}, dg as (select dl_o.*, patient_group from dl_o join im using (image_id))"
+    bw as (select rep::int rep, patient_group, count(*) w from (select rep, {hex8(f"'{SEED}:group:' || rep || ':' || j.g")} % n g from range({b}) r(rep), gi j, gn) x join gi using (g) group by all),
+    swp as (select patient_group, rep::int rep, {hex8(f"'{SEED}:swap:' || rep || ':' || patient_group")} % 2 = 1 swap from gi, range({p}) r(rep)),
+    sw as (select rep::int rep, [17, 42, 137][1 + {hex8(f"'{SEED}:seed:' || rep || ':' || j")} % 3] s, count(*) sw from range({b}) r(rep), range(3) k(j) group by all)"""
+
+
+VIEWS = f"with recursive {fx.sql_views('pr', 'tg', 'runs', 'im')}"
+BASE, BASE_AP = f"{VIEWS}, {groups_sql(B, P)}", f"{VIEWS}, {groups_sql(AP_B, AP_P)}"
+GROUP_EVIDENCE = f", {match_block('o', 'pr', 'tg')}, {image_evidence_block('o', 'tg', 'runs')}, ge as (select d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_o join im using (image_id) group by all)"
+EVID, EVID_AP = BASE + GROUP_EVIDENCE, BASE_AP + GROUP_EVIDENCE
+FULL = EVID_AP + f", {level_block('o', 'pr', 'tg')}, dg as (select dl_o.*, patient_group from dl_o join im using (image_id))"
 
 
 def weighted_sums(keys, source, w):
@@ -87,9 +96,10 @@ def stable_rng_seed(spark, sf):
     )
 
 
-@query("cluster_bootstrap_weights", BASE + " select rep, patient_group, w from bw")
+@query("cluster_bootstrap_weights", BASE + f" select patient_group, string_agg(coalesce(w, 0)::varchar, ',' order by r.rep) weights from (select patient_group, rep::int rep from gi, range({B}) r(rep)) r left join bw using (rep, patient_group) group by patient_group")
 def cluster_bootstrap_weights(spark, sf):
-    return stats.cluster_bootstrap_weights(groups(spark, sf), B, SEED)
+    """All multiplicities of a group in one text, in the order of the replicates."""
+    return stats.bootstrap_arrays(groups(spark, sf), B, SEED).select("patient_group", F.array_join("w", ",").alias("weights"))
 
 
 @query("seed_bootstrap_weights", BASE + " select rep, s, sw, (select count(*) from pr where pr.s = sw.s) predictions from sw")
@@ -98,41 +108,43 @@ def seed_bootstrap_weights(spark, sf):
     return stats.seed_bootstrap_weights(spark, SEEDS, B, SEED).join(sizes, "s").select("rep", "s", "sw", "predictions")
 
 
-@query("permutation_swaps", BASE + " select rep, patient_group, swap from swp")
+@query("permutation_swaps", BASE + " select patient_group, string_agg(swap::int::varchar, '' order by rep) swaps from swp group by patient_group")
 def permutation_swaps(spark, sf):
-    return stats.permutation_swaps(groups(spark, sf), P, SEED).select("rep", "patient_group", "swap")
+    """All bits of a group in one text, in the order of the replicates."""
+    return stats.swap_arrays(groups(spark, sf), P, SEED).select("patient_group", F.array_join(F.transform("swap", lambda x: x.cast("int")), "").alias("swaps"))
 
 
 @query("weighted_metrics", BOOT + f" select rep, d, s, {rnd(SEVEN)} from mvb")
 def weighted_metrics(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    w = stats.cluster_bootstrap_weights(groups(spark, sf), B, SEED)
+    w = stats.cluster_bootstrap_weights(groups(spark, sf), AP_B, SEED)
     return round_cols(stats.weighted_metrics(ev, run_blocks(spark, sf), w, ["d", "s"]), SEVEN)
 
 
 @query("hybrid_metrics", PERM + f" select rep, role, s, {rnd(SEVEN)} from mvh")
 def hybrid_metrics(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    swaps = stats.permutation_swaps(groups(spark, sf), P, SEED)
+    swaps = stats.permutation_swaps(groups(spark, sf), AP_P, SEED)
     return round_cols(stats.hybrid_metrics(ev, run_blocks(spark, sf), swaps, 1, ["s"]), SEVEN)
 
 
 @query("hybrid_swap", EVID + f" select rep, {ROLE} as role, s, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from ge join swp using (patient_group) group by all")
 def hybrid_swap(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    rows = stats.hybrid_swap(ev, stats.permutation_swaps(groups(spark, sf), P, SEED), 1)
-    return rows.groupBy("rep", "role", "s").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return stats.hybrid_sums(ev, stats.swap_arrays(groups(spark, sf), P, SEED), 1, ["s"]).select("rep", "role", "s", "tp", "fp", "fn")
 
 
-LONG = "unpivot (select * from mvb) on " + ", ".join(SEVEN) + " into name metric value value"
-SEEDAVG = BOOT + f""", lg as (select * from (select rep, d, s, unnest([{', '.join(f"'{m}'" for m in SEVEN)}]) metric, unnest([{', '.join(SEVEN)}]) v from mvb)),
+FIVE = ["precision", "recall", "f1", "iou", "dice"]
+SEEDAVG = EVID + f""", ws as ({weighted_sums('rep, d, s', 'ge join bw using (patient_group)', 'w')}), mv as (select rep, d, s, precision, recall, f1, mean_iou iou, mean_dice dice from (select *, {RATIOS} from ws)),
+    lg as (select * from (select rep, d, s, unnest([{', '.join(f"'{m}'" for m in FIVE)}]) metric, unnest([{', '.join(FIVE)}]) v from mv)),
     sa as (select rep, d, metric, case when count(*) = count(v) then sum(sw*v)/sum(sw) end v from lg join sw using (rep, s) group by rep, d, metric)"""
 
 
 @query("seed_average_estimate", SEEDAVG + " select rep, d, metric, round(v, 9) as value from sa")
 def seed_average_estimate(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    m = stats.weighted_metrics(ev, run_blocks(spark, sf), stats.cluster_bootstrap_weights(groups(spark, sf), B, SEED), ["d", "s"])
+    sums = stats.bootstrap_sums(ev, stats.bootstrap_arrays(groups(spark, sf), B, SEED), ["d", "s"])
+    m = stats.count_metrics(sums, ["rep", "d", "s"])
     return round_cols(stats.seed_average(m, stats.seed_bootstrap_weights(spark, SEEDS, B, SEED), ["d"]), ["value"])
 
 
@@ -141,8 +153,7 @@ RECALLS = EVID + ", rr as (select rep, d, s, sum(w*tp)::double/sum(w*(tp+fn)) re
 
 def bootstrap_recall(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    sums = ev.join(stats.cluster_bootstrap_weights(groups(spark, sf), B, SEED), "patient_group").groupBy("rep", "d", "s").agg(
-        F.sum(F.col("w") * F.col("tp")).alias("tp"), F.sum(F.col("w") * F.col("fn")).alias("fn"))
+    sums = stats.bootstrap_sums(ev, stats.bootstrap_arrays(groups(spark, sf), B, SEED), ["d", "s"])
     return sums.withColumn("recall", F.col("tp").cast("double") / (F.col("tp") + F.col("fn")))
 
 
@@ -158,7 +169,7 @@ def percentile_ci(spark, sf):
 def permutation_p_value(spark, sf):
     ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
     recall = F.sum("tp").cast("double") / F.sum(F.col("tp") + F.col("fn"))
-    swapped = stats.hybrid_swap(ev, stats.permutation_swaps(groups(spark, sf), P, SEED), 1).groupBy("rep", "s", "role").agg(recall.alias("recall"))
+    swapped = stats.hybrid_sums(ev, stats.swap_arrays(groups(spark, sf), P, SEED), 1, ["s"]).groupBy("rep", "s", "role").agg(recall.alias("recall"))
     gap = lambda side, x, y: F.max(F.when(F.col(side) == x, F.col("recall"))) - F.max(F.when(F.col(side) == y, F.col("recall")))
     null = swapped.groupBy("rep", "s").agg(gap("role", "a", "b").alias("null_diff"))
     observed = ev.groupBy("d", "s").agg(recall.alias("recall")).groupBy("s").agg(gap("d", 0, 1).alias("obs"))
@@ -166,7 +177,9 @@ def permutation_p_value(spark, sf):
 
 
 C_KEYS = "condition, d, s"
-CBASE = f"with recursive {fx.sql_views('cpr', 'tg', 'cruns', 'im')}, {GROUPS_SQL}, {match_block('c', 'cpr', 'tg', C_KEYS)}, {image_evidence_block('c', 'tg', 'cruns', C_KEYS)}, ge as (select condition, d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_c join im using (image_id) group by all)"
+C_EVID = f"{{}} {match_block('c', 'cpr', 'tg', C_KEYS)}, {image_evidence_block('c', 'tg', 'cruns', C_KEYS)}, ge as (select condition, d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_c join im using (image_id) group by all)"
+C_VIEWS = f"with recursive {fx.sql_views('cpr', 'tg', 'cruns', 'im')}"
+CBASE, CBASE_FULL = (C_EVID.format(f"{C_VIEWS}, {groups_sql(b, p)},") for b, p in ((AP_B, AP_P), (B, P)))
 C_RUN = ("condition", "d", "s")
 
 
@@ -175,15 +188,13 @@ def condition_evidence(spark, sf):
     return metrics.image_evidence(ev, C_RUN)
 
 
-@query("retention_estimand", CBASE + """, rc as (select rep, condition, d, sum(w*tp)::double/sum(w*(tp+fn)) v from ge join bw using (patient_group) group by all)
+@query("retention_estimand", CBASE_FULL + """, rc as (select rep, condition, d, sum(w*tp)::double/sum(w*(tp+fn)) v from ge join bw using (patient_group) group by all)
     select a.rep, a.condition, a.d, 'recall' metric, 'raw' estimand, round(a.v, 9) as value from rc a union all
     select a.rep, a.condition, a.d, 'recall', 'retention', round(a.v/b.v, 9) from rc a join rc b on a.rep=b.rep and a.d=b.d and b.condition='clean'""")
 def retention_estimand(spark, sf):
     ev = stats.group_evidence(condition_evidence(spark, sf), groups(spark, sf), [*C_RUN])
-    w = stats.cluster_bootstrap_weights(groups(spark, sf), B, SEED)
-    long = ev.join(w, "patient_group").groupBy("rep", "condition", "d").agg(
-        (F.sum(F.col("w") * F.col("tp")).cast("double") / F.sum(F.col("w") * (F.col("tp") + F.col("fn")))).alias("value")
-    ).withColumn("metric", F.lit("recall"))
+    sums = stats.bootstrap_sums(ev, stats.bootstrap_arrays(groups(spark, sf), B, SEED), ["condition", "d"])
+    long = sums.select("rep", "condition", "d", (F.col("tp").cast("double") / (F.col("tp") + F.col("fn"))).alias("value"), F.lit("recall").alias("metric"))
     clean = long.filter("condition = 'clean'").drop("condition")
     return round_cols(stats.with_retention(long, clean, ["condition", "d"]), ["value"]).select("rep", "condition", "d", "metric", "estimand", "value")
 
@@ -222,14 +233,14 @@ def analysis_sql(scope: str, full: str, ge: str, dg: str, seeds_sql: str) -> str
         from po join ci using {using} join te using {using})"""
 
 
-ANALYZE = analysis_sql("", FULL, "ge", "dg", f"sw2 as (select * from sw union all select -1, unnest([17,42,137]), 1), pw as (select rep::int rep, unnest([17,42,137]) s, 1 sw from range({P}) r(rep))")
+ANALYZE = analysis_sql("", FULL, "ge", "dg", f"sw2 as (select * from sw union all select -1, unnest([17,42,137]), 1), pw as (select rep::int rep, unnest([17,42,137]) s, 1 sw from range({AP_P}) r(rep))")
 COND = analysis_sql("condition", CBASE + f", {level_block('c', 'cpr', 'tg', C_KEYS)}, dg as (select dl_c.*, patient_group from dl_c join im using (image_id))", "ge", "dg",
-                    f"sw2 as (select rep::int rep, 17 s, 1 sw from range(-1, {B}) r(rep)), pw as (select rep::int rep, 17 s, 1 sw from range({P}) r(rep))")
+                    f"sw2 as (select rep::int rep, 17 s, 1 sw from range(-1, {AP_B}) r(rep)), pw as (select rep::int rep, 17 s, 1 sw from range({AP_P}) r(rep))")
 
 
 @query("analyze_pair", ANALYZE + f" select estimand, metric, {rnd(OUT + ['effect_size'])}, {', '.join(c for c in OUT_ALL if c not in OUT and c != 'effect_size')} from an")
 def analyze_pair(spark, sf):
-    out = stats.analyze_pair(run_evidence(spark, sf), run_blocks(spark, sf), groups(spark, sf), (0, 1), SEEDS, B, P, SEED)
+    out = stats.analyze_pair(run_evidence(spark, sf), run_blocks(spark, sf), groups(spark, sf), (0, 1), SEEDS, AP_B, AP_P, SEED)
     return round_cols(out, [*OUT, "effect_size"])
 
 
@@ -244,7 +255,7 @@ HOLM_W = "rows between unbounded preceding and current row"
 def corruption_statistics(spark, sf):
     dets = matching.coco_match(fx.condition_predictions(spark, sf), fx.det_targets(spark, sf), C_RUN)
     blocks = stats.pair_blocks(dets, groups(spark, sf), ("condition",))
-    out = stats.analyze_pair(condition_evidence(spark, sf), blocks, groups(spark, sf), (0, 1), [17], B, P, SEED, ("condition",), "clean")
+    out = stats.analyze_pair(condition_evidence(spark, sf), blocks, groups(spark, sf), (0, 1), [17], AP_B, AP_P, SEED, ("condition",), "clean")
     return round_cols(stats.holm_by_family(out), [*OUT, "effect_size", "p_holm"])
 
 
@@ -353,11 +364,11 @@ def merge_endpoint_rows(spark, sf):
 
 
 @query("decorate_rows", f"""with {PVALS} select pv.*, round(p_raw, 9) p_holm, 1::bigint holm_family_size, 'robustness' scope, (select count(*) from orders) image_count, (select count(distinct o_custkey) from orders) patient_group_count,
-    0.95::double confidence_level, 2000 bootstrap_resamples from (select metric, estimand, condition, status, round(p_raw, 9) p_raw from pv) pv""")
+    0.95::double confidence_level, {AP_B} bootstrap_resamples from (select metric, estimand, condition, status, round(p_raw, 9) p_raw from pv) pv""")
 def decorate_rows(spark, sf):
     counts = fx.det_images(spark, sf).agg(F.count("*").alias("image_count"), F.count_distinct("patient_group").alias("patient_group_count"))
     rows = round_cols(p_values(spark, sf), ["p_raw"])
-    return stats.decorate_rows(rows, "robustness", counts, confidence_level=0.95, bootstrap_resamples=2000)
+    return stats.decorate_rows(rows, "robustness", counts, confidence_level=0.95, bootstrap_resamples=AP_B)
 
 
 @query("diff_significance", f"""with {FAMILY}, cur as (select metric, estimand, condition, status='complete' and coalesce(case when condition='clean' then p_raw else ph end < 0.5e0, false) sig from hf),

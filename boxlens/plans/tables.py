@@ -132,12 +132,12 @@ def run_comparison_rows(spark, sf):
     return round_cols(round_cols(round_cols(out, ["evaluation_fps"], 6), ["checkpoint_size_mib"]), ["training_seconds"], 4)
 
 
-@query("check_factorial_grid", """with g as (select n_name detector, o_orderpriority condition, count(*) n from orders join customer on o_custkey=c_custkey join nation on n_nationkey=c_nationkey where o_totalprice > 495000 group by all),
+@query("check_factorial_grid", """with g as (select n_name detector, o_orderpriority condition, count(*) n from orders join customer on o_custkey=c_custkey join nation on n_nationkey=c_nationkey group by all),
     e as (select r_name detector, condition from region, (select distinct o_orderpriority condition from orders)), full_grid as (select n_name detector, condition from nation, (select distinct o_orderpriority condition from orders))
     select detector, condition, coalesce(n, 0) n, case when e.detector is null then 'unexpected' when g.detector is null then 'missing' else 'duplicate' end problem
     from full_grid e full join g using (detector, condition) where e.detector is null or g.detector is null or n > 1""")
 def check_factorial_grid(spark, sf):
-    rows = fx.table(spark, sf, "orders").filter("o_totalprice > 495000").join(fx.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+    rows = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         fx.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("detector"), F.col("o_orderpriority").alias("condition"))
     dims = [fx.table(spark, sf, "nation").select(F.col("n_name").alias("detector")), fx.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("condition")).distinct()]
     return comparison.check_factorial_grid(rows, dims, ["detector", "condition"])
