@@ -244,17 +244,18 @@ def corrupt(kind: str, value: float, condition: str, seed: int, key: str = "imag
 def corruption_fanout(images: DataFrame, seed: int, corruptions=CORRUPTIONS, key: str = "image_id") -> DataFrame:
     """Every image under every codec-free condition, size preserved.
 
-    One projection per condition over the same scan, combined by union: the
-    conditions run as parallel tasks and nothing is shuffled.
+    One scan: each image row is repeated once per condition, and a CASE over the condition
+    computes only the branch that applies. Nothing is shuffled.
     """
-    parts = []
+    listed, branches = [], F.lit(None)
     for name, family, kind, _, values in corruptions:
         if kind == "jpeg":
             continue
         for severity, value in enumerate(values, 1):
             cid = f"{name}_s{severity}"
-            parts.append(images.select(key, "h", "w", F.lit(cid).alias("condition"), F.lit(family).alias("family"), F.lit(severity).alias("severity"), corrupt(kind, value, cid, seed, key).alias("v")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            listed.append(F.struct(F.lit(cid).alias("condition"), F.lit(family).alias("family"), F.lit(severity).alias("severity")))
+            chosen = F.col("condition") == cid
+            made = corrupt(kind, value, cid, seed, key)
+            branches = F.when(chosen, made) if len(listed) == 1 else branches.when(chosen, made)
+    rows = images.select(key, "h", "w", "v", F.inline(F.array(*listed)))
+    return rows.withColumn("v", branches).select(key, "h", "w", "condition", "family", "severity", "v")
