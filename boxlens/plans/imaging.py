@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxlens.operators import cases, images, matching, metrics
+from boxlens.operators import ap, cases, images, matching, metrics
 from boxlens.plans import fixtures as fx
 from boxlens.plans.catalog import query
 from boxlens.plans.detection import round_cols
-from boxlens.plans.oracle_parts import IOU_SQL, METRIC_COLS, RATIOS, image_evidence_block, match_block
+from boxlens.plans.oracle_parts import IOU_SQL, METRIC_COLS, RATIOS, ap_ctes, image_evidence_block, level_block, match_block
 from boxlens.plans.statistics import CBASE, C_RUN, hex8
 
 SEED = 17
@@ -298,6 +298,9 @@ def case_rows(spark, sf):
 
 ROB = CBASE + f""", co as (select condition, d, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_c group by all), cm as (select * from (select *, {RATIOS} from co))"""
 CM = list(METRIC_COLS)
+SEVEN_CM = [*CM, "map_50", "map_50_95"]
+ROB7 = ROB + f""", {level_block('c', 'cpr', 'tg', 'condition, d, s')}, tt as (select condition, d, s, (select count(*) from tg) target_count from cruns),
+    {ap_ctes('condition, d, s', 'dl_c', 'tt', tag='r')}, c7 as (select cm.*, map_50, map_50_95 from cm join apsr using (condition, d))"""
 
 
 def condition_rows(spark, sf, by=()):
@@ -305,16 +308,24 @@ def condition_rows(spark, sf, by=()):
     return metrics.summarize(ev, ["condition", "d", *by])
 
 
-@query("join_clean_baseline", ROB + " select a.condition, a.d, " + ", ".join(f"round(a.{m}, 9) as {m}, round(b.{m}, 9) as {m}_clean" for m in CM) + " from cm a join cm b on a.d=b.d and b.condition='clean'")
+def condition_metrics(spark, sf):
+    """The seven metrics of every condition and detector."""
+    dets = matching.coco_match(fx.condition_predictions(spark, sf), fx.det_targets(spark, sf), C_RUN)
+    totals = ap.target_totals(fx.det_targets(spark, sf), fx.condition_runs(spark), C_RUN)
+    levels = ap.average_precision(ap.detection_blocks(dets, [*C_RUN]), totals, [*C_RUN])
+    return condition_rows(spark, sf).join(ap.ap_summary(levels, ["condition", "d"]), ["condition", "d"])
+
+
+@query("join_clean_baseline", ROB7 + " select a.condition, a.d, " + ", ".join(f"round(a.{m}, 9) as {m}, round(b.{m}, 9) as {m}_clean" for m in SEVEN_CM) + " from c7 a join c7 b on a.d=b.d and b.condition='clean'")
 def join_clean_baseline(spark, sf):
-    out = cases.join_clean_baseline(condition_rows(spark, sf), ["d"], CM).select("condition", "d", *CM, *[f"{m}_clean" for m in CM])
-    return round_cols(out, [*CM, *[f"{m}_clean" for m in CM]])
+    out = cases.join_clean_baseline(condition_metrics(spark, sf), ["d"], SEVEN_CM).select("condition", "d", *SEVEN_CM, *[f"{m}_clean" for m in SEVEN_CM])
+    return round_cols(out, [*SEVEN_CM, *[f"{m}_clean" for m in SEVEN_CM]])
 
 
-@query("retention_degradation", ROB + " select a.condition, a.d, " + ", ".join(f"round(a.{m}/nullif(b.{m}, 0), 9) as {m}_relative, round(1-a.{m}/nullif(b.{m}, 0), 9) as {m}_degradation" for m in CM) + " from cm a join cm b on a.d=b.d and b.condition='clean'")
+@query("retention_degradation", ROB7 + " select a.condition, a.d, " + ", ".join(f"round(a.{m}/nullif(b.{m}, 0), 9) as {m}_relative, round(1-a.{m}/nullif(b.{m}, 0), 9) as {m}_degradation" for m in SEVEN_CM) + " from c7 a join c7 b on a.d=b.d and b.condition='clean'")
 def retention_degradation(spark, sf):
-    out = cases.retention_degradation(cases.join_clean_baseline(condition_rows(spark, sf), ["d"], CM), CM)
-    cols = [f"{m}_{x}" for m in CM for x in ("relative", "degradation")]
+    out = cases.retention_degradation(cases.join_clean_baseline(condition_metrics(spark, sf), ["d"], SEVEN_CM), SEVEN_CM)
+    cols = [f"{m}_{x}" for m in SEVEN_CM for x in ("relative", "degradation")]
     return round_cols(out.select("condition", "d", *cols), cols)
 
 
