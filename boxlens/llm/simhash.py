@@ -28,6 +28,7 @@ from boxlens.session import materialize
 SHINGLE = 3
 RADIUS = 3
 TREE_NODES = 1 << 15
+MANY = 10_000
 SLICE = 1 << 17  # shingles hashed at a time within one text
 FRONTIER = 1 << 20  # (query, node) pairs looked at together
 BATCH = 1 << 16  # shard rows gathered before trees are built
@@ -196,11 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occurrence. An empty table gives an empty result; other columns are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     roots = components(fingerprint_links(nodes.select("fp"), radius, tree_nodes), "simhash-links")
     # one component per fingerprint: its own least id, or the least of all linked ones
     linked = nodes.join(roots, nodes["fp"] == roots["node"])
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     joined = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
-    per_fp = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(per_fp, "fp").select("id", "fp", "component")
+    per_fp = materialize(nodes.join(joined, "fp", "left").select("fp", "copies", F.coalesce("component", "least").alias("component")), "simhash-named")
+    # a fingerprint with more than 1 / MANY of all rows is one of at most MANY: those are broadcast, so no task gathers their rows
+    total = per_fp.agg(F.sum("copies")).first()[0] or 0
+    often = per_fp.filter(F.col("copies") * MANY > total).select("fp", "component", F.lit(True).alias("often"))
+    marked = rows.join(F.broadcast(often), "fp", "left")
+    rest = marked.filter("often is null").select("id", "fp").join(per_fp.select("fp", "component"), "fp")
+    return marked.filter("often").select("id", "fp", "component").unionByName(rest.select("id", "fp", "component"))
