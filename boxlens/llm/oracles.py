@@ -87,3 +87,20 @@ hit as (select page_id, list, p.pattern from p join u using (page_id) join span
 select page_id, cast(any_value(day) as varchar) as day, any_value(host) host, count(list) n_matches, coalesce(string_agg(distinct list, ',' order by list), '') lists,
        coalesce(string_agg(distinct pattern, ',' order by pattern), '') patterns, count(list) > 0 blocked
 from u left join hit using (page_id) group by page_id"""
+
+
+TERMS = "regexp_extract_all(" + FOLD + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKING = f"""
+with d as (select row_number() over () r, doc_id, {TERMS.format('text')} w from documents where text is not null),
+tot as (select count(*) n_docs, sum(len(w)) n_terms from d where len(w) > 0),
+it as (select row_number() over () i, item_id, {TERMS.format('text')} w from benchmark where text is not null),
+q as (select i, t, count(*) q from (select i, unnest(w) t from it) group by i, t),
+tf as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from q) group by r, t),
+wt as (select t, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) w from tf, tot group by t, n_docs),
+doc as (select r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms m from d, tot),
+hit as (select i, r, cast(sum(q * wt.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) score
+        from q join tf using (t) join wt using (t) join doc using (r) group by i, r),
+top as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls last) rank from hit join doc using (r) where score > 0)
+select item_id, cast(rank as integer) rank, doc_id, score from top join it using (i) where rank <= 20"""
+

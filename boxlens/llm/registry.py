@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxlens.llm import bpe, chat, chunks, decontaminate, fingerprint, licenses, oracles, pii, quality, simhash, urls
+from boxlens.llm import bpe, chat, chunks, decontaminate, fingerprint, licenses, oracles, pii, quality, ranking, repair, secrets, simhash, urls
 from boxlens.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -87,6 +87,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return secrets.summary(found).withColumnRenamed("id", "doc_id")
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with faults dealt by a checksum of conversation and turn; ``copies`` is 2 for a repeated row."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(way == 1, "").when(way == 2, F.regexp_replace(filled("text"), "[.!?]", "")).otherwise(filled("text"))
+    return rows.filter(way != 0).select(
+        "conv_id", "turn", F.when(way == 4, "user").otherwise(filled("role")).alias("role"), text.alias("text"), F.when(way == 3, 2).otherwise(1).alias("copies"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    report, turns = repair.repair(damaged(rows), copies_col="copies")
+    hashed = repair.digests(turns)
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(report, every["conv_id"].eqNullSafe(report["conv"]), "left").join(hashed, every["conv_id"].eqNullSafe(hashed["conv"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -99,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": op8_fingerprint,
         "op9_urls": op9_urls,
         "op10_simhash": op10_simhash,
+        "op11_secrets": op11_secrets,
+        "op12_ranking": op12_ranking,
+        "op13_repair": op13_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -110,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": oracles.DECONTAMINATE,
         "op4_chat": oracles.CHAT,
         "op9_urls": oracles.URLS,
+        "op12_ranking": oracles.RANKING,
     }
