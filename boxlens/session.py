@@ -60,7 +60,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing will read again; others are left alone."""
+    for table in tables:
+        if (path := getattr(table, "scratch_path", None)) is None:
+            continue
+        context = table.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
