@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.session import materialize
+from boxlens.session import materialize, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     links = materialize(links, name)
     before = None
     while True:
-        links = materialize(_star(_star(links, True), False), name)
+        old, links = links, materialize(_star(_star(links, True), False), name)
+        release(old)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -9,7 +9,7 @@ import corpus_pipeline
 from boxlens.llm import bpe, decontaminate, pii, quality
 from boxlens.llm.common import read
 from tests.llm.test_decontaminate import slow_words
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_similar import slow_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_run_matches_stage_by_stage_brute_force(spark):
     stats = quality.statistics_of(read(spark, SF, "documents"))
     model = quality.fit(stats, read(spark, SF, "labels"))
     docs = {i: t for i, t in docs.items() if model.score(np.array([quality.statistics(t.encode())]))[0] >= 0.5}
-    docs = {i: docs[i] for i, _, c in slow_components(list(docs.items())) if i == c}
+    docs = {i: docs[i] for i, c in zip(docs, slow_components(list(docs.items())), strict=True) if i == c}
     windows = set()
     for r in read(spark, SF, "benchmark").collect():
         ws = slow_words(r.text)
@@ -57,7 +57,17 @@ def test_stages_with_nulls_repeats_and_odd_columns(spark, tmp_path):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert out.count() == docs.count() and "doc_id" in out.columns
     kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, schema), SF).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 5, None]
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 5]
+
+
+def test_contaminated_rows_go_alone(spark):
+    """Neither rows without an id nor repeats of a contaminated row's id go with it."""
+    item = next(r.text for r in read(spark, SF, "benchmark").collect() if len(slow_words(r.text)) > 12)
+    clean = "nothing of any test is in here " * 3
+    rows = [(None, f"x {item} y"), (None, clean), (1, clean), (1, item), (2, clean), (2, None), (None, "")]
+    frame = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.clean_of_benchmarks(spark, frame, SF).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
 
 
 def test_the_rest_does_not_need_the_text_package():
