@@ -6,17 +6,14 @@ from pyspark.sql import functions as F
 
 from boxlens.functions.hashing import stable_seed, stable_seed_le
 from boxlens.functions.ratios import finite_or_null
-from boxlens.operators import comparison, matching, metrics, stats
+from boxlens.operators import comparison, matching, metrics, resampling, stats
 from boxlens.plans import fixtures as fx
 from boxlens.plans.catalog import query
 from boxlens.plans.detection import round_cols
-from boxlens.plans.oracle_parts import RATIOS, ap_ctes, image_evidence_block, level_block, match_block
+from boxlens.plans.oracle_parts import RATIOS, image_evidence_block, match_block
 
 SEED = 7
-# Draws of the statistics that follow from summed evidence.
-B, P = 2000, 5000
-# Draws of the ones with average precision: as many as the oracle can evaluate.
-AP_B, AP_P = 5, 5
+B, P = 2000, 5000  # draws of every statistic
 SEEDS = list(fx.SEEDS)
 SEVEN = list(comparison.METRIC_VECTOR)
 
@@ -29,8 +26,11 @@ def run_evidence(spark, sf):
     return metrics.image_evidence(metrics.operating_evidence(fx.det_predictions(spark, sf), fx.det_targets(spark, sf), fx.runs(spark)))
 
 
-def run_blocks(spark, sf):
-    return stats.pair_blocks(matching.coco_match(fx.det_predictions(spark, sf), fx.det_targets(spark, sf)), groups(spark, sf))
+def paired_runs(spark, sf):
+    """Evidence per run and group, detection blocks, and the number of groups."""
+    numbered, n = resampling.numbered_groups(groups(spark, sf))
+    blocks = resampling.pair_blocks(matching.coco_match(fx.det_predictions(spark, sf), fx.det_targets(spark, sf)), numbered)
+    return stats.group_evidence(run_evidence(spark, sf), numbered, ["d", "s"], "g"), blocks, n
 
 
 def hex8(expr):
@@ -46,28 +46,14 @@ def groups_sql(b: int, p: int) -> str:
 
 
 VIEWS = f"with recursive {fx.sql_views('pr', 'tg', 'runs', 'im')}"
-BASE, BASE_AP = f"{VIEWS}, {groups_sql(B, P)}", f"{VIEWS}, {groups_sql(AP_B, AP_P)}"
+BASE = f"{VIEWS}, {groups_sql(B, P)}"
 GROUP_EVIDENCE = f", {match_block('o', 'pr', 'tg')}, {image_evidence_block('o', 'tg', 'runs')}, ge as (select d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_o join im using (image_id) group by all)"
-EVID, EVID_AP = BASE + GROUP_EVIDENCE, BASE_AP + GROUP_EVIDENCE
-FULL = EVID_AP + f", {level_block('o', 'pr', 'tg')}, dg as (select dl_o.*, patient_group from dl_o join im using (image_id))"
-
-
+EVID = BASE + GROUP_EVIDENCE
 def weighted_sums(keys, source, w):
     return f"select {keys}, " + ", ".join(f"sum({w}*{c}) {c}" for c in stats.COUNTS) + f" from {source} group by {keys}"
 
 
-def seven_block(keys, sums_name, tag):
-    ks = [k.strip() for k in keys.split(",")]
-    return f"""mv{tag} as (select a.*, map_50, map_50_95 from (select {keys}, precision, recall, f1, mean_iou iou, mean_dice dice from (select *, {RATIOS} from {sums_name})) a
-        join aps{tag} x on {' and '.join(f'a.{k}=x.{k}' for k in ks)})"""
-
-
-BOOT = FULL + f""", ws as ({weighted_sums('rep, d, s', 'ge join bw using (patient_group)', 'w')}), dw as (select dg.*, rep, w from dg join bw using (patient_group)),
-    {ap_ctes('rep, d, s', 'dw', 'ws', 'w', tag='b')}, {seven_block('rep, d, s', 'ws', 'b')}"""
 ROLE = "case when (d=1) = swap then 'a' else 'b' end"
-PERM = FULL + f""", gh as (select ge.*, rep, {ROLE} as role from ge join swp using (patient_group)), hs as ({weighted_sums('rep, role, s', 'gh', '1')}),
-    dh as (select dg.*, rep, {ROLE} as role from dg join swp using (patient_group)), {ap_ctes('rep, role, s', 'dh', 'hs', order='score desc, d, image_id, rank', tag='h')}, {seven_block('rep, role, s', 'hs', 'h')}"""
-
 
 def rnd(cols, d=9):
     return ", ".join(f"round({c}, {d}) as {c}" for c in cols)
@@ -114,18 +100,16 @@ def permutation_swaps(spark, sf):
     return stats.swap_arrays(groups(spark, sf), P, SEED).select("patient_group", F.array_join(F.transform("swap", lambda x: x.cast("int")), "").alias("swaps"))
 
 
-@query("weighted_metrics", BOOT + f" select rep, d, s, {rnd(SEVEN)} from mvb")
+@query("weighted_metrics")
 def weighted_metrics(spark, sf):
-    ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    w = stats.cluster_bootstrap_weights(groups(spark, sf), AP_B, SEED)
-    return round_cols(stats.weighted_metrics(ev, run_blocks(spark, sf), w, ["d", "s"]), SEVEN)
+    ev, blocks, n = paired_runs(spark, sf)
+    return round_cols(resampling.weighted_metrics(ev, blocks, resampling.Bootstrap(n, B, SEED), ["d", "s"]).select("rep", "d", "s", *SEVEN), SEVEN)
 
 
-@query("hybrid_metrics", PERM + f" select rep, role, s, {rnd(SEVEN)} from mvh")
+@query("hybrid_metrics")
 def hybrid_metrics(spark, sf):
-    ev = stats.group_evidence(run_evidence(spark, sf), groups(spark, sf), ["d", "s"])
-    swaps = stats.permutation_swaps(groups(spark, sf), AP_P, SEED)
-    return round_cols(stats.hybrid_metrics(ev, run_blocks(spark, sf), swaps, 1, ["s"]), SEVEN)
+    ev, blocks, _ = paired_runs(spark, sf)
+    return round_cols(resampling.hybrid_metrics(ev, blocks, resampling.Swaps(1, P, SEED), ["s"]).select("rep", "role", "s", *SEVEN), SEVEN)
 
 
 @query("hybrid_swap", EVID + f" select rep, {ROLE} as role, s, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from ge join swp using (patient_group) group by all")
@@ -179,7 +163,7 @@ def permutation_p_value(spark, sf):
 C_KEYS = "condition, d, s"
 C_EVID = f"{{}} {match_block('c', 'cpr', 'tg', C_KEYS)}, {image_evidence_block('c', 'tg', 'cruns', C_KEYS)}, ge as (select condition, d, s, patient_group, sum(target_count) target_count, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ie_c join im using (image_id) group by all)"
 C_VIEWS = f"with recursive {fx.sql_views('cpr', 'tg', 'cruns', 'im')}"
-CBASE, CBASE_FULL = (C_EVID.format(f"{C_VIEWS}, {groups_sql(b, p)},") for b, p in ((AP_B, AP_P), (B, P)))
+CBASE = C_EVID.format(f"{C_VIEWS}, {groups_sql(B, P)},")
 C_RUN = ("condition", "d", "s")
 
 
@@ -188,7 +172,7 @@ def condition_evidence(spark, sf):
     return metrics.image_evidence(ev, C_RUN)
 
 
-@query("retention_estimand", CBASE_FULL + """, rc as (select rep, condition, d, sum(w*tp)::double/sum(w*(tp+fn)) v from ge join bw using (patient_group) group by all)
+@query("retention_estimand", CBASE + """, rc as (select rep, condition, d, sum(w*tp)::double/sum(w*(tp+fn)) v from ge join bw using (patient_group) group by all)
     select a.rep, a.condition, a.d, 'recall' metric, 'raw' estimand, round(a.v, 9) as value from rc a union all
     select a.rep, a.condition, a.d, 'recall', 'retention', round(a.v/b.v, 9) from rc a join rc b on a.rep=b.rep and a.d=b.d and b.condition='clean'""")
 def retention_estimand(spark, sf):
@@ -200,62 +184,25 @@ def retention_estimand(spark, sf):
 
 
 OUT = ["estimate_a", "estimate_b", "difference", "a_ci_low", "a_ci_high", "b_ci_low", "b_ci_high", "difference_ci_low", "difference_ci_high", "p_raw"]
-OUT_ALL = OUT + ["bootstrap_valid_a", "bootstrap_valid_b", "bootstrap_valid_difference", "permutation_valid", "effect_size", "status", "reason"]
-
-
-def analysis_sql(scope: str, full: str, ge: str, dg: str, seeds_sql: str) -> str:
-    """Everything after the evidence: draws, metrics, seed means, intervals, p."""
-    sc = f"{scope}, " if scope else ""
-    w2 = f"bw2 as (select * from bw union all select -1, patient_group, 1 from gi), {seeds_sql}"
-    m = ", ".join(f"'{x}'" for x in SEVEN)
-    unp = lambda mv, side, tag: f"lg{tag} as (select * from (select rep, {sc}{side}, s, unnest([{m}]) metric, unnest([{', '.join(SEVEN)}]) v from {mv}))"
-    avg = lambda side, tag, weights: f"sa{tag} as (select rep, {sc}{side}, metric, case when count(*) = count(v) then sum(sw*v)/sum(sw) end v from lg{tag} join {weights} using (rep, s) group by rep, {sc}{side}, metric)"
-    def est(side, tag):
-        raw = f"select rep, {sc}{side}, metric, 'raw' estimand, v from sa{tag}"
-        if not scope:
-            return f"es{tag} as ({raw})"
-        return f"es{tag} as ({raw} union all select a.rep, a.{scope}, a.{side}, a.metric, 'retention', case when b.v <> 0 then a.v/b.v end from sa{tag} a join sa{tag} b on a.rep=b.rep and a.{side}=b.{side} and a.metric=b.metric and b.{scope}='clean')"
-    pair = lambda side, x, y, tag: f"pp{tag} as (select rep, {sc}estimand, metric, max(case when {side}={x} then v end) va, max(case when {side}={y} then v end) vb from es{tag} group by rep, {sc}estimand, metric)"
-    using = f"({sc}estimand, metric)"
-    q = lambda c, n: f"quantile_cont({c}, 0.025e0) {n}_ci_low, quantile_cont({c}, 0.975e0) {n}_ci_high, count({c}) bootstrap_valid_{n}"
-    return full + f""", {w2}, ws as ({weighted_sums(f'rep, {sc}d, s', f'{ge} join bw2 using (patient_group)', 'w')}), dw as (select {dg}.*, rep, w from {dg} join bw2 using (patient_group)),
-    {ap_ctes(f'rep, {sc}d, s', 'dw', 'ws', 'w', tag='b')}, {seven_block(f'rep, {sc}d, s', 'ws', 'b')},
-    gh as (select {ge}.*, rep, {ROLE} as role from {ge} join swp using (patient_group)), hs as ({weighted_sums(f'rep, {sc}role, s', 'gh', '1')}),
-    dh as (select {dg}.*, rep, {ROLE} as role from {dg} join swp using (patient_group)), {ap_ctes(f'rep, {sc}role, s', 'dh', 'hs', order='score desc, d, image_id, rank', tag='h')}, {seven_block(f'rep, {sc}role, s', 'hs', 'h')},
-    {unp('mvb', 'd', 'b')}, {avg('d', 'b', 'sw2')}, {est('d', 'b')}, {pair('d', 0, 1, 'b')}, {unp('mvh', 'role', 'h')}, {avg('role', 'h', 'pw')}, {est('role', 'h')}, {pair('role', "'a'", "'b'", 'h')},
-    po as (select {sc}estimand, metric, va, vb, va-vb df from ppb where rep=-1),
-    ci as (select {sc}estimand, metric, {q('va', 'a')}, {q('vb', 'b')}, {q('va-vb', 'difference')} from ppb where rep>=0 group by {sc}estimand, metric),
-    te as (select {sc}estimand, metric, count(h.va-h.vb) permutation_valid, case when count(h.va-h.vb) > 0 and count(df) > 0 then (1 + count(*) filter (abs(h.va-h.vb) >= abs(df) - 1e-15))::double/(count(h.va-h.vb)+1) end p_raw
-        from pph h join po using {using} group by {sc}estimand, metric),
-    an as (select {sc}estimand, metric, po.va estimate_a, po.vb estimate_b, df difference, df effect_size, ci.* exclude ({sc}estimand, metric), permutation_valid, p_raw,
-        case when po.va is not null and po.vb is not null and p_raw is not null then 'complete' else 'not_estimable' end status,
-        case when po.va is not null and po.vb is not null and p_raw is not null then '' else '{stats.UNDEFINED_REASON}' end reason
-        from po join ci using {using} join te using {using})"""
-
-
-ANALYZE = analysis_sql("", FULL, "ge", "dg", f"sw2 as (select * from sw union all select -1, unnest([17,42,137]), 1), pw as (select rep::int rep, unnest([17,42,137]) s, 1 sw from range({AP_P}) r(rep))")
-COND = analysis_sql("condition", CBASE + f", {level_block('c', 'cpr', 'tg', C_KEYS)}, dg as (select dl_c.*, patient_group from dl_c join im using (image_id))", "ge", "dg",
-                    f"sw2 as (select rep::int rep, 17 s, 1 sw from range(-1, {AP_B}) r(rep)), pw as (select rep::int rep, 17 s, 1 sw from range({AP_P}) r(rep))")
-
-
-@query("analyze_pair", ANALYZE + f" select estimand, metric, {rnd(OUT + ['effect_size'])}, {', '.join(c for c in OUT_ALL if c not in OUT and c != 'effect_size')} from an")
+
+
+@query("analyze_pair")
 def analyze_pair(spark, sf):
-    out = stats.analyze_pair(run_evidence(spark, sf), run_blocks(spark, sf), groups(spark, sf), (0, 1), SEEDS, AP_B, AP_P, SEED)
+    numbered, n = resampling.numbered_groups(groups(spark, sf))
+    blocks = resampling.pair_blocks(matching.coco_match(fx.det_predictions(spark, sf), fx.det_targets(spark, sf)), numbered)
+    out = resampling.analyze_pair(run_evidence(spark, sf), blocks, numbered, n, (0, 1), SEEDS, B, P, SEED)
     return round_cols(out, [*OUT, "effect_size"])
 
 
 HOLM_W = "rows between unbounded preceding and current row"
 
 
-@query("corruption_statistics", COND + f""", fam as (select *, case when condition<>'clean' and status='complete' then p_raw end pf from an),
-    st as (select *, count(pf) over (partition by metric, estimand) sz, row_number() over (partition by metric, estimand, pf is null order by pf, condition) rk from fam),
-    hf as (select *, max(case when pf is not null then least(1, (sz-rk+1)*pf) end) over (partition by metric, estimand, pf is null order by pf, condition {HOLM_W}) ph from st)
-    select condition, estimand, metric, {rnd(OUT + ['effect_size'])}, {', '.join(c for c in OUT_ALL if c not in OUT and c != 'effect_size')},
-    round(case when condition='clean' then p_raw else ph end, 9) p_holm, case when condition='clean' then 1 else sz end holm_family_size from hf""")
+@query("corruption_statistics")
 def corruption_statistics(spark, sf):
+    numbered, n = resampling.numbered_groups(groups(spark, sf))
     dets = matching.coco_match(fx.condition_predictions(spark, sf), fx.det_targets(spark, sf), C_RUN)
-    blocks = stats.pair_blocks(dets, groups(spark, sf), ("condition",))
-    out = stats.analyze_pair(condition_evidence(spark, sf), blocks, groups(spark, sf), (0, 1), [17], AP_B, AP_P, SEED, ("condition",), "clean")
+    blocks = resampling.pair_blocks(dets, numbered, ("condition",))
+    out = resampling.analyze_pair(condition_evidence(spark, sf), blocks, numbered, n, (0, 1), [17], B, P, SEED, ("condition",), "clean")
     return round_cols(stats.holm_by_family(out), [*OUT, "effect_size", "p_holm"])
 
 
@@ -364,11 +311,11 @@ def merge_endpoint_rows(spark, sf):
 
 
 @query("decorate_rows", f"""with {PVALS} select pv.*, round(p_raw, 9) p_holm, 1::bigint holm_family_size, 'robustness' scope, (select count(*) from orders) image_count, (select count(distinct o_custkey) from orders) patient_group_count,
-    0.95::double confidence_level, {AP_B} bootstrap_resamples from (select metric, estimand, condition, status, round(p_raw, 9) p_raw from pv) pv""")
+    0.95::double confidence_level, {B} bootstrap_resamples from (select metric, estimand, condition, status, round(p_raw, 9) p_raw from pv) pv""")
 def decorate_rows(spark, sf):
     counts = fx.det_images(spark, sf).agg(F.count("*").alias("image_count"), F.count_distinct("patient_group").alias("patient_group_count"))
     rows = round_cols(p_values(spark, sf), ["p_raw"])
-    return stats.decorate_rows(rows, "robustness", counts, confidence_level=0.95, bootstrap_resamples=AP_B)
+    return stats.decorate_rows(rows, "robustness", counts, confidence_level=0.95, bootstrap_resamples=B)
 
 
 @query("diff_significance", f"""with {FAMILY}, cur as (select metric, estimand, condition, status='complete' and coalesce(case when condition='clean' then p_raw else ph end < 0.5e0, false) sig from hf),
