@@ -37,7 +37,3 @@ def sample_sd(value: Column) -> Column:
     return F.when(F.count(value) < 2, F.lit(None).cast("double")).when(
         F.min(value) == F.max(value), F.lit(0.0)
     ).otherwise(F.stddev_samp(value))
-
-
-def directed(value: Column, direction: str) -> Column:
-    return value if direction == "higher" else -value

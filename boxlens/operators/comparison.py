@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.functions.ratios import directed, sample_sd
+from boxlens.functions.ratios import sample_sd
 from boxlens.functions.text import mean_std
 from boxlens.operators.metrics import undefined_reason
+from boxlens.session import small
 
 CONDITIONAL = ("iou", "dice")
 METRIC_VECTOR = ("precision", "recall", "f1", "iou", "dice", "map_50", "map_50_95")
@@ -94,9 +95,9 @@ def run_comparison_rows(metrics: DataFrame, training: DataFrame, compute: DataFr
 def check_factorial_grid(rows: DataFrame, dimensions: list[DataFrame], keys: list[str]) -> DataFrame:
     """Cells of the expected grid that are missing or repeated, and rows outside it.
 
-    The dimensions are the small detector, seed and condition lists.
+    The dimensions are detector, seed and condition lists; each is broadcast only if counted small.
     """
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dimensions)
+    grid = reduce(lambda a, b: a.crossJoin(small(b)), dimensions)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     both = grid.withColumn("expected", F.lit(True)).join(counts, keys, "full_outer")
     problem = (
@@ -157,6 +158,7 @@ def seed_grid_gaps(runs: DataFrame) -> DataFrame:
 
 
 # Benefit and resource axes of the four panels.
+# Panels and the direction of their axes.
 PANELS = (
     ("a", "throughput_fps", "higher", "map_50_95"),
     ("b", "mean_latency_ms", "lower", "recall"),
@@ -171,7 +173,7 @@ def directed_objective(points: DataFrame) -> DataFrame:
 
 
 def directed_by(value: Column, direction: Column) -> Column:
-    return F.when(direction == "higher", directed(value, "higher")).otherwise(directed(value, "lower"))
+    return F.when(direction == "lower", -value).otherwise(value)
 
 
 def panel_points(points: DataFrame) -> DataFrame:

@@ -57,6 +57,7 @@ def classify_convergence(status: Column) -> Column:
 
 
 def classify_operational(convergence: Column, frozen_predictions: Column, frozen_tp: Column, floor_tp: Column) -> Column:
+    # fixed values: the four labels
     return (
         F.when(convergence != "normal_converged", "training_collapse_or_invalid")
         .when((frozen_predictions == 0) & (floor_tp > 0), "confidence_score_degeneracy_at_frozen_threshold")

@@ -74,13 +74,6 @@ def sink_coco_documents(images: DataFrame, annotations: DataFrame, path: str, pe
     docs.drop("part").withColumn("categories", listed).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
-def yolo_label_text(boxes: DataFrame, key: str, order: str) -> DataFrame:
-    """One text per image, lines in row order. A box row carries class_id, xc, yc, w, h."""
-    line = ten_decimals(F.col("class_id"), *[F.col(c) for c in ("xc", "yc", "w", "h")])
-    lines = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order), line.alias("line")))).alias("lines"))
-    return lines.select(key, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-
-
 def sink_yolo_labels(images: DataFrame, boxes: DataFrame, key: str, order: str, path: str) -> None:
     """Label lines, each behind its image and a tab, as ``scan_yolo_labels(keyed=True)`` reads them.
 
