@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.operators.audit import strict_table_rows
-from boxlens.operators.blocks import exact_percentiles, range_blocks, running_maximum, running_totals
+from boxlens.operators.blocks import exact_percentiles, range_blocks, running_maximum, running_totals, suffix_maximum
 from boxlens.functions.ratios import finite_or_null
-from boxlens.session import materialize
+from boxlens.session import materialize, release
 
 LOSSES = ("box_loss", "cls_loss", "dfl_loss")
 FINAL = (*LOSSES, "map_50", "map_50_95")
@@ -92,12 +94,67 @@ def epoch_time_projection(epochs: DataFrame, keys: list[str], minimum: int, maxi
 STOP_FIELDS = "is_new_best boolean, is_significant boolean, epochs_without_improvement int, should_stop boolean, best_epoch int"
 
 
-def _significant(records: Column, min_delta: float) -> Column:
-    """Epochs of the (epoch, metric) records that beat the last such epoch by more than ``min_delta``."""
-    step = lambda kept, r: F.when(
-        (F.size(kept) == 0) | (r["metric"] > F.element_at(kept, -1)["metric"] + min_delta), F.concat(kept, F.array(r))).otherwise(kept)
-    kept = F.aggregate(records, F.slice(records, 1, 0), step)
-    return F.transform(kept, lambda r: r["epoch"])
+def _next_moves(metric: np.ndarray, min_delta: float) -> np.ndarray:
+    """For each of ascending metrics the place of the first later one that beats it by more than ``min_delta``, else the length."""
+    return np.searchsorted(metric, metric + min_delta, "right")
+
+
+def _moves(raised: DataFrame, min_delta: float, key: str) -> DataFrame:
+    """(key, epoch) of the raised epochs that move the reference, the first of each run included.
+
+    Every raised epoch has one successor: the next that beats it by ``min_delta``. A block
+    finds the last successor inside it for all its rows, an order by metric finds the row of
+    a later block that follows, and pointer doubling over these entries reaches all blocks
+    of a run in a logarithmic number of rounds; none if no run spans two blocks. Then the
+    blocks mark the successors of their entry. ``raised`` is a written table with ``block``.
+    """
+    kind = raised.schema[key].dataType.simpleString()
+    min_delta = max(min_delta, 0.0)  # each raised epoch beats the one before it, so a smaller delta changes nothing
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("epoch", ignore_index=True)
+        metric, here = rows["metric"].to_numpy(), np.arange(len(rows))
+        after = _next_moves(metric, min_delta)
+        last = np.where(after < len(rows), after, here)
+        while not np.array_equal(further := last[last], last):
+            last = further
+        return rows[[key, "epoch"]].assign(leaves=metric[last])
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("epoch", ignore_index=True)
+        after, entries = _next_moves(rows["metric"].to_numpy(), min_delta), np.flatnonzero(rows["entered"])
+        found, at = [], int(entries[0]) if len(entries) else len(rows)
+        while at < len(rows):
+            found.append(at)
+            at = int(after[at])
+        return rows.loc[found, [key, "epoch"]]
+
+    best = raised.filter("is_new_best").select(key, "block", "epoch", "metric")
+    runs = best.groupBy(key).agg(F.min("epoch").alias("epoch"), F.count_distinct("block").alias("blocks"))
+    reached = materialize(runs.select(key, "epoch"), "reached")
+    longest = runs.agg(F.max("blocks")).first()[0] or 1
+    if longest > 1:
+        exits = materialize(best.groupBy(key, "block").applyInPandas(leave, f"{key} {kind}, epoch int, leaves double"), "exits")
+        # of equal values the row comes first, so only greater metrics follow a question
+        rows = best.select(key, F.col("metric").alias("value"), F.lit(0).alias("kind"), (-F.col("epoch")).alias("late"))
+        asked = exits.select(key, (F.col("leaves") + F.lit(min_delta)).alias("value")).distinct()
+        ranged = range_blocks(rows.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True), [(key, True), ("value", True), ("kind", True)], "reach")
+        answers = suffix_maximum(ranged, [key], [("value", True), ("kind", True)], "late", "late_next")
+        hops = materialize(answers.filter("kind = 1 and late_next is not null").select(key, "value", (-F.col("late_next")).alias("target")), "hops")
+        entries = reached.union(hops.select(key, "target")).distinct()
+        leaving = entries.join(exits, [key, "epoch"]).select(key, "epoch", (F.col("leaves") + F.lit(min_delta)).alias("value"))
+        jumps = materialize(leaving.join(hops, [key, "value"]).select(key, "epoch", "target"), "jumps")
+        covered = 1
+        while covered < longest:
+            old = reached, jumps
+            reached = materialize(reached.union(reached.join(jumps, [key, "epoch"]).select(key, "target")), "reached")
+            onward = jumps.select(key, F.col("epoch").alias("target"), F.col("target").alias("beyond"))
+            jumps = materialize(jumps.join(onward, [key, "target"]).select(key, "epoch", F.col("beyond").alias("target")), "jumps")
+            release(*old)
+            covered *= 2
+        release(exits, ranged, hops, jumps)
+    entered = best.join(reached.withColumn("entered", F.lit(True)), [key, "epoch"], "left").fillna(False, ["entered"])
+    return entered.groupBy(key, "block").applyInPandas(mark, f"{key} {kind}, epoch int")
 
 
 def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epochs: int, key: str = "run_id") -> DataFrame:
@@ -105,8 +162,8 @@ def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epoch
 
     The best metric is a running maximum over range blocks, so a long run is spread. The
     metric that patience refers to can only move at an epoch that raises the maximum: all
-    others lie within ``min_delta`` of it. So only those epochs, few in any run, are
-    folded in order, and the epochs without improvement are a distance to the last move.
+    others lie within ``min_delta`` of it. So only those epochs are followed, block by block,
+    and the epochs without improvement are a distance to the last move.
     """
     order = [("epoch", True)]
     rows = epochs.select(key, F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric"))
@@ -114,9 +171,9 @@ def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epoch
     raised = running_maximum(blocks, [key], order, {"before": F.col("metric")}, inclusive=False)
     is_best = F.coalesce(F.col("metric") > F.col("before"), F.col("metric").isNotNull())
     raised = materialize(raised.withColumn("is_new_best", is_best).drop("before"), "raised")
-    records = raised.filter("is_new_best").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("epoch", "metric"))).alias("records"))
-    moves = records.select(key, F.explode(_significant(F.col("records"), min_delta)).alias("epoch")).withColumn("is_significant", F.lit(True))
+    moves = _moves(raised, min_delta, key).withColumn("is_significant", F.lit(True))
     marked = materialize(raised.join(moves, [key, "epoch"], "left").fillna(False, ["is_significant"]), "marked")
+    release(blocks, raised)
     placed = running_totals(marked, [key], order, {"place": F.lit(1).cast("bigint")})
     last = running_maximum(placed, [key], order, {
         "moved": F.when(F.col("is_significant"), F.col("place")), "best_epoch": F.when(F.col("is_new_best"), F.col("epoch"))})

@@ -235,6 +235,31 @@ def test_early_stopping_matches_the_history(spark):
         assert parts == slow_patience(ms, 3, 0.05, 2)
 
 
+def test_early_stopping_of_long_rising_runs(spark):
+    """Runs that rise over many blocks: chains of moves cross blocks, leap over blocks, or take every row."""
+    import random
+
+    from boxlens.operators.runlog import early_stopping
+
+    rng = random.Random(9)
+    for delta in (0.35, 90.0, -1.0):
+        runs = {
+            1: [e / 10 for e in range(6000)], 2: [e * 0.5 + rng.random() for e in range(3000)], 3: [1.0], 4: [-float(e) for e in range(50)],
+            5: [float(e // 700) for e in range(3000)], 6: [None, None, 0.25, 0.25, 7.0], 7: [None]}
+        rows = [(r, e + 1, m) for r, ms in runs.items() for e, m in enumerate(ms)]
+        got = early_stopping(spark.createDataFrame(rows, "run_id bigint, epoch int, metric double"), 3, delta, 2)
+        got = [(g.run_id, g.epoch, g.is_new_best, g.is_significant, g.epochs_without_improvement) for g in got.orderBy("run_id", "epoch").collect()]
+        want = []
+        for r, ms in runs.items():
+            best = reference = moved = None
+            for e, m in enumerate(ms, 1):
+                new = m is not None and (best is None or m > best)
+                move = new and (reference is None or m > reference + delta)
+                best, reference, moved = m if new else best, m if move else reference, e if move else moved
+                want.append((r, e, new, move, e - (moved or 0)))
+        assert got == want
+
+
 def write_lines(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text)
