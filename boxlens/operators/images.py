@@ -1,18 +1,20 @@
 """Heat-map and image operators on row-major arrays.
 
-An image is one row, and each operator maps one row to one row: no pixel ever
-crosses a shuffle, and the work stays in JVM array functions.
+An image is one row, and each operator maps a row to rows: no pixel ever crosses a
+shuffle. Heat maps stay in JVM array functions, corruptions run as array kernels.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.functions.hashing import uniform
-
 # Corruption grid of the robustness study: fixed names, families, units and values.
 CORRUPTIONS = (
     ("darker", "lighting", "brightness", "multiplier", (0.9, 0.8, 0.7, 0.6, 0.5)),
@@ -149,85 +151,73 @@ def minmax_to_uint8(values: Column, invert: Column | None = None) -> Column:
     return let(limits, stretch)
 
 
-def _clip(x: Column) -> Column:
-    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(x))).cast("int")
+def _levels(x: np.ndarray) -> np.ndarray:
+    """Half to even, clipped to 0..255."""
+    return np.clip(np.rint(x), 0, 255).astype(np.int32)
+
+
+def _uniforms(parts: Iterable[str]) -> np.ndarray:
+    """``hashing.uniform`` of colon-joined parts."""
+    heads = b"".join(hashlib.md5(p.encode(), usedforsecurity=False).digest()[:4] for p in parts)
+    return (np.frombuffer(heads, ">u4") + 0.5) / 4294967296.0
 
 
-def brightness(v: Column, multiplier: float) -> Column:
-    return F.transform(v, lambda x: _clip(x * F.lit(multiplier)))
+def brightness(v: np.ndarray, multiplier: float) -> np.ndarray:
+    return _levels(v * multiplier)
 
 
-def gaussian_noise(v: Column, sigma: float, seed_key: Column) -> Column:
+def gaussian_noise(v: np.ndarray, sigma: float, seed_key: str) -> np.ndarray:
     """Box-Muller on two hash uniforms per pixel."""
-    def noise(x: Column, i: Column) -> Column:
-        u1, u2 = uniform(seed_key, i, F.lit("a")), uniform(seed_key, i, F.lit("b"))
-        return _clip(x + F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2) * F.lit(sigma * 255))
-    return F.transform(v, noise)
+    u1, u2 = (_uniforms(f"{seed_key}:{i}:{tag}" for i in range(v.size)).reshape(v.shape) for tag in "ab")
+    return _levels(v + np.sqrt(-2 * np.log(u1)) * np.cos(2 * math.pi * u2) * (sigma * 255))
 
 
-def salt_pepper(v: Column, amount: float, seed_key: Column) -> Column:
-    def pixel(x: Column, i: Column) -> Column:
-        u = uniform(seed_key, i, F.lit("sp"))
-        return F.when(u < amount / 2, 255).when(u < amount, 0).otherwise(x.cast("int"))
-    return F.transform(v, pixel)
+def salt_pepper(v: np.ndarray, amount: float, seed_key: str) -> np.ndarray:
+    u = _uniforms(f"{seed_key}:{i}:sp" for i in range(v.size)).reshape(v.shape)
+    return np.where(u < amount / 2, 255, np.where(u < amount, 0, v)).astype(np.int32)
 
 
-def reflect(i: Column, n: Column) -> Column:
-    """Mirror an index at the borders without repeating the edge pixel; any distance."""
-    period = F.greatest(F.lit(1), 2 * (n - 1))
-    m = F.pmod(i, period)
-    return F.when(n == 1, 0).otherwise(F.least(m, period - m))
+def reflect(at: np.ndarray, n: int) -> np.ndarray:
+    """Mirror indexes at the borders without repeating the edge pixel; any distance."""
+    if n == 1:
+        return np.zeros_like(at)
+    m = at % (2 * (n - 1))
+    return np.minimum(m, 2 * (n - 1) - m)
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
     """Odd length of at least max(3, ceil(6 sigma + 1)), weights summing to one."""
-    size = max(3, math.ceil(6 * sigma + 1))
-    radius = (size if size % 2 else size + 1) // 2
+    radius = max(3, math.ceil(6 * sigma + 1)) // 2
     raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     return [x / sum(raw) for x in raw]
 
 
-def _weighted(v: Column, h: Column, w: Column, taps: Column) -> Column:
-    """Sum of taps (weight, dx, dy) around each pixel with reflected borders."""
-    def pixel(i: Column) -> Column:
-        x, y = i % w, F.floor(i / w).cast("int")
-        def tap(acc: Column, t: Column) -> Column:
-            at = reflect(y + t["dy"], h) * w + reflect(x + t["dx"], w)
-            return acc + t["weight"] * F.get(v, at)
-        return F.aggregate(taps, F.lit(0.0), tap)
-    return F.transform(_indexes(h, w), pixel)
-
-
-def _taps(items: list[tuple[float, int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("weight"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for a, x, y in items])
+def _weighted(v: np.ndarray, taps: Iterable[tuple[float, int, int]]) -> np.ndarray:
+    """Sum of taps (weight, dx, dy) around each pixel with reflected borders, added in their order."""
+    h, w = v.shape
+    total = np.zeros(v.shape)
+    for weight, dx, dy in taps:
+        moved = v if dy == 0 else v[reflect(np.arange(h) + dy, h)]
+        total += weight * (moved if dx == 0 else moved[:, reflect(np.arange(w) + dx, w)])
+    return total
 
 
-def gaussian_blur(v: Column, h: Column, w: Column, sigma: float) -> Column:
+def gaussian_blur(v: np.ndarray, sigma: float) -> np.ndarray:
     """Separable: rows, then columns."""
-    k = gaussian_kernel(sigma)
-    r = len(k) // 2
-    rows, columns = [(a, i - r, 0) for i, a in enumerate(k)], [(a, 0, i - r) for i, a in enumerate(k)]
-    across = _weighted(v, h, w, _taps(rows))
-    return let(across, lambda a: F.transform(_weighted(a, h, w, _taps(columns)), _clip))
+    kernel = gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    across = _weighted(v, [(a, i - r, 0) for i, a in enumerate(kernel)])
+    return _levels(_weighted(across, [(a, 0, i - r) for i, a in enumerate(kernel)]))
 
 
-def motion_blur(v: Column, h: Column, w: Column, kernel: int, seed_key: Column) -> Column:
+def motion_blur(v: np.ndarray, kernel: int, seed_key: str) -> np.ndarray:
     """Mean along a line of ``kernel`` pixels at a seeded angle."""
-    r = kernel // 2
+    angle, r = float(_uniforms([f"{seed_key}:angle"])[0]) * (2 * math.pi), kernel // 2
+    return _levels(_weighted(v, [(1.0 / kernel, round(t * math.cos(angle)), round(t * math.sin(angle))) for t in range(-r, r + 1)]))
 
-    def line(angle: Column) -> Column:
-        step = lambda f: lambda t: F.rint(t * f(angle)).cast("int")
-        return F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda t: F.struct(
-            F.lit(1.0 / kernel).alias("weight"), step(F.cos)(t).alias("dx"), step(F.sin)(t).alias("dy")))
 
-    taps = let(uniform(seed_key, F.lit("angle")) * F.lit(2 * math.pi), line)
-    return let(taps, lambda t: F.transform(_weighted(v, h, w, t), _clip))
-
-
-def corrupt(kind: str, value: float, condition: str, seed: int, key: str = "image_id") -> Column:
-    """Corrupted pixel array of an image row (h, w, v)."""
-    v, h, w = F.col("v"), F.col("h"), F.col("w")
-    seed_key = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(condition))
+def corrupt(v: np.ndarray, kind: str, value: float, seed_key: str) -> np.ndarray:
+    """One grey image (height x width) under one corruption; jpeg needs a codec."""
     if kind == "brightness":
         return brightness(v, value)
     if kind == "gaussian_noise":
@@ -235,27 +225,46 @@ def corrupt(kind: str, value: float, condition: str, seed: int, key: str = "imag
     if kind == "salt_pepper":
         return salt_pepper(v, value, seed_key)
     if kind == "gaussian_blur":
-        return let(v, lambda x: gaussian_blur(x, h, w, value))
+        return gaussian_blur(v, value)
     if kind == "motion_blur":
-        return let(v, lambda x: motion_blur(x, h, w, int(value), seed_key))
+        return motion_blur(v, int(value), seed_key)
     raise ValueError(f"{kind} needs an image codec")
 
 
+PIXELS_OUT = 1 << 20  # pixels of a batch handed on; a larger image makes a batch of its own
+
+
 def corruption_fanout(images: DataFrame, seed: int, corruptions=CORRUPTIONS, key: str = "image_id") -> DataFrame:
     """Every image under every codec-free condition, size preserved.
 
-    One scan: each image row is repeated once per condition, and a CASE over the condition
-    computes only the branch that applies. Nothing is shuffled.
+    One scan in Arrow batches, array kernels per image and condition; nothing is shuffled.
+    An image without pixels or size gives null pixels; pixels that do not fill h x w raise.
     """
-    listed, branches = [], F.lit(None)
-    for name, family, kind, _, values in corruptions:
-        if kind == "jpeg":
-            continue
-        for severity, value in enumerate(values, 1):
-            cid = f"{name}_s{severity}"
-            listed.append(F.struct(F.lit(cid).alias("condition"), F.lit(family).alias("family"), F.lit(severity).alias("severity")))
-            chosen = F.col("condition") == cid
-            made = corrupt(kind, value, cid, seed, key)
-            branches = F.when(chosen, made) if len(listed) == 1 else branches.when(chosen, made)
-    rows = images.select(key, "h", "w", "v", F.inline(F.array(*listed)))
-    return rows.withColumn("v", branches).select(key, "h", "w", "condition", "family", "severity", "v")
+    made = [(f"{name}_s{i}", family, i, kind, float(x)) for name, family, kind, _, values in corruptions if kind != "jpeg" for i, x in enumerate(values, 1)]
+    types = {c: images.schema[c].dataType.simpleString() for c in (key, "h", "w")}
+    names = [*types, "condition", "family", "severity", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, pixels = [], 0
+
+            def packed() -> pa.RecordBatch:
+                at = pa.array([r[0] for r in rows], pa.int64())
+                lists = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()), (4, pa.list_(pa.int32())))]
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in types], *lists], names=names)
+
+            for n, (named, h, w, v) in enumerate(zip(*[batch.column(c) for c in (key, "h", "w", "v")], strict=True)):
+                whole = h.is_valid and w.is_valid and v.is_valid
+                image = v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(h.as_py(), w.as_py()) if whole else None
+                for condition, family, severity, kind, value in made:
+                    out = corrupt(image, kind, value, f"{seed}:{named.as_py()}:{condition}").ravel() if whole else None
+                    rows.append((n, condition, family, severity, out))
+                    pixels += out.size if whole else 0
+                    if pixels >= PIXELS_OUT:
+                        yield packed()
+                        rows, pixels = [], 0
+            if rows:
+                yield packed()
+
+    schema = ", ".join(f"{c} {t}" for c, t in types.items()) + ", condition string, family string, severity int, v array<int>"
+    return images.select(key, "h", "w", "v").mapInArrow(run, schema)

@@ -235,6 +235,50 @@ def test_early_stopping_matches_the_history(spark):
         assert parts == slow_patience(ms, 3, 0.05, 2)
 
 
+def test_corruptions_of_large_images_match_pixel_loops(spark):
+    """A 512 x 512 image at drawn pixels, a thin one at all; every condition, one null image."""
+    import hashlib
+    import math
+    import random
+
+    import numpy as np
+    from boxlens.operators import images
+
+    rng = random.Random(5)
+    sizes = {"large": (512, 512), "thin": (1, 9), "none": (2, 2)}
+    pixels = {k: [rng.randrange(256) for _ in range(h * w)] for k, (h, w) in sizes.items()}
+    rows = [(k, h, w, None if k == "none" else pixels[k]) for k, (h, w) in sizes.items()]
+    got = images.corruption_fanout(spark.createDataFrame(rows, "image_id string, h int, w int, v array<int>"), 17).collect()
+    assert len(got) == 3 * 30 and all((r.v is None) == (r.image_id == "none") for r in got)
+    level = {f"{n}_s{i}": (kind, x) for n, _, kind, _, values in images.CORRUPTIONS for i, x in enumerate(values, 1)}
+
+    def u(*parts):
+        return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    def mirror(i, n):
+        while n > 1 and not 0 <= i < n:
+            i = -i if i < 0 else 2 * (n - 1) - i
+        return i if n > 1 else 0
+
+    for r in got:
+        if r.v is None:
+            continue
+        h, w = sizes[r.image_id]
+        kind, x = level[r.condition]
+        seed, at = f"17:{r.image_id}:{r.condition}", lambda a, b: pixels[r.image_id][mirror(b, h) * w + mirror(a, w)]  # noqa: B023, E731
+        kernel = images.gaussian_kernel(x) if kind == "gaussian_blur" else []
+        half, angle = len(kernel) // 2, 2 * math.pi * u(seed, "angle")
+        for i in range(h * w) if h * w < 100 else rng.sample(range(h * w), 25):
+            a, b, v = i % w, i // w, pixels[r.image_id][i]
+            want = {
+                "brightness": lambda: v * x, "salt_pepper": lambda: 255 if u(seed, i, "sp") < x / 2 else 0 if u(seed, i, "sp") < x else v,
+                "gaussian_noise": lambda: v + math.sqrt(-2 * math.log(u(seed, i, "a"))) * math.cos(2 * math.pi * u(seed, i, "b")) * x * 255,
+                "gaussian_blur": lambda: sum(p * q * at(a + m - half, b + n - half) for m, p in enumerate(kernel) for n, q in enumerate(kernel)),
+                "motion_blur": lambda: sum(at(a + round(t * math.cos(angle)), b + round(t * math.sin(angle))) for t in range(-int(x // 2), int(x // 2) + 1)) / int(x),
+            }[kind]()
+            assert abs(r.v[i] - np.clip(want, 0, 255)) <= 0.5 + 1e-6, (r.condition, i)
+
+
 def test_early_stopping_of_long_rising_runs(spark):
     """Runs that rise over many blocks: chains of moves cross blocks, leap over blocks, or take every row."""
     import random
