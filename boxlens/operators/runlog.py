@@ -106,7 +106,7 @@ def _moves(raised: DataFrame, min_delta: float, key: str) -> DataFrame:
     finds the last successor inside it for all its rows, an order by metric finds the row of
     a later block that follows, and pointer doubling over these entries reaches all blocks
     of a run in a logarithmic number of rounds; none if no run spans two blocks. Then the
-    blocks mark the successors of their entry. ``raised`` is a written table with ``block``.
+    blocks, each one partition's share of the rows, mark the successors of their entries. ``raised`` is a written table with ``block``.
     """
     kind = raised.schema[key].dataType.simpleString()
     min_delta = max(min_delta, 0.0)  # each raised epoch beats the one before it, so a smaller delta changes nothing
@@ -121,12 +121,16 @@ def _moves(raised: DataFrame, min_delta: float, key: str) -> DataFrame:
         return rows[[key, "epoch"]].assign(leaves=metric[last])
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("epoch", ignore_index=True)
-        after, entries = _next_moves(rows["metric"].to_numpy(), min_delta), np.flatnonzero(rows["entered"])
-        found, at = [], int(entries[0]) if len(entries) else len(rows)
-        while at < len(rows):
-            found.append(at)
-            at = int(after[at])
+        rows = rows.sort_values([key, "epoch"], ignore_index=True)
+        metric, entered = rows["metric"].to_numpy(), rows["entered"].to_numpy()
+        begins = np.flatnonzero((rows[key] != rows[key].shift()).to_numpy())
+        found = []
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)], strict=True):
+            after = _next_moves(metric[lo:hi], min_delta).tolist()
+            at = int(np.argmax(entered[lo:hi])) if entered[lo:hi].any() else hi - lo
+            while at < hi - lo:
+                found.append(lo + at)
+                at = after[at]
         return rows.loc[found, [key, "epoch"]]
 
     best = raised.filter("is_new_best").select(key, "block", "epoch", "metric")
@@ -134,14 +138,17 @@ def _moves(raised: DataFrame, min_delta: float, key: str) -> DataFrame:
     reached = materialize(runs.select(key, "epoch"), "reached")
     longest = runs.agg(F.max("blocks")).first()[0] or 1
     if longest > 1:
-        exits = materialize(best.groupBy(key, "block").applyInPandas(leave, f"{key} {kind}, epoch int, leaves double"), "exits")
+        # a run over two blocks holds a block's end, so there are fewer such runs than blocks
+        wide = materialize(runs.filter("blocks > 1").select(key, "epoch"), "wide")
+        spread = best.join(F.broadcast(wide.select(key)), key)
+        exits = materialize(spread.groupBy(key, "block").applyInPandas(leave, f"{key} {kind}, epoch int, leaves double"), "exits")
         # of equal values the row comes first, so only greater metrics follow a question
-        rows = best.select(key, F.col("metric").alias("value"), F.lit(0).alias("kind"), (-F.col("epoch")).alias("late"))
+        rows = spread.select(key, F.col("metric").alias("value"), F.lit(0).alias("kind"), (-F.col("epoch")).alias("late"))
         asked = exits.select(key, (F.col("leaves") + F.lit(min_delta)).alias("value")).distinct()
         ranged = range_blocks(rows.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True), [(key, True), ("value", True), ("kind", True)], "reach")
         answers = suffix_maximum(ranged, [key], [("value", True), ("kind", True)], "late", "late_next")
         hops = materialize(answers.filter("kind = 1 and late_next is not null").select(key, "value", (-F.col("late_next")).alias("target")), "hops")
-        entries = reached.union(hops.select(key, "target")).distinct()
+        entries = wide.union(hops.select(key, "target")).distinct()
         leaving = entries.join(exits, [key, "epoch"]).select(key, "epoch", (F.col("leaves") + F.lit(min_delta)).alias("value"))
         jumps = materialize(leaving.join(hops, [key, "value"]).select(key, "epoch", "target"), "jumps")
         covered = 1
@@ -152,9 +159,9 @@ def _moves(raised: DataFrame, min_delta: float, key: str) -> DataFrame:
             jumps = materialize(jumps.join(onward, [key, "target"]).select(key, "epoch", F.col("beyond").alias("target")), "jumps")
             release(*old)
             covered *= 2
-        release(exits, ranged, hops, jumps)
+        release(wide, exits, ranged, hops, jumps)
     entered = best.join(reached.withColumn("entered", F.lit(True)), [key, "epoch"], "left").fillna(False, ["entered"])
-    return entered.groupBy(key, "block").applyInPandas(mark, f"{key} {kind}, epoch int")
+    return entered.groupBy("block").applyInPandas(mark, f"{key} {kind}, epoch int")
 
 
 def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epochs: int, key: str = "run_id") -> DataFrame:
