@@ -280,13 +280,18 @@ def duplicate_images(images: DataFrame) -> DataFrame:
     return groups.filter("copies > 1").withColumn("code", F.when(F.col("splits") > 1, "cross_split_duplicate").otherwise("duplicate_image"))
 
 
-def yolo_layout_summary(audit: LayoutAudit) -> DataFrame:
-    """Counts per split and label status, plus the overall verdict on every row."""
+def yolo_layout_summary(audit: LayoutAudit, class_count: int) -> DataFrame:
+    """Per split: images, boxes by class, label states, groups of equal images by their first split; the overall verdict on every row."""
     passed = audit.issues.agg((F.count_if(F.col("severity") == "error") == 0).alias("passed"))
-    return audit.files.groupBy("split").agg(
+    files = audit.files.groupBy("split").agg(
         F.count("*").alias("images"), F.sum("box_count").alias("boxes"),
-        *[F.count_if(F.col("label_status") == s).alias(f"{s}_labels") for s in ("valid", "invalid", "empty", "missing")],
-    ).crossJoin(F.broadcast(passed))
+        *[F.count_if(F.col("label_status") == s).alias(f"{s}_labels") for s in ("valid", "invalid", "empty", "missing")])
+    boxes = audit.lines.filter("code is null").join(audit.files.select("split", F.col("label_path").alias("path")), ["split", "path"])
+    classes = boxes.groupBy("split").agg(*[F.count_if(F.col("class_id") == c).alias(f"class_{c}_boxes") for c in range(class_count)])
+    groups = audit.issues.groupBy("split").agg(
+        F.count_if(F.col("code") == "duplicate_image").alias("duplicate_groups"), F.count_if(F.col("code") == "cross_split_duplicate").alias("cross_split_groups"))
+    counts = [c for c in (*classes.columns, *groups.columns) if c != "split"]
+    return files.join(classes, "split", "left").join(groups, "split", "left").fillna(0, counts).crossJoin(F.broadcast(passed))
 
 
 def manifest_fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

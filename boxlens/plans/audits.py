@@ -500,10 +500,15 @@ def yolo_layout_files(spark, sf):
     return layout(spark, sf).files
 
 
-@query("yolo_layout_summary", LAYOUT + """ select split, count(*) images, sum(case when k % 83 = 3 then 0 else good end)::bigint boxes, count(*) filter (label_status='valid') valid_labels, count(*) filter (label_status='invalid') invalid_labels,
-    count(*) filter (label_status='empty') empty_labels, count(*) filter (label_status='missing') missing_labels, false passed from fs group by split""")
+@query("yolo_layout_summary", LAYOUT + """,
+    cb as (select um.split, count(*) filter (cid=0) c0, count(*) filter (cid=1) c1 from um join ld on ld.k=um.k and code is null group by um.split),
+    dg as (select split, count(*) filter (code='duplicate_image') same, count(*) filter (code='cross_split_duplicate') crossing from tw group by split)
+    select split, count(*) images, sum(case when k % 83 = 3 then 0 else good end)::bigint boxes, count(*) filter (label_status='valid') valid_labels,
+    count(*) filter (label_status='invalid') invalid_labels, count(*) filter (label_status='empty') empty_labels, count(*) filter (label_status='missing') missing_labels,
+    coalesce(any_value(c0), 0) class_0_boxes, coalesce(any_value(c1), 0) class_1_boxes, coalesce(any_value(same), 0) duplicate_groups,
+    coalesce(any_value(crossing), 0) cross_split_groups, false passed from fs left join cb using (split) left join dg using (split) group by split""")
 def yolo_layout_summary(spark, sf):
-    return audit.yolo_layout_summary(layout(spark, sf))
+    return audit.yolo_layout_summary(layout(spark, sf), 2)
 
 
 @query("manifest_fingerprint", f"""with {DOCS}, l as (select sha256(coalesce(path, '') || '|' || coalesce(sha, '') || '|' || size) h, sha256(path) k from f), a as (select substr(k, 1, 2) b1, substr(k, 3, 2) b2, substr(k, 5, 2) b3, sha256(string_agg(h, '' order by h)) h, count(*) n from l group by 1, 2, 3),
