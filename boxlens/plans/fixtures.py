@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlens.operators.images import CORRUPTIONS
+
 DETECTORS = (0, 1)
 SEEDS = (17, 42, 137)
 CLASSES = (1, 2)
@@ -80,22 +82,27 @@ def dense(df: DataFrame, index: str, per_image: int = 30) -> DataFrame:
     })
 
 
-CONDITIONS = ("clean", "noise_s1", "noise_s2")
+#: (condition, corruption number, severity): the clean images and every corruption at every severity.
+CONDITIONS = (("clean", 0, 0), *[(f"{c[0]}_s{sev}", i, sev) for i, c in enumerate(CORRUPTIONS) for sev in range(1, len(c[4]) + 1)])
+_CONDITION_SQL = "(values " + ", ".join(f"('{name}', {i}, {sev})" for name, i, sev in CONDITIONS) + ") c(condition, kind, sev)"
+
+
+def conditions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CONDITIONS), "condition string, kind int, sev int")
 
 
 def condition_runs(spark: SparkSession) -> DataFrame:
-    c = F.explode(F.array(*[F.lit(x) for x in CONDITIONS])).alias("condition")
-    return spark.range(1).select(c, F.lit(17).alias("s")).select("condition", F.explode(F.array(*[F.lit(x) for x in DETECTORS])).alias("d"), "s")
+    return conditions(spark).select("condition", F.explode(F.array(*[F.lit(x) for x in DETECTORS])).alias("d"), F.lit(17).alias("s"))
 
 
 def condition_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """One seed under a clean and two corrupted conditions: boxes drift, scores drop."""
-    sev = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sev")
-    p = det_predictions(spark, sf, (17,)).select("*", sev)
-    dx, dy = F.col("sev") * (3 + 2 * F.col("d")), F.col("sev") * 2
+    """One seed under all conditions: boxes drift with severity and corruption, scores drop with severity."""
+    every = F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(i).alias("kind"), F.lit(sev).alias("sev")) for n, i, sev in CONDITIONS])
+    p = det_predictions(spark, sf, (17,)).select("*", F.inline(every))
+    sev, kind = F.col("sev"), F.col("kind")
+    dx, dy = sev * (3 + 2 * F.col("d")) + kind, sev * 2 - kind
     return p.select(
-        F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]), F.col("sev") + 1).alias("condition"), "d", "s", "image_id", "pidx", "label",
-        (F.col("score") * (20 - F.col("sev")) / F.lit(20.0)).alias("score"),
+        "condition", "d", "s", "image_id", "pidx", "label", (F.col("score") * (20 - sev) / F.lit(20.0)).alias("score"),
         (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"),
     )
 
@@ -121,9 +128,9 @@ _SQL = {
         cast((image_id*7919+ln*104729+r.s*31+r.d*17)%1000 as double)/1000e0 score
         from b cross join runs r where (image_id+ln*3+r.s+r.d)%5<>0"""),
     "pr": (("p0",), "select d, s, image_id, ln pidx, label, score, x1+dx x1, y1+dy y1, x1+dx+w x2, y1+dy+h y2 from p0"),
-    "cruns": ((), "select condition, d, 17 s from (values ('clean'),('noise_s1'),('noise_s2')) c(condition), (values (0),(1)) a(d)"),
-    "cpr": (("pr",), """select ['clean','noise_s1','noise_s2'][sev+1] condition, d, s, image_id, pidx, label, score*(20-sev)/20e0 score,
-        x1+sev*(3+2*d) x1, y1+sev*2 y1, x2+sev*(3+2*d) x2, y2+sev*2 y2 from pr, (values (0),(1),(2)) v(sev) where s=17"""),
+    "cruns": ((), f"select condition, d, 17 s from {_CONDITION_SQL}, (values (0),(1)) a(d)"),
+    "cpr": (("pr",), f"""select condition, d, s, image_id, pidx, label, score*(20-sev)/20e0 score,
+        x1+sev*(3+2*d)+kind x1, y1+sev*2-kind y1, x2+sev*(3+2*d)+kind x2, y2+sev*2-kind y2 from pr, {_CONDITION_SQL} where s=17"""),
     "gpr": (("pr",), "select d, s, image_id, pidx, label, case when d=1 and s=137 then score*0.04e0 else score end score, x1, y1, x2, y2 from pr"),
     # raw annotation text with one injected defect per issue code (by key modulus)
     "ex": (("tg",), """select o_orderkey k, o_custkey c, coalesce(nr, 0) nr from orders left join (select image_id, count(*) nr from tg group by image_id) z on z.image_id = o_orderkey"""),

@@ -329,15 +329,16 @@ def retention_degradation(spark, sf):
     return round_cols(out.select("condition", "d", *cols), cols)
 
 
-@query("corruption_family_mean", f"""with recursive {fx.sql_views('cpr', 'tg', 'cruns')}, {match_block('c', 'cpr', 'tg', 'condition, d, s')}, ev as (select condition, d, label, 1 preds, 0 targets, 0 tp, 0e0 iou_sum, 0e0 dice_sum from rk_c union all select condition, d, label, 0, 1, 0, 0, 0 from tg cross join cruns union all select condition, d, label, 0, 0, 1, iou, dice from mt_c),
-    co as (select condition, d, label, sum(tp) tp, sum(preds-tp) fp, sum(targets-tp) fn, sum(iou_sum) iou_sum, sum(dice_sum) dice_sum from ev group by all), cm as (select *, {RATIOS} from co),
-    lg as (select d, label, condition, unnest([{', '.join(repr(m) for m in CM)}]) metric, unnest([{', '.join(CM)}]) v from cm)
-    select a.d, 'noise' family, right(a.condition, 1)::int severity, a.metric, count(*) corruption_type_count, round(avg(a.v), 9) mean_corrupted, round(avg(a.v/nullif(b.v, 0)), 9) mean_relative, round(avg(1-a.v/nullif(b.v, 0)), 9) mean_degradation
-    from lg a join lg b on a.d=b.d and a.label=b.label and a.metric=b.metric and b.condition='clean' where a.condition<>'clean' group by all""")
+FAMILY_SQL = "(values " + ", ".join(f"('{c[0]}_s{i}', '{c[1]}', {i})" for c in images.CORRUPTIONS for i in range(1, len(c[4]) + 1)) + ") f(condition, family, severity)"
+
+
+@query("corruption_family_mean", ROB7 + f""", lg as (select d, condition, unnest([{', '.join(repr(m) for m in SEVEN_CM)}]) metric, unnest([{', '.join(SEVEN_CM)}]) v from c7)
+    select a.d, family, severity, a.metric, count(*) corruption_type_count, round(avg(a.v), 9) mean_corrupted,
+        round(avg(a.v/nullif(b.v, 0)), 9) mean_relative, round(avg(1-a.v/nullif(b.v, 0)), 9) mean_degradation
+    from lg a join lg b on a.d=b.d and a.metric=b.metric and b.condition='clean' join {FAMILY_SQL} on f.condition=a.condition group by all""")
 def corruption_family_mean(spark, sf):
-    """Each class acts as one corruption type of the noise family."""
-    rows = condition_rows(spark, sf, ("label",))
-    full = cases.retention_degradation(cases.join_clean_baseline(rows, ["d", "label"], CM), CM)
-    severity = F.when(F.col("condition") == "clean", 0).otherwise(F.substring("condition", -1, 1).try_cast("int"))
-    out = cases.corruption_family_mean(full.withColumns({"family": F.lit("noise"), "severity": severity}), CM)
+    """The seven metrics of every corruption family and severity, over the family's corruptions."""
+    rows = cases.retention_degradation(cases.join_clean_baseline(condition_metrics(spark, sf), ["d"], SEVEN_CM), SEVEN_CM)
+    grid = images.condition_grid(spark).select("condition", "family", "severity")
+    out = cases.corruption_family_mean(rows.join(grid, "condition"), SEVEN_CM)
     return round_cols(out, ["mean_corrupted", "mean_relative", "mean_degradation"])
