@@ -336,13 +336,9 @@ def verify_digests(inventory: DataFrame, declared: DataFrame) -> DataFrame:
     return j.withColumn("problem", problem).filter("problem is not null").select("path", "problem")
 
 
-def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floats: list[str], probabilities: list[str], optional: tuple[str, ...] = (),
-                      booleans: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
-    """Field rules of a flat result table, one row per (key, field, rule).
-
-    The table must hold the key and the named fields and no other; numbers must not be of
-    type boolean, and boolean fields of no other type.
-    """
+def field_rules(rows: DataFrame, key: list[str], integers: list[str], floats: list[str], probabilities: list[str], optional: tuple[str, ...] = (),
+                booleans: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> Column:
+    """Array of (field, rule) that a row of a flat result table breaks; see ``strict_table_rows``."""
     fields = dict(rows.dtypes)
     named = {*integers, *floats, *booleans}
     problems = [f"missing field {c}" for c in sorted(named - set(fields))] + [f"unknown field {c}" for c in sorted(set(fields) - named - set(key))]
@@ -366,7 +362,18 @@ def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floa
         add(c, "nonfinite", F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf"))))
     for c in probabilities:
         add(c, "above_one", (F.col(c) > 1) & ~F.isnan(c))
-    return rows.withColumn("_v", F.array_compact(F.array(*rules))).select(*key, F.explode("_v").alias("v")).select(*key, "v.field", "v.rule")
+    return F.array_compact(F.array(*rules))
+
+
+def strict_table_rows(rows: DataFrame, key: list[str], integers: list[str], floats: list[str], probabilities: list[str], optional: tuple[str, ...] = (),
+                      booleans: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
+    """Field rules of a flat result table, one row per (key, field, rule).
+
+    The table must hold the key and the named fields and no other; numbers must not be of
+    type boolean, and boolean fields of no other type.
+    """
+    broken = field_rules(rows, key, integers, floats, probabilities, optional, booleans, positive)
+    return rows.select(*key, F.explode(broken).alias("v")).select(*key, "v.field", "v.rule")
 
 
 def validate_records(boxes: DataFrame, key: list[str], scored: bool = True) -> DataFrame:

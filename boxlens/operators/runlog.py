@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.operators.audit import strict_table_rows
+from boxlens.operators.audit import field_rules
 from boxlens.operators.blocks import exact_percentiles, range_blocks, running_maximum, running_totals, suffix_maximum
 from boxlens.functions.ratios import finite_or_null
 from boxlens.session import materialize, release
@@ -26,13 +26,36 @@ EPOCH_FLOATS = ("learning_rate", "train_loss_total", "train_loss_classifier", "t
 EPOCH_OPTIONAL = (*EPOCH_PROBABILITIES, "peak_gpu_memory_mib")
 
 
+EPOCH_SCHEMA = ", ".join([
+    "run_id string", *[f"{c} bigint" for c in EPOCH_INTEGERS], *[f"{c} double" for c in EPOCH_FLOATS], "is_best boolean"])
+
+
+def epoch_rules(rows: DataFrame, other: tuple[str, ...] = ()) -> Column:
+    """Array of (field, rule) that a full epoch record breaks; columns that are no epoch field and not in ``other``, or of other types, raise."""
+    broken = field_rules(rows, ["run_id", *other], list(EPOCH_INTEGERS), list(EPOCH_FLOATS), list(EPOCH_PROBABILITIES), EPOCH_OPTIONAL,
+                         booleans=("is_best",), positive=("epoch", "epoch_seconds"))
+    unnamed = F.when(F.coalesce(F.col("run_id"), F.lit("")) == "", F.struct(F.lit("run_id").alias("field"), F.lit("missing").alias("rule")))
+    return F.concat(broken, F.array_compact(F.array(unnamed)))
+
+
 def epoch_record_problems(rows: DataFrame) -> DataFrame:
     """(run_id, epoch, field, rule) of every rule that a full epoch record breaks; other columns or types raise."""
-    found = strict_table_rows(
-        rows.withColumn("_epoch", F.col("epoch")), ["run_id", "_epoch"], list(EPOCH_INTEGERS), list(EPOCH_FLOATS), list(EPOCH_PROBABILITIES), EPOCH_OPTIONAL,
-        booleans=("is_best",), positive=("epoch", "epoch_seconds"))
-    unnamed = rows.filter(F.coalesce(F.col("run_id"), F.lit("")) == "").select("run_id", F.col("epoch").alias("_epoch"), F.lit("run_id").alias("field"), F.lit("missing").alias("rule"))
-    return found.unionByName(unnamed).withColumnRenamed("_epoch", "epoch")
+    return rows.select("run_id", "epoch", F.explode(epoch_rules(rows)).alias("v")).select("run_id", "epoch", "v.field", "v.rule")
+
+
+def ruled_records(rows: DataFrame) -> DataFrame:
+    """(run_id, epoch, arrival, record, problems): the epoch fields as one JSON text, and what they break as ``field:rule``, sorted.
+
+    Equal records have equal texts, so a text is what repeats are compared by.
+    """
+    record = F.to_json(F.struct("run_id", *EPOCH_INTEGERS, *EPOCH_FLOATS, "is_best"))
+    named = F.array_sort(F.transform(epoch_rules(rows, ("arrival",)), lambda v: F.concat_ws(":", v["field"], v["rule"])))
+    return rows.select("run_id", "epoch", "arrival", record.alias("record"), F.array_join(named, ",").alias("problems"))
+
+
+def epoch_fields(log: DataFrame) -> DataFrame:
+    """The epoch fields of a classified log as columns, beside arrival, problems and fate."""
+    return log.select(F.from_json("record", EPOCH_SCHEMA).alias("r"), "arrival", "problems", "fate").select("r.*", "arrival", "problems", "fate")
 
 
 def training_curve_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,23 +213,19 @@ def early_stopping(epochs: DataFrame, patience: int, min_delta: float, min_epoch
         ((F.col("epoch") >= min_epochs) & (stale >= patience)).alias("should_stop"), "best_epoch")
 
 
-def classify_epoch_records(rows: DataFrame, key: str = "run_id") -> DataFrame:
-    """Fate of each arriving record (run, epoch, metric, seconds, arrival).
+def classify_epoch_records(ruled: DataFrame) -> DataFrame:
+    """Fate of each arriving record of ``ruled_records``.
 
-    Seconds must be finite and positive, the metric a probability, the epoch positive. The
-    first record of a (run, epoch) counts; identical repeats are ignored and differing ones
-    rejected; epochs of a run must rise by arrival.
+    A record that breaks a field rule is rejected. Of the others, the first record of a
+    (run, epoch) counts; identical repeats are ignored and differing ones rejected; epochs
+    of a run must rise by arrival.
     """
-    bad = lambda c: finite_or_null(F.col(c)).isNull() | (F.col(c) < 0)
-    wrong = bad("metric") | (F.col("metric") > 1) | bad("seconds") | (F.col("seconds") == 0) | F.col("epoch").isNull() | (F.col("epoch") < 1)
-    rows = rows.withColumn("bad", F.coalesce(wrong, F.lit(True)))
-    fields = F.struct("metric", "seconds")
-    first = rows.filter(~F.col("bad")).groupBy(key, "epoch").agg(F.min("arrival").alias("first_arrival"), F.min_by(fields, "arrival").alias("first_fields"))
-    w = Window.partitionBy(key).orderBy("first_arrival").rowsBetween(Window.unboundedPreceding, -1)
+    first = ruled.filter("problems = ''").groupBy("run_id", "epoch").agg(
+        F.min("arrival").alias("first_arrival"), F.min_by("record", "arrival").alias("first_record"))
+    w = Window.partitionBy("run_id").orderBy("first_arrival").rowsBetween(Window.unboundedPreceding, -1)
     rising = first.withColumn("rises", F.coalesce(F.col("epoch") > F.max("epoch").over(w), F.lit(True)))
-    joined = rows.join(rising, [key, "epoch"], "left")
     fate = (
-        F.when(F.col("bad"), "rejected_invalid").when(~F.col("rises"), "rejected_not_rising").when(F.col("arrival") == F.col("first_arrival"), "accepted")
-        .when(F.col("first_fields") == fields, "ignored").otherwise("rejected_conflict")
+        F.when(F.col("problems") != "", "rejected_invalid").when(~F.col("rises"), "rejected_not_rising").when(F.col("arrival") == F.col("first_arrival"), "accepted")
+        .when(F.col("first_record") == F.col("record"), "ignored").otherwise("rejected_conflict")
     )
-    return joined.select(key, "epoch", "metric", "seconds", "arrival", fate.alias("fate"))
+    return ruled.join(rising, ["run_id", "epoch"], "left").select(*ruled.columns, fate.alias("fate"))

@@ -75,24 +75,49 @@ def early_stopping(spark, sf):
     return runlog.early_stopping(epochs(spark, sf), 5, 0.05, 3)
 
 
-# arrivals: event order, with repeats, conflicts and late epochs from the key
-ARRIVE = """ar as (select user_id run_id, (1 + event_id//300)::int epoch, case when event_id%41=0 then -1 else round(value/500, 1) end metric, round(value/400, 0) as seconds, event_id arrival from events)"""
+# Arrivals are events in order, with repeats, conflicts and late epochs from the key. Every field rule is broken
+# by some: the events whose number divides by the modulus get the value, which breaks the rule.
+DEFECTS = (
+    ("epoch", 79, "-1", "negative"), ("epoch_seconds", 83, "0", "not_positive"), ("epochs_without_improvement", 89, "null", "missing"),
+    ("is_best", 59, "null", "missing"), ("learning_rate", 47, "'nan'", "nonfinite"), ("optimizer_steps", 71, "-1", "negative"),
+    ("peak_gpu_memory_mib", 97, "-1", "negative"), ("run_id", 73, "''", "missing"), ("seed", 43, "null", "missing"), ("train_loss_box_reg", 101, "'inf'", "nonfinite"),
+    ("train_seconds", 67, "null", "missing"), ("val_f1", 53, "1.5", "above_one"), ("val_map_50", 41, "-1", "negative"),
+)
+KINDS = {"run_id": "string", "is_best": "boolean"} | {c: "bigint" for c in runlog.EPOCH_INTEGERS} | {c: "double" for c in runlog.EPOCH_FLOATS}
+
+
+def sound(field):
+    """SQL of a field without a defect, for Spark and DuckDB alike."""
+    given = {"run_id": "cast(user_id as varchar(20))", "epoch": "1 + floor(event_id/300)", "val_map_50": "round(value/500, 1)", "epoch_seconds": "1 + round(value/400, 0)",
+             "is_best": "user_id % 2 = 0", "seed": "17", "val_recall": "case when user_id % 3 = 0 then null else 0.5 end"}
+    return given.get(field, "user_id % 5" if KINDS[field] == "bigint" else "floor(event_id/300)/1000")
+
+
+def arrival_columns(double="double", string="string"):
+    bad = {field: (modulus, value) for field, modulus, value, _ in DEFECTS}
+    kinds = {"double": double, "string": string}
+    for field, kind in KINDS.items():
+        value = f"case when event_id % {bad[field][0]} = 0 then cast({bad[field][1]} as {kinds.get(kind, kind)}) else {{}} end" if field in bad else "{}"
+        yield value.format(f"cast({sound(field)} as {kinds.get(kind, kind)})") + f" as {field}"
 
 
 def arrivals(spark, sf):
-    v, k = F.col("value"), F.col("event_id")
-    return fx.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), (1 + F.floor(k / 300)).cast("int").alias("epoch"), F.when(k % 41 == 0, -1.0).otherwise(F.round(v / 500, 1)).alias("metric"),
-                                                F.round(v / 400, 0).alias("seconds"), k.alias("arrival"))
+    return fx.table(spark, sf, "events").selectExpr(*arrival_columns(), "event_id as arrival")
 
 
-INGEST = f"""with {ARRIVE}, fi as (select run_id, epoch, min(arrival) fa, arg_min(metric, arrival) fm, arg_min(seconds, arrival) fs from ar where metric>=0 and metric<=1 and seconds>0 group by all),
+BROKEN = "concat_ws(',', " + ", ".join(f"case when arrival % {m} = 0 then '{f}:{rule}' end" for f, m, _, rule in sorted(DEFECTS)) + ")"
+INGEST = f"""with ar as (select {', '.join(arrival_columns(string='varchar'))}, event_id arrival from events), ru as (select *, {BROKEN} problems from ar),
+    fi as (select run_id, epoch, min(arrival) fa, arg_min(val_map_50, arrival) fm, arg_min(epoch_seconds, arrival) fs from ru where problems = '' group by all),
     ri as (select *, coalesce(epoch > max(epoch) over (partition by run_id order by fa rows between unbounded preceding and 1 preceding), true) up from fi)
-    select ar.*, case when metric<0 or metric>1 or seconds<=0 then 'rejected_invalid' when not up then 'rejected_not_rising' when arrival=fa then 'accepted' when metric=fm and seconds=fs then 'ignored' else 'rejected_conflict' end fate from ar left join ri using (run_id, epoch)"""
+    select ru.run_id, ru.epoch, val_map_50, val_recall, epoch_seconds, arrival, problems, case when problems<>'' then 'rejected_invalid' when not up then 'rejected_not_rising'
+        when arrival=fa then 'accepted' when val_map_50=fm and epoch_seconds=fs then 'ignored' else 'rejected_conflict' end fate from ru left join ri using (run_id, epoch)"""
+INGEST_COLUMNS = ("run_id", "epoch", "val_map_50", "val_recall", "epoch_seconds", "arrival", "problems", "fate")
 
 
 @query("epoch_log_ingest", INGEST)
 def epoch_log_ingest(spark, sf):
-    return runlog.classify_epoch_records(arrivals(spark, sf))
+    """Records of one (run, epoch) differ in mAP and seconds only, so the oracle compares these two."""
+    return runlog.epoch_fields(runlog.classify_epoch_records(runlog.ruled_records(arrivals(spark, sf)))).select(*INGEST_COLUMNS)
 
 
 def arrive_in_order(df, path, order, drain, parts=3):
@@ -107,8 +132,9 @@ def arrive_in_order(df, path, order, drain, parts=3):
 @query("epoch_log_ingest_stream", INGEST)
 def epoch_log_ingest_stream(spark, sf):
     src, table, cp = (scratch_path(spark, n) for n in ("epochs-in", "epochs-log", "epochs-cp"))
-    arrive_in_order(arrivals(spark, sf), src, "arrival", lambda: logs.ingest_epochs(logs.epoch_stream(spark, src), table, cp).awaitTermination())
-    return spark.read.schema(logs.EPOCH_SCHEMA + ", fate string").parquet(table).drop("batch")
+    drain = lambda: logs.run_to_table(logs.ingest_epochs(logs.epoch_record_stream(spark, src)), table, cp)
+    arrive_in_order(arrivals(spark, sf), src, "arrival", drain)
+    return runlog.epoch_fields(drain()).select(*INGEST_COLUMNS)
 
 
 @query("early_stopping_stream", STOP)

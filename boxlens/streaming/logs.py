@@ -8,34 +8,78 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boxlens.operators.runlog import STOP_FIELDS, classify_epoch_records
+from boxlens.operators.runlog import EPOCH_SCHEMA, STOP_FIELDS, ruled_records
 
-EPOCH_SCHEMA = "run_id bigint, epoch int, metric double, seconds double, arrival bigint"
+METRIC_SCHEMA = "run_id bigint, epoch int, metric double, seconds double, arrival bigint"
+
+
+LOG_SCHEMA = "run_id string, epoch bigint, arrival bigint, record string, problems string, fate string"
+#: State with maps needs this store; a session may name another before the query starts.
+STORE, ROCKS_DB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def epoch_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(EPOCH_SCHEMA).option("recursiveFileLookup", True).json(path)
+    """Run, epoch and metric as the patience rule needs them."""
+    return spark.readStream.schema(METRIC_SCHEMA).option("recursiveFileLookup", True).json(path)
+
 
+def epoch_record_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Full epoch records with their arrival; a value of another type becomes NULL and breaks its field's rule."""
+    return spark.readStream.schema(f"{EPOCH_SCHEMA}, arrival bigint").option("recursiveFileLookup", True).json(path)
 
-def ingest_epochs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Classify each micro-batch against the accepted log and append it under its batch id.
 
-    A batch overwrites its own folder, so a replay after a failure changes nothing.
+class EpochLog(StatefulProcessor):
+    """Fates of a run's records: the accepted record per epoch and the last accepted epoch are the state.
+
+    Rows of a run in one micro-batch are taken by arrival; a record is read from the state
+    only for epochs that the micro-batch holds, so work follows the batch, not the log.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getMapState("accepted", "epoch bigint", "record string")
+        self.last = handle.getValueState("last", "epoch bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("arrival", ignore_index=True)
+        last = self.last.get()[0] if self.last.exists() else 0
+        before, known, fates = last, {}, []
+        for epoch, record, problems in zip(batch["epoch"], batch["record"], batch["problems"], strict=True):
+            if problems:
+                fates.append("rejected_invalid")
+                continue
+            epoch = int(epoch)
+            if epoch not in known and epoch <= before and self.accepted.containsKey((epoch,)):
+                known[epoch] = self.accepted.getValue((epoch,))[0]
+            if epoch in known:
+                fates.append("ignored" if known[epoch] == record else "rejected_conflict")
+            elif epoch <= last:
+                fates.append("rejected_not_rising")
+            else:
+                self.accepted.updateValue((epoch,), (record,))
+                known[epoch], last = record, epoch
+                fates.append("accepted")
+        if last > before:
+            self.last.update((last,))
+        yield batch.assign(fate=fates)[[field.split()[0] for field in LOG_SCHEMA.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def ingest_epochs(stream: DataFrame) -> DataFrame:
+    """Every arriving record with what it breaks and its fate, as ``runlog.classify_epoch_records`` gives in a batch.
+
+    Nothing is read back from the log; state is one record per accepted epoch of a run.
+    Records without a run share the empty run; they break a rule and keep no state.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = batch
-        if batch_id > 0:
-            known = spark.read.schema(EPOCH_SCHEMA + ", fate string, batch int").parquet(table).filter((F.col("batch") < batch_id) & (F.col("fate") == "accepted"))
-            seen = batch.unionByName(known.select(*batch.columns).join(batch.select("run_id").distinct(), "run_id", "left_semi"))
-        fates = classify_epoch_records(seen)
-        # rows of earlier batches were only context
-        fates.join(batch.select("arrival"), "arrival", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    if not spark.conf.get(STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STORE, ROCKS_DB)
+    ruled = ruled_records(stream).withColumn("run_key", F.coalesce("run_id", F.lit("")))
+    return ruled.groupBy("run_key").transformWithStateInPandas(EpochLog(), LOG_SCHEMA, "Append", "None")
 
 
 def patience_states(epoch: np.ndarray, metric: np.ndarray, carry: tuple | None, patience: int, min_delta: float, min_epochs: int):
