@@ -326,33 +326,51 @@ def scan_split_manifests(spark, sf):
 
 
 def clean_coco(spark, sf):
-    images = fx.view(spark, sf, "exm").select(F.col("image_id").alias("exam_id"), "file_name", F.lit(1024).alias("width"), F.lit(1024).alias("height"))
-    b = fx.boxes(spark, sf).filter("rf = 'R'").select(F.col("image_id").alias("exam_id"), F.col("ln").alias("row_number"), *[F.col(c).cast("double").alias(n) for c, n in (("x1", "x"), ("y1", "y"), ("w", "w"), ("h", "h"))])
+    images = fx.view(spark, sf, "spl").select("split", F.col("image_id").alias("exam_id"), "file_name", F.lit(1024).alias("width"), F.lit(1024).alias("height"))
+    sides = [F.col(c).cast("double").alias(n) for c, n in (("x1", "x"), ("y1", "y"), ("w", "w"), ("h", "h"))]
+    b = fx.boxes(spark, sf).filter("rf = 'R'").select(F.col("image_id").alias("exam_id"), F.col("ln").alias("row_number"), *sides)
     return writers.coco_tables(images, b)
 
 
-COCO_IDS = f"with {V('exm', 'b')}, n as (select image_id, file_name, row_number() over (order by image_id) id from exm), an as (select row_number() over (order by n.id, ln) id, n.id image_id, x1, y1, w, h from b join n using (image_id) where rf='R')"
+COCO_IDS = f"""with {V('spl', 'b')}, n as (select split, image_id, file_name, is_positive, row_number() over (partition by split order by image_id) id from spl),
+    an as (select split, row_number() over (partition by split order by n.id, ln) id, n.id image_id, x1, y1, w, h from b join n using (image_id) where rf='R')"""
 
 
-@query("sink_coco", COCO_IDS + " select id, image_id, 1::bigint category_id, (w*h)::double area, x1::double x1, (x1+w)::double x2 from an")
+@query("sink_coco", COCO_IDS + " select split, id, image_id, 1::bigint category_id, (w*h)::double area, x1::double x1, (x1+w)::double x2 from an")
 def sink_coco(spark, sf):
+    """Three splits, each with ids from 1."""
     path = scratch_path(spark, "coco")
     writers.sink_coco(*clean_coco(spark, sf), path)
     _, annotations = readers.scan_coco_lines(spark, path)
-    box = readers.xyxy(annotations.withColumn("category_id", F.col("id"))).select(F.col("category_id").alias("id"), "x1", "x2")
-    return annotations.select("id", "image_id", "category_id", "area").join(box, "id")
+    x = F.get("bbox", F.lit(0))
+    return annotations.select("split", "id", "image_id", "category_id", "area", x.alias("x1"), (x + F.get("bbox", F.lit(2))).alias("x2"))
 
 
-@query("scan_coco", COCO_IDS + """, c as (select 1::bigint id, 'opacity' as name)
-    select n.id image_id, file_name, count(an.id) boxes, coalesce(sum(w*h), 0)::double area, any_value(c.name) category from n left join an on an.image_id=n.id cross join c group by n.id, file_name""")
+COCO_SUMS = """, c as (select 1::bigint id, 'opacity' as name)
+    select n.split, n.id image_id, file_name, count(an.id) boxes, coalesce(sum(w*h), 0)::double area, any_value(c.name) category
+    from n left join an on an.image_id=n.id and an.split=n.split cross join c {} group by n.split, n.id, file_name"""
+
+
+def coco_sums(images, annotations, categories):
+    sums = annotations.groupBy("split", "image_id").agg(F.count("*").alias("boxes"), F.sum("area").alias("area"))
+    named = categories.agg(F.max("name").alias("category"))  # one row
+    return images.select("split", F.col("id").alias("image_id"), "file_name").join(sums, ["split", "image_id"], "left").fillna(0, ["boxes", "area"]).crossJoin(named)
+
+
+@query("scan_coco", COCO_IDS + COCO_SUMS.format(""))
 def scan_coco(spark, sf):
-    """Whole documents of a thousand images each, so their number grows and their size does not."""
+    """Whole documents of a thousand images each, by split, so their number grows and their size does not."""
+    path = scratch_path(spark, "coco-doc")
+    writers.sink_coco_documents(*clean_coco(spark, sf), path)
+    return coco_sums(*readers.scan_coco(spark, path))
+
+
+@query("scan_coco_selected", COCO_IDS + COCO_SUMS.format("where n.is_positive"))
+def scan_coco_selected(spark, sf):
+    """The positive images alone; each must be in a document."""
     path = scratch_path(spark, "coco-doc")
     writers.sink_coco_documents(*clean_coco(spark, sf), path)
-    images, annotations, categories = readers.scan_coco(spark, path)
-    sums = annotations.groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("area").alias("area"))
-    named = categories.distinct().agg(F.max("name").alias("category"))  # one row
-    return images.select(F.col("id").alias("image_id"), "file_name").join(sums, "image_id", "left").fillna(0, ["boxes", "area"]).crossJoin(named)
+    return coco_sums(*readers.scan_coco(spark, path, fx.view(spark, sf, "exm").filter("is_positive")))
 
 
 BUNDLE = f"with {V('pr')} select d::varchar detector, s seed, image_id::varchar image_id, row_number() over (partition by d, s, image_id order by pidx)-1 pidx, label, score, x1::double x1, y1::double y1, x2::double x2, y2::double y2 from pr"
@@ -420,7 +438,7 @@ def sink_result_table(spark, sf):
     path = scratch_path(spark, "result")
     rows = fx.det_images(spark, sf).groupBy("stratum").agg(F.count_distinct("patient_group").alias("patients"), F.count("*").alias("n"))
     writers.sink_result_table(rows, ["stratum", "n", "patients"], path)
-    return spark.read.schema("stratum string, n bigint, patients bigint").parquet(path)
+    return readers.scan_result_table(spark, path, "stratum string, n bigint, patients bigint")
 
 
 DOCS = """f as (select doc_id, case doc_id % 3 when 0 then 'train' when 1 then 'validation' else 'test' end split, 'DOC_' || doc_id || '.txt' path, sha256(text) sha, strlen(text) size from documents)"""

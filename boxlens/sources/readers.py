@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlens.functions.text import strip
+from boxlens.sources.versions import current
 
 BOX = T.ArrayType(T.DoubleType())
 COCO_SCHEMA = T.StructType([
@@ -73,7 +74,7 @@ def scan_csv_required(spark: SparkSession, path: str, required: list[str]) -> Da
 
 def scan_split_manifests(spark: SparkSession, path: str) -> DataFrame:
     """All split CSVs, of one header; an empty split falls back to the file stem."""
-    raw = csv_by_name(spark, path, ["image_id"])
+    raw = csv_by_name(spark, current(spark, path), ["image_id"])
     stem = F.regexp_extract("_metadata.file_path", r"([^/]+?)\.csv(?:/[^/]*)?$", 1)
     given = F.col("split") if "split" in raw.columns else F.lit(None).cast("string")
     return raw.select(*[c for c in raw.columns if c != "split"], F.coalesce(F.when(given != "", given), stem).alias("split"))
@@ -91,19 +92,44 @@ def scan_patient_mapping(spark: SparkSession, path: str, parts: tuple[str, ...]
     return entries.select(*parts, (F.col("pos") + 1).cast("bigint").alias("entry"), field("subset_key"), field("original_name"))
 
 
-def scan_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of COCO documents."""
-    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path)
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
-    annotations = doc.select(F.explode("annotations").alias("a")).select("a.*")
-    categories = doc.select(F.explode("categories").alias("c")).select("c.*")
+def scan_coco(spark: SparkSession, path: str, selected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of COCO documents; documents in folders ``split=...`` add that column.
+
+    ``selected`` (file_name) restricts images and annotations, see ``restrict_coco``.
+    """
+    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(current(spark, path))
+    split = [c for c in ("split",) if c in doc.columns]
+    part = lambda name: doc.select(*split, F.explode(name).alias("e")).select(*split, "e.*")
+    images, annotations, categories = (part(name) for name in ("images", "annotations", "categories"))
+    if categories.isEmpty():
+        raise ValueError("COCO annotations contain no categories")
+    if selected is not None:
+        images, annotations = restrict_coco(images, annotations, selected)
     return images, annotations, categories
 
 
+def restrict_coco(images: DataFrame, annotations: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images of the selected file names, in their order, and the annotations of these; names without an image fail."""
+    names = selected.select("file_name").distinct()
+    lacking = names.join(images, "file_name", "left_anti").agg(F.count("*").alias("n"), F.min("file_name").alias("first")).first()
+    if lacking["n"]:
+        raise ValueError(f"{lacking['n']} selected images are not covered by COCO annotations, first {lacking['first']}")
+    kept = images.join(names, "file_name", "left_semi")
+    keys = [c for c in ("split",) if c in images.columns]
+    of_kept = annotations.join(kept.select(*keys, F.col("id").alias("image_id")), [*keys, "image_id"], "left_semi")
+    return kept.sort("file_name"), of_kept
+
+
 def scan_coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Images and annotations stored as JSON lines under ``images`` and ``annotations``."""
+    """Images and annotations stored as JSON lines under ``images`` and ``annotations``, by split if they were so written."""
     fields = {f.name: f.dataType.elementType for f in COCO_SCHEMA.fields}
-    return (spark.read.schema(fields["images"]).json(f"{path}/images"), spark.read.schema(fields["annotations"]).json(f"{path}/annotations"))
+    folder = current(spark, path)
+    return (spark.read.schema(fields["images"]).json(f"{folder}/images"), spark.read.schema(fields["annotations"]).json(f"{folder}/annotations"))
+
+
+def scan_result_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """The newest whole version of a result table."""
+    return spark.read.schema(schema).format(fmt).option("header", True).load(current(spark, path))
 
 
 def xyxy(annotations: DataFrame) -> DataFrame:
@@ -120,7 +146,7 @@ def _boxes(record: DataFrame, keys: list[str]) -> DataFrame:
 
 def scan_prediction_bundles(spark: SparkSession, path: str) -> DataFrame:
     """Gzip JSON bundles, one document per run, to one row per box."""
-    doc = spark.read.schema(BUNDLE_SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(BUNDLE_SCHEMA).option("multiLine", True).json(current(spark, path))
     rec = doc.select("detector", "seed", F.explode("predictions").alias("p")).select("detector", "seed", "p.*")
     return _boxes(rec, ["detector", "seed"])
 
@@ -128,7 +154,7 @@ def scan_prediction_bundles(spark: SparkSession, path: str) -> DataFrame:
 def scan_prediction_records(spark: SparkSession, path: str) -> DataFrame:
     """The splittable layout: one JSON line per run and image."""
     schema = T.StructType([T.StructField("detector", T.StringType()), T.StructField("seed", T.IntegerType()), *BUNDLE_RECORD.fields])
-    return _boxes(spark.read.schema(schema).json(path), ["detector", "seed"])
+    return _boxes(spark.read.schema(schema).json(current(spark, path)), ["detector", "seed"])
 
 
 def scan_yolo_labels(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:

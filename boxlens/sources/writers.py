@@ -1,77 +1,88 @@
-"""File sinks. Result tables are replaced as a whole; other writes go through the output committer."""
+"""File sinks. Tables that are replaced are kept as versions, so that a reader always sees a whole one."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlens.functions.text import ten_decimals
 from boxlens.operators.blocks import dense_ids
+from boxlens.session import small
+from boxlens.sources.versions import write_version
 
 # Fixed value: column order of a split manifest.
 MANIFEST_FIELDS = ("split", "image_id", "nih_patient_id", "study_stratum", "is_positive", "source_file", "processed_file", "width", "height", "box_count")
 
 
-def replace_folder(spark: SparkSession, new: str, path: str) -> None:
-    """Put a finished folder in the place of another by renames; the old one goes last."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, ready, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{new}-old"))
-    fs = target.getFileSystem(conf)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move {path} away")
-    if not fs.rename(ready, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot put {new} in the place of {path}")
-    fs.delete(old, True)
-
-
 def sink_result_table(df: DataFrame, fields: list[str], path: str, fmt: str = "parquet") -> None:
-    """Replace a result table, columns in fixed order: all or nothing, the old one stays until the new one is complete."""
-    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    writer = df.select(*fields).write.mode("error")
-    (writer.option("header", True).csv(new) if fmt == "csv" else writer.parquet(new))
-    replace_folder(df.sparkSession, new, path)
+    """Replace a result table, columns in fixed order; ``readers.scan_result_table`` sees the old or the new one, never a part."""
+    def write(folder: str) -> None:
+        writer = df.select(*fields).write.mode("error")
+        (writer.option("header", True).csv(folder) if fmt == "csv" else writer.parquet(folder))
+
+    write_version(df.sparkSession, path, write)
 
 
 def sink_split_manifest(exams: DataFrame, path: str) -> None:
-    """One sorted CSV folder per split; a column copy names the folder."""
+    """One sorted CSV folder per split; a column copy names the folder. All splits are replaced at once."""
     flag = F.col("is_positive").cast("int").alias("is_positive")  # 1 or 0
     rows = exams.select(*[flag if c == "is_positive" else c for c in MANIFEST_FIELDS], F.col("split").alias("split_name"))
-    rows.repartitionByRange("split", "image_id").sortWithinPartitions("split", "image_id").write.mode("overwrite").partitionBy("split_name").option("header", True).csv(path)
+    ordered = rows.repartitionByRange("split", "image_id").sortWithinPartitions("split", "image_id")
+    write_version(exams.sparkSession, path, lambda folder: ordered.write.mode("error").partitionBy("split_name").option("header", True).csv(folder))
+
 
+def _ids_in_split(rows: DataFrame, order: list[str], split: list[str]) -> DataFrame:
+    """``dense_ids`` that begin at 1 in every split; a split's first global id is its offset."""
+    ids = dense_ids(rows, [*split, *order])
+    if not split:
+        return ids
+    first = small(ids.groupBy(*split).agg(F.min("id").alias("_first")))
+    return ids.join(first, split).withColumn("id", F.col("id") - F.col("_first") + 1).drop("_first")
 
-def coco_tables(images: DataFrame, boxes: DataFrame, category_id: int = 1) -> tuple[DataFrame, DataFrame]:
-    """COCO images and annotations: ids run from 1 by exam, annotation ids by image and row."""
-    ids = dense_ids(images.select("exam_id", "file_name", "width", "height"), ["exam_id"])
-    out_images = ids.select("id", "file_name", "width", "height")
-    linked = boxes.join(ids.select("exam_id", F.col("id").alias("image_id")), "exam_id")
-    numbered = dense_ids(linked, ["image_id", "row_number"])
+
+def coco_tables(images: DataFrame, boxes: DataFrame, category_id: int = 1, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """COCO images and annotations: ids run from 1 by exam, annotation ids by image and row.
+
+    With a column ``split`` in ``images`` both tables have it too, and ids run from 1 in
+    every split. ``keep`` names more columns of the images.
+    """
+    split = ["split"] if "split" in images.columns else []
+    ids = _ids_in_split(images.select(*split, "exam_id", "file_name", "width", "height", *keep), ["exam_id"], split)
+    out_images = ids.select(*split, "id", "file_name", "width", "height", *keep)
+    linked = boxes.select("exam_id", "row_number", "x", "y", "w", "h").join(ids.select(*split, "exam_id", F.col("id").alias("image_id")), "exam_id")
+    numbered = _ids_in_split(linked, ["image_id", "row_number"], split)
     bbox = F.array("x", "y", "w", "h")
-    annotations = numbered.select("id", "image_id", F.lit(category_id).cast("bigint").alias("category_id"), bbox.alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
+    annotations = numbered.select(*split, "id", "image_id", F.lit(category_id).cast("bigint").alias("category_id"), bbox.alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
     return out_images, annotations
 
 
 def sink_coco(images: DataFrame, annotations: DataFrame, path: str, categories: tuple[tuple[int, str], ...] = ((1, "opacity"),)) -> None:
-    """JSON lines for the three tables: splittable, and readable as one document's parts."""
-    images.write.mode("overwrite").json(f"{path}/images")
-    annotations.write.mode("overwrite").json(f"{path}/annotations")
-    images.sparkSession.createDataFrame(list(categories), "id bigint, name string").write.mode("overwrite").json(f"{path}/categories")
+    """JSON lines for the three tables, by split if they have one: splittable, and replaced together."""
+    spark = images.sparkSession
+    listed = spark.createDataFrame(list(categories), "id bigint, name string")
+
+    def write(folder: str) -> None:
+        for name, table in (("images", images), ("annotations", annotations), ("categories", listed)):
+            table.write.mode("error").partitionBy(*[c for c in ("split",) if c in table.columns]).json(f"{folder}/{name}")
+
+    write_version(spark, path, write)
 
 
 def sink_coco_documents(images: DataFrame, annotations: DataFrame, path: str, per_document: int = 1000,
                         categories: tuple[tuple[int, str], ...] = ((1, "opacity"),)) -> None:
     """Whole COCO documents, one file each, of ``per_document`` images in id order with their annotations and all categories.
 
-    The number of documents grows with the images, their size does not. Image ids must be dense.
+    A split, if there is one, has documents of its own in a folder ``split=...``. The number
+    of documents grows with the images, their size does not. Image ids must be dense.
     """
+    split = ["split"] if "split" in images.columns else []
     part = lambda c: F.floor((F.col(c) - 1) / per_document).alias("part")
-    pack = lambda df, c, name, fields: df.groupBy(part(c)).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-    docs = pack(images, "id", "images", ("id", "file_name", "width", "height")).join(
-        pack(annotations, "image_id", "annotations", ("id", "image_id", "category_id", "bbox", "area", "iscrowd")), "part", "left")
+    pack = lambda df, c, name, fields: df.groupBy(*split, part(c)).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    docs = pack(images, "id", "images", ("id", *[c for c in images.columns if c not in ("id", "split")])).join(
+        pack(annotations, "image_id", "annotations", ("id", "image_id", "category_id", "bbox", "area", "iscrowd")), [*split, "part"], "left")
     listed = F.array(*[F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(n).alias("name")) for i, n in categories])
-    docs.drop("part").withColumn("categories", listed).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    ready = docs.drop("part").withColumns({"annotations": F.coalesce("annotations", F.array()), "categories": listed})
+    write_version(images.sparkSession, path, lambda folder: ready.write.mode("error").option("maxRecordsPerFile", 1).partitionBy(*split).json(folder))
 
 
 def sink_yolo_labels(images: DataFrame, boxes: DataFrame, key: str, order: str, path: str) -> None:
@@ -97,4 +108,4 @@ def bundle_records(predictions: DataFrame, images: DataFrame, run: list[str]) ->
 
 
 def sink_prediction_bundle(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").option("compression", "gzip").json(path)
+    write_version(records.sparkSession, path, lambda folder: records.write.mode("error").option("compression", "gzip").json(folder))

@@ -344,16 +344,68 @@ def test_label_lines_with_tabs(spark, tmp_path):
 
 
 def test_result_table_is_replaced_as_a_whole(spark, tmp_path):
-    from boxlens.sources import writers
+    from boxlens.sources import readers, writers
 
     path = str(tmp_path / "table")
-    for n in (3, 1):
+    tables = []
+    for n in (3, 1, 4):
         writers.sink_result_table(spark.range(n), ["id"], path)
-        assert spark.read.parquet(path).count() == n
+        tables.append(readers.scan_result_table(spark, path, "id bigint"))
+        assert tables[-1].count() == n
+    # who began to read before a replacement still reads the version begun with
+    assert tables[1].count() == 1
     failing = spark.range(2).withColumn("x", F.raise_error(F.lit("no")).cast("int"))
     with pytest.raises(Exception, match="no"):
         writers.sink_result_table(failing, ["id", "x"], path)
-    assert spark.read.parquet(path).count() == 1
+    assert readers.scan_result_table(spark, path, "id bigint").count() == 4
+    # two versions and the markers, no rest of the failed one
+    assert len(list((tmp_path / "table").iterdir())) == 3
+
+
+def test_coco_ids_begin_anew_in_every_split_and_a_selection_must_be_covered(spark, tmp_path):
+    from boxlens.sources import readers, writers
+
+    images = spark.createDataFrame(
+        [("test", "c", "c.png", 1, 1), ("train", "b", "b.png", 1, 1), ("train", "a", "a.png", 1, 1)], "split string, exam_id string, file_name string, width int, height int")
+    boxes = spark.createDataFrame([(e, r, 1.0, 1.0, 2.0, 3.0) for e in "abc" for r in (1, 2)], "exam_id string, row_number bigint, x double, y double, w double, h double")
+    path = str(tmp_path / "coco")
+    writers.sink_coco_documents(*writers.coco_tables(images, boxes), path, per_document=1)
+    got = readers.scan_coco(spark, path)
+    assert {(r.split, r.file_name, r.id) for r in got[0].collect()} == {("train", "a.png", 1), ("train", "b.png", 2), ("test", "c.png", 1)}
+    assert sorted((r.split, r.image_id, r.id) for r in got[1].collect()) == [("test", 1, 1), ("test", 1, 2), ("train", 1, 1), ("train", 1, 2), ("train", 2, 3), ("train", 2, 4)]
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "file_name string")
+    some = readers.scan_coco(spark, path, names("c.png", "a.png"))
+    assert [r.file_name for r in some[0].collect()] == ["a.png", "c.png"] and some[1].count() == 4
+    with pytest.raises(ValueError, match="1 selected images are not covered"):
+        readers.scan_coco(spark, path, names("a.png", "z.png"))
+
+
+def test_epoch_log_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
+    from boxlens.operators import runlog
+    from boxlens.streaming import logs
+
+    base = {"run_id": "a", "is_best": True} | dict.fromkeys(runlog.EPOCH_INTEGERS, 1) | dict.fromkeys(runlog.EPOCH_FLOATS, 0.5)
+    changes = [
+        ({"epoch": 2}, "accepted"), ({"epoch": 2}, "ignored"), ({"epoch": 2, "val_f1": 0.6}, "rejected_conflict"), ({"epoch": 1}, "rejected_not_rising"),
+        ({"epoch": 4, "val_f1": 1.5}, "rejected_invalid"), ({"epoch": None}, "rejected_invalid"), ({"run_id": None}, "rejected_invalid"), ({"run_id": ""}, "rejected_invalid"),
+        ({"epoch": 3, "run_id": "b", "val_recall": None}, "accepted"), ({"epoch": 2}, "ignored"), ({"epoch": 5, "seed": None}, "rejected_invalid"), ({"epoch": 5}, "accepted"),
+        ({"epoch": 4}, "rejected_not_rising"), ({"epoch": 3, "run_id": "b", "val_recall": None}, "ignored"), ({"epoch": 4}, "rejected_not_rising")]
+    rows = [(base | c) | {"arrival": i} for i, (c, _) in enumerate(changes)]
+    schema = f"{runlog.EPOCH_SCHEMA}, arrival bigint"
+    names = [f.split()[0] for f in schema.split(", ")]
+    records = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    want = [fate for _, fate in changes]
+    batch = runlog.classify_epoch_records(runlog.ruled_records(records)).orderBy("arrival").collect()
+    assert [r.fate for r in batch] == want
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "log", "checkpoint"))
+    for part in range(3):
+        records.filter(F.floor(F.col("arrival") / 5) == part).write.json(f"{source}/part{part}")
+        # the second drain of a part finds nothing new
+        for _ in range(2):
+            log = logs.run_to_table(logs.ingest_epochs(logs.epoch_record_stream(spark, source)), table, checkpoint)
+    assert sorted(log.collect(), key=lambda r: r.arrival) == batch
+    kept = runlog.epoch_fields(log.filter("fate = 'accepted'")).drop("problems", "fate").orderBy("arrival")
+    assert [r.asDict() for r in kept.collect()] == [r for r, (_, fate) in zip(rows, changes, strict=True) if fate == "accepted"]
 
 
 def test_coco_ids_follow_the_exam(spark):
