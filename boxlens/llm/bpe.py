@@ -83,18 +83,23 @@ class Codec:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.whole = tokens, {t: i for i, t in enumerate(tokens)}
         self.letters = byte_letters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(tokens))
+        back = {letter: byte for byte, letter in enumerate(self.letters)}
+        self.bytes_of = [bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(len(tokens))]
+        # a pre-token that is a token is that token, also where merges do not lead to it
+        self.unreached = {t: i for i, (t, ids) in enumerate(zip(tokens, self.model.encode([self.lettered(t) for t in tokens]), strict=True)) if ids != [i]}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
+    def lettered(self, data: bytes) -> str:
+        return "".join([self.letters[b] for b in data])
+
     def piece(self, text: str) -> bytes:
         """Ids of a pre-token as little-endian 32-bit numbers."""
         if (ids := self.known.get(text)) is None:
             data = text.encode()
-            # a pre-token that is a token is that token, whatever merges lead to
-            found = [self.whole[data]] if data in self.whole else self.model.encode("".join([self.letters[b] for b in data]))
+            found = [self.unreached[data]] if data in self.unreached else self.model.encode(self.lettered(data))
             ids = np.asarray(found, "<u4").tobytes()
             if len(self.known) < CACHE and len(text) <= LONGEST:
                 self.known[text] = ids
@@ -104,7 +109,7 @@ class Codec:
         return b"".join(map(self.piece, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def load(rank_file: str, pattern: str) -> Callable[[], Codec]:
@@ -161,7 +166,12 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids, and digests of the ids and of the bytes decoded from them, in one pass over the texts."""
+    """Per row: id, n_tokens, ids, and digests of the ids and of the bytes decoded from them, in one pass over the texts.
+
+    Null and empty texts have no tokens and the digests of nothing; a very long text is
+    encoded whole, in one task; repeated rows and ids come back as often; an empty table
+    gives an empty result; other columns are not read.
+    """
     rows = texts(docs, id_col, text_col)
     codec = load(_ship(docs, rank_path), pattern)
 
