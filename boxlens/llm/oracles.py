@@ -70,17 +70,19 @@ def licenses() -> str:
 
 
 URLS = r"""
-with u as (select page_id, url, cast(date '2024-01-01' + cast(page_id * 37 % 61 as int) as date) as day,
-                  regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''),
-                                 '^(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.$', ''), '^www\.', '') host,
-                  coalesce(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)', 1), ''), '/') path from pages),
+with u0 as (select page_id, url, cast(date '2024-01-01' + cast(page_id * 37 % 61 as int) as date) as day,
+                  regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//', ''),
+                                 '^(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)', 1), '\.$', ''), '^www\.', '') host,
+                  coalesce(nullif(regexp_extract(url, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?[^/?#]*(/[^?#]*)', 1), ''), '/') raw from pages),
+u as (select *, array_to_string(list_reduce(list_transform(string_split(regexp_replace(raw, '/(\.\.?)$', '/\1/'), '/'), lambda s: [s]),
+        lambda a, b: case when b[1] = '..' then list_slice(a, 1, greatest(len(a) - 1, 1)) when b[1] = '.' then a else list_concat(a, b) end), '/') path from u0),
 e as (select 'list' || event_id % 5 list, event_id seq, event_id % 4 <> 0 active, cast(date '2024-01-01' + cast(event_id * 7 % 53 as int) as date) as day,
              case event_id % 3 when 0 then regexp_replace(host, '^[^.]*\.', '') when 1 then host else host || '/' || split_part(path, '/', 2) || '/' end pattern
       from events join u on user_id = page_id),
 daily as (select list, pattern, day, arg_max(active, seq) active from e group by all),
 span as (select list, pattern, active, day since, coalesce(lead(day) over (partition by list, pattern order by day), date '9999-01-01') until from daily),
 p as (select page_id, unnest(list_distinct(list_concat(
-             list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, 99), '.')),
+             list_transform(range(1, case when regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$|^\[') then 2 else len(string_split(host, '.')) + 1 end), lambda i: array_to_string(list_slice(string_split(host, '.'), i, 99), '.')),
              list_transform(range(2, len(string_split(path, '/'))), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/')))) pattern
       from u where host <> ''),
 hit as (select page_id, list, p.pattern from p join u using (page_id) join span s on s.pattern = p.pattern and active and since <= u.day and u.day < until)

@@ -10,21 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlens.session import BROADCAST_ROW_LIMIT
+
 SLICE_DAYS = 32  # captures and intervals meet by pattern and slice of time
 FOREVER = "9999-01-01"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without scheme, user, port and a leading www; empty if there is none."""
-    after = F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://", "")
-    host = F.regexp_extract(after, r"^(?:[^/?#@]*@)?([^/?#:@]*)", 1)
+    """Lower-case host without scheme, user, port and a leading www; empty if there is none. IPv6 hosts keep their brackets."""
+    after = F.regexp_replace(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//", "")
+    host = F.regexp_extract(after, r"^(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)", 1)
     return F.regexp_replace(F.regexp_replace(host, r"\.$", ""), r"^www\.", "")
 
 
 def path_of(url: Column) -> Column:
-    """Path with its leading slash, without query and fragment; a missing one is a slash."""
-    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)", 1)
-    return F.when(path == "", "/").otherwise(path)
+    """Path with its leading slash, without query and fragment, steps of one or two dots resolved; a missing one is a slash."""
+    path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?[^/?#]*(/[^?#]*)", 1)
+    # a last step of dots stands for a folder; the root has no parent
+    steps = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    onto = lambda done, step: (
+        F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(step == ".", done).otherwise(F.concat(done, F.array(step))))
+    resolved = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), onto), "/")
+    return F.when(path == "", "/").when(F.contains(path, F.lit("/.")), resolved).otherwise(path)
 
 
 def intervals(entries: DataFrame, list_col: str = "list", pattern_col: str = "pattern", active_col: str = "active", day_col: str = "day",
@@ -45,9 +52,13 @@ def intervals(entries: DataFrame, list_col: str = "list", pattern_col: str = "pa
 
 
 def patterns_of(url: Column) -> Column:
-    """All patterns that would match a URL: its host and every parent domain, and the host with every path prefix that ends in a slash."""
+    """All patterns that would match a URL: its host and every parent domain, and the host with every path prefix that ends in a slash.
+
+    An IP address has no parent domains.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
+    numeric = host.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    labels = F.when(numeric, F.array(host)).otherwise(F.split(host, r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split(path_of(url), "/")
     prefixes = F.when(F.size(steps) > 2, F.transform(
@@ -58,15 +69,19 @@ def patterns_of(url: Column) -> Column:
 def evaluate(captures: DataFrame, spans: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
     """One row per capture: id, day, host, n_matches, lists (sorted names), patterns (sorted), blocked.
 
-    Join keys are (pattern, slice of time), so a capture meets only intervals near its day,
+    Patterns that no list names are dropped before the exchange where the named ones are few
+    enough to be broadcast. Join keys are (pattern, slice of time), so a capture meets only intervals near its day,
     at most one of which holds per list and pattern; a host with very many captures is
-    split where its partition is skewed. Null URLs or days match nothing. Repeated
+    split where its partition is skewed. Very long URLs are read whole. Null URLs or days match nothing. Repeated
     captures come back once per occurrence; empty tables give empty results or no
     matches; other columns are not read.
     """
     rows = captures.select(captures[id_col].alias("id"), captures[url_col].cast("string").alias("url"), captures[day_col].cast("date").alias("day"))
     rows = rows.groupBy("id", "url", "day").agg(F.count("*").alias("copies"))
     asked = rows.select("id", "url", "day", F.explode(patterns_of(F.col("url"))).alias("pattern")).filter("day is not null")
+    named = spans.select("pattern").distinct()
+    if named.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+        asked = asked.join(F.broadcast(named), "pattern", "left_semi")
     slice_of = lambda c: F.floor(F.unix_date(c) / SLICE_DAYS)
     last = rows.agg(F.max("day").alias("last"))  # no interval is cut into slices beyond the last capture
     cut = (

@@ -10,18 +10,35 @@ ENTRIES = "list string, pattern string, active boolean, day date, seq bigint, ur
 
 
 def slow_host(url):
-    m = re.match(r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]*)", url.lower())
-    return re.sub(r"^www\.", "", re.sub(r"\.$", "", m[1]))
+    rest = url.lower()
+    if (m := re.match(r"([a-z][a-z0-9+.-]*:)?//", rest)):
+        rest = rest[m.end():]
+    rest = re.split(r"[/?#]", rest)[0].rpartition("@")[2] if "@" in re.split(r"[/?#]", rest)[0] else re.split(r"[/?#]", rest)[0]
+    host = rest[: rest.index("]") + 1] if rest.startswith("[") and "]" in rest else rest.split(":")[0]
+    return re.sub(r"^www\.", "", re.sub(r"\.$", "", host))
+
+
+def slow_path(url):
+    path = re.split(r"[?#]", re.sub(r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?[^/?#]*", "", url))[0]
+    if not path:
+        return "/"
+    out = []
+    for step in path.split("/")[1:]:
+        if step == "..":
+            del out[-1:]
+        elif step != ".":
+            out.append(step)
+    if path.split("/")[-1] in (".", ".."):
+        out.append("")
+    return "/" + "/".join(out)
 
 
 def slow_match(pattern, url):
     """A host pattern covers subdomains, one with a slash a path prefix."""
-    host = slow_host(url)
-    path = re.sub(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*", "", url)
-    path = re.split(r"[?#]", path)[0] or "/"
+    host, path = slow_host(url), slow_path(url)
     if "/" in pattern:
         return bool(host) and (host + path).startswith(pattern) and pattern.endswith("/") and pattern.split("/")[0] == host and pattern != host + "/"
-    return host == pattern or host.endswith("." + pattern)
+    return host == pattern or (host.endswith("." + pattern) and not re.fullmatch(r"[0-9.]+", host))
 
 
 def slow(captures, entries):
@@ -38,11 +55,11 @@ def slow(captures, entries):
 
 def tables():
     rng = random.Random(6)
-    hosts = ["a.com", "www.a.com", "x.a.com", "b.org", "y.x.a.com", "evil-a.com", "c.net"]
-    urls = [rng.choice(["http://", "https://u:p@", "", "HTTPS://"]) + rng.choice(hosts) + rng.choice(["", ":80", "."]) + rng.choice(["", "/", "/p", "/p/", "/p/q/r?x=/z/", "/P/q#/s/"]) for _ in range(150)]
+    hosts = ["a.com", "www.a.com", "x.a.com", "b.org", "y.x.a.com", "evil-a.com", "c.net", "10.0.0.1", "[::1]"]
+    urls = [rng.choice(["http://", "https://u:p@", "", "HTTPS://", "//"]) + rng.choice(hosts) + rng.choice(["", ":80", "."]) + rng.choice(["", "/", "/p", "/p/", "/p/q/r?x=/z/", "/P/q#/s/", "/z/../p/q/.", "/../p/./", "/p/q/..", "/p/.hidden/x"]) for _ in range(150)]
     captures = [(i, u, DAY + dt.timedelta(rng.randrange(200))) for i, u in enumerate(urls)] + [(900, None, DAY), (901, "http://a.com/", None), (None, "a.com", DAY + dt.timedelta(150)), (902, "", DAY), (903, "///", DAY)]
     captures += captures[:2]
-    patterns = ["a.com", "x.a.com", "com", "b.org", "b.org/p/", "a.com/p/q/", "a.com/p/", "c.net"]
+    patterns = ["a.com", "x.a.com", "com", "b.org", "b.org/p/", "a.com/p/q/", "a.com/p/", "c.net", "10.0.0.1", "0.1", "1", "[::1]", "[::1]/p/"]
     entries = [(f"l{rng.randrange(3)}", rng.choice(patterns), rng.random() < 0.7, DAY + dt.timedelta(rng.randrange(-40, 210)), rng.randrange(5)) for _ in range(160)]
     return captures, entries + [(None, "a.com", True, DAY, 1), ("l0", None, True, DAY, 1), ("l0", "a.com", True, None, 1)]
 
