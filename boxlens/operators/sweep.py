@@ -14,7 +14,7 @@ from boxlens.functions.geometry import dice
 from boxlens.functions.grids import linspace, threshold_bucket
 from boxlens.functions.ratios import sample_sd
 from boxlens.functions.text import mean_std
-from boxlens.operators.matching import RUN, match_ranked, rank_detections, score_filter
+from boxlens.operators.matching import RUN, rank_detections, score_filter, with_matches
 from boxlens.operators.metrics import rates
 from boxlens.session import for_each_run
 
@@ -31,12 +31,11 @@ def threshold_sweep(predictions: DataFrame, targets: DataFrame, runs: DataFrame,
     """Operating point of each run at each threshold."""
     grid = thresholds or linspace(0.01, 0.99, 99)
     ranked = rank_detections(score_filter(predictions, grid[0]), run, max_detections)
-    matches = match_ranked(ranked, targets, run, iou_threshold, max_detections)
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    bucket = threshold_bucket(F.col("score"), grid).alias("t_idx")
-    rows = ranked.select(*run, bucket, one.alias("preds"), zero.alias("tp"), F.lit(0.0).alias("iou_sum"), F.lit(0.0).alias("dice_sum")).unionByName(
-        matches.select(*run, bucket, zero.alias("preds"), one.alias("tp"), F.col("iou").alias("iou_sum"), dice(F.col("iou")).alias("dice_sum"))
-    )
+    matched = with_matches(ranked, targets, run, iou_threshold, max_detections)
+    one, hit = F.lit(1).cast("bigint"), F.col("tidx").isNotNull()
+    rows = matched.select(
+        *run, threshold_bucket(F.col("score"), grid).alias("t_idx"), one.alias("preds"), hit.cast("bigint").alias("tp"),
+        F.when(hit, F.col("iou")).otherwise(0.0).alias("iou_sum"), F.when(hit, dice(F.col("iou"))).otherwise(0.0).alias("dice_sum"))
     names = ("preds", "tp", "iou_sum", "dice_sum")
     buckets = rows.groupBy(*run, "t_idx").agg(*[F.sum(n).alias(n) for n in names])
     total = for_each_run(targets.agg(F.count("*").alias("targets")), runs, run)
