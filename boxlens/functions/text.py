@@ -22,6 +22,16 @@ def mean_std(mean: Column, std: Column) -> Column:
     return F.concat(general_6g(mean), F.lit(" ± "), general_6g(std))
 
 
+def scaled_round(value: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as C and SQL engines on doubles round.
+
+    ``F.round`` rounds the shortest decimal form, so a mean that summation left just below
+    a half goes down there and up here.
+    """
+    scale = F.lit(10.0**digits)
+    return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / scale
+
+
 def ten_decimals(label: Column, *values: Column) -> Column:
     """``class v v v v`` line with ten decimals each, exact halves to even."""
     return F.format_string("%d" + " %.10f" * len(values), label, *[F.bround(v, 10) for v in values])

@@ -1,5 +1,8 @@
-"""Plans that must not exchange their rows again."""
+"""Plans that must not exchange or broadcast their rows, and small steps that were wrong."""
 
+from pyspark.sql import functions as F
+
+from boxlens.functions.text import scaled_round
 from boxlens.operators import matching, metrics
 from boxlens.plans import fixtures as fx
 
@@ -35,3 +38,8 @@ def test_matches_agree_with_rounds_when_pairs_compete(spark):
     rounds = matching.with_matches(ranked, t, iou_threshold=0.3, max_detections=None).select("d", "s", "image_id", "pidx", "tidx")
     assert one_pass.count() == ranked.count()
     assert one_pass.exceptAll(rounds).isEmpty() and rounds.exceptAll(one_pass).isEmpty()
+
+
+def test_halves_round_as_doubles(spark):
+    row = spark.range(1).select(scaled_round(F.lit(0.041874999999999996), 5), scaled_round(F.lit(-2.5), 0), scaled_round(F.lit(None).cast("double"), 3)).first()
+    assert tuple(row) == (0.04188, -3.0, None)
