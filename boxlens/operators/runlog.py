@@ -30,9 +30,12 @@ EPOCH_SCHEMA = ", ".join([
     "run_id string", *[f"{c} bigint" for c in EPOCH_INTEGERS], *[f"{c} double" for c in EPOCH_FLOATS], "is_best boolean"])
 
 
-def epoch_rules(rows: DataFrame, other: tuple[str, ...] = ()) -> Column:
-    """Array of (field, rule) that a full epoch record breaks; columns that are no epoch field and not in ``other``, or of other types, raise."""
-    broken = field_rules(rows, ["run_id", *other], list(EPOCH_INTEGERS), list(EPOCH_FLOATS), list(EPOCH_PROBABILITIES), EPOCH_OPTIONAL,
+def epoch_rules(rows: DataFrame, other: tuple[str, ...] = (), unbounded: tuple[str, ...] = ()) -> Column:
+    """Array of (field, rule) that a full epoch record breaks; columns that are no epoch field and not in ``other``, or of other types, raise.
+
+    Probabilities named by ``unbounded`` are on another scale and may exceed one.
+    """
+    broken = field_rules(rows, ["run_id", *other], list(EPOCH_INTEGERS), list(EPOCH_FLOATS), [c for c in EPOCH_PROBABILITIES if c not in unbounded], EPOCH_OPTIONAL,
                          booleans=("is_best",), positive=("epoch", "epoch_seconds"))
     unnamed = F.when(F.coalesce(F.col("run_id"), F.lit("")) == "", F.struct(F.lit("run_id").alias("field"), F.lit("missing").alias("rule")))
     return F.concat(broken, F.array_compact(F.array(unnamed)))
@@ -43,13 +46,13 @@ def epoch_record_problems(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", "epoch", F.explode(epoch_rules(rows)).alias("v")).select("run_id", "epoch", "v.field", "v.rule")
 
 
-def ruled_records(rows: DataFrame) -> DataFrame:
+def ruled_records(rows: DataFrame, unbounded: tuple[str, ...] = ()) -> DataFrame:
     """(run_id, epoch, arrival, record, problems): the epoch fields as one JSON text, and what they break as ``field:rule``, sorted.
 
     Equal records have equal texts, so a text is what repeats are compared by.
     """
     record = F.to_json(F.struct("run_id", *EPOCH_INTEGERS, *EPOCH_FLOATS, "is_best"))
-    named = F.array_sort(F.transform(epoch_rules(rows, ("arrival",)), lambda v: F.concat_ws(":", v["field"], v["rule"])))
+    named = F.array_sort(F.transform(epoch_rules(rows, ("arrival",), unbounded), lambda v: F.concat_ws(":", v["field"], v["rule"])))
     return rows.select("run_id", "epoch", "arrival", record.alias("record"), F.array_join(named, ",").alias("problems"))
 
 
@@ -218,14 +221,21 @@ def classify_epoch_records(ruled: DataFrame) -> DataFrame:
 
     A record that breaks a field rule is rejected. Of the others, the first record of a
     (run, epoch) counts; identical repeats are ignored and differing ones rejected; epochs
-    of a run must rise by arrival.
+    of a run must rise by arrival. Records are written once, so that their rules are not
+    evaluated again (and inlined) in every branch; they are compared by digests, and the
+    rising epochs are a running maximum over range blocks.
     """
-    first = ruled.filter("problems = ''").groupBy("run_id", "epoch").agg(
-        F.min("arrival").alias("first_arrival"), F.min_by("record", "arrival").alias("first_record"))
-    w = Window.partitionBy("run_id").orderBy("first_arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rising = first.withColumn("rises", F.coalesce(F.col("epoch") > F.max("epoch").over(w), F.lit(True)))
+    ruled = materialize(ruled, "ruled")
+    digest = F.sha2("record", 256)
+    lean = ruled.filter("problems = ''").select("run_id", "epoch", "arrival", digest.alias("digest"))
+    first = lean.groupBy("run_id", "epoch").agg(F.min("arrival").alias("first_arrival"), F.min_by("digest", "arrival").alias("first_digest"))
+    order = [("first_arrival", True)]
+    blocks = range_blocks(first, [("run_id", True), *order], "first-records")
+    before = running_maximum(blocks, ["run_id"], order, {"before": F.col("epoch")}, inclusive=False)
+    rising = before.select("run_id", "epoch", "first_arrival", "first_digest", F.coalesce(F.col("epoch") > F.col("before"), F.lit(True)).alias("rises"))
     fate = (
         F.when(F.col("problems") != "", "rejected_invalid").when(~F.col("rises"), "rejected_not_rising").when(F.col("arrival") == F.col("first_arrival"), "accepted")
-        .when(F.col("first_record") == F.col("record"), "ignored").otherwise("rejected_conflict")
+        .when(F.col("first_digest") == digest, "ignored").otherwise("rejected_conflict")
     )
-    return ruled.join(rising, ["run_id", "epoch"], "left").select(*ruled.columns, fate.alias("fate"))
+    # the first records grow with the log, so they are not gathered for a broadcast
+    return ruled.join(rising.hint("merge"), ["run_id", "epoch"], "left").select(*ruled.columns, fate.alias("fate"))

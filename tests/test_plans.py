@@ -1,9 +1,11 @@
 """Plans that must not exchange or broadcast their rows, and small steps that were wrong."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from boxlens.functions.text import scaled_round
-from boxlens.operators import matching, metrics
+from boxlens.operators import matching, metrics, runlog
 from boxlens.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,35 @@ def test_matches_agree_with_rounds_when_pairs_compete(spark):
 def test_halves_round_as_doubles(spark):
     row = spark.range(1).select(scaled_round(F.lit(0.041874999999999996), 5), scaled_round(F.lit(-2.5), 0), scaled_round(F.lit(None).cast("double"), 3)).first()
     assert tuple(row) == (0.04188, -3.0, None)
+
+
+def epoch_records(spark, *changes):
+    base = {"run_id": "a", "is_best": True} | dict.fromkeys(runlog.EPOCH_INTEGERS, 1) | dict.fromkeys(runlog.EPOCH_FLOATS, 0.5)
+    schema = f"{runlog.EPOCH_SCHEMA}, arrival bigint"
+    rows = [base | change | {"arrival": i} for i, change in enumerate(changes)]
+    return spark.createDataFrame([tuple(r[f.split()[0]] for f in schema.split(", ")) for r in rows], schema)
+
+
+def test_fates_of_epoch_records_come_from_written_records(spark):
+    """Rules are evaluated once, not inlined into every branch, and first records are not broadcast."""
+    rows = epoch_records(spark, {"epoch": 1}, {"epoch": 1}, {"epoch": 2})
+    out = runlog.classify_epoch_records(runlog.ruled_records(rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "StructsToJson" not in plan and not re.search(r"BroadcastHashJoin \[run_id#\d+, epoch#", plan)
+    assert [r.fate for r in out.orderBy("arrival").collect()] == ["accepted", "ignored", "accepted"]
+
+
+def test_fields_on_another_scale_may_exceed_one(spark):
+    rows = epoch_records(spark, {"val_map_50": 1.1}, {"val_map_50": -1.0}, {"val_f1": 1.1})
+    problems = lambda *given: [r.problems for r in runlog.ruled_records(rows, *given).orderBy("arrival").collect()]
+    assert problems() == ["val_map_50:above_one", "val_map_50:negative", "val_f1:above_one"]
+    assert problems(("val_map_50",)) == ["", "val_map_50:negative", "val_f1:above_one"]
+
+
+def test_sound_records_stay_sound_at_any_size(spark):
+    """Later events must not run into a rule that the SQL doesn't name."""
+    from boxlens.plans import runlogs
+
+    rows = spark.createDataFrame([(3_000_001, 5, 77.0), (5_300_000, 5, 77.0)], "event_id bigint, user_id bigint, value double")
+    got = runlog.ruled_records(rows.selectExpr(*runlogs.arrival_columns(bounded=True), "event_id as arrival"), runlogs.SCALED).orderBy("arrival").collect()
+    assert [r.problems for r in got] == ["", "val_f1:above_one"]
