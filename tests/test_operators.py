@@ -432,3 +432,28 @@ def test_epoch_record_rules(spark):
         runlog.epoch_record_problems(frame([{}], kinds).withColumn("is_best", F.lit(1)))
     with pytest.raises(ValueError, match="missing field seed"):
         runlog.epoch_record_problems(frame([{}], kinds).drop("seed"))
+
+
+def test_draws_in_numpy_equal_the_hash_of_columns(spark):
+    from boxlens.functions.hashing import Draws, draw
+
+    tails = ["0", "7", "14999", "150001", None, "", "é", "long " * 12, "x" * 44, "y" * 45]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tails)], "i int, t string").crossJoin(spark.range(112).withColumnRenamed("id", "rep"))
+    want = rows.select("i", "rep", draw(F.lit(7), F.lit("swap"), F.col("rep"), F.col("t")).alias("h")).orderBy("i", "rep").collect()
+    assert [r.h for r in want] == Draws(7, "swap", count=112)(tails).ravel().tolist()
+
+
+def test_hybrid_sums_follow_the_swaps(spark):
+    """Against a join with the swap rows; group 3 has one detector only."""
+    from boxlens.operators import stats
+
+    ev = spark.createDataFrame([(d, s, g, *(10 * g + d + s + i for i in range(6))) for d in (0, 1) for s in (1, 2) for g in (1, 2, 3) if g < 3 or d],
+                               "d int, s int, g bigint, " + ", ".join(f"{c} bigint" for c in stats.COUNTS))
+    swaps = stats.permutation_swaps(ev, 12, 7, "g")
+    role = F.when((F.col("d") == 1) == F.col("swap"), "a").otherwise("b")
+    want = ev.join(swaps, "g").groupBy("rep", role.alias("role"), "s").agg(*[F.sum(c).alias(c) for c in stats.COUNTS])
+    got = stats.hybrid_sums(ev, 12, 7, 1, ["s"], "g").select(*want.columns)
+    # a hybrid that no row of a run falls to has zeros here and no row in the join
+    assert got.filter("fn > 0").exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    texts = {r.g: r.swaps for r in stats.swap_texts(ev, 12, 7, "g").collect()}
+    assert all(texts[r.g][r.rep] == str(int(r.swap)) for r in swaps.collect())
