@@ -454,10 +454,10 @@ def doc_rows(spark, sf):
 def file_inventory(spark, sf):
     """Every text as a file of its own, listed back with key, size and digest."""
     path = scratch_path(spark, "inventory")
-    fx.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(path)
+    writers.sink_text_files(fx.table(spark, sf, "documents"), "doc_id", "text", path)
     files = readers.file_inventory(spark, path, [".txt"])
-    folder = lambda c: F.regexp_extract(c, "^([^/]+)/", 1)
-    return files.select(folder("path").alias("folder"), folder("key").alias("key_folder"), F.col("size").cast("bigint").alias("size"), "sha")
+    name = lambda c: F.regexp_extract(c, r"([^/]+?)(\.txt)?$", 1)
+    return files.select(name("path").alias("folder"), name("key").alias("key_folder"), F.col("size").cast("bigint").alias("size"), "sha")
 
 
 @query("verify_digests", f"""with {DOCS}, dc as (select path, case when doc_id%13=0 then sha256(sha) else sha end sha, case when doc_id%17=1 then size+1 else size end size from f union all select 'gone_' || doc_id, sha, size from f where doc_id%19=2)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from boxlens.functions.text import ten_decimals
@@ -23,6 +27,31 @@ def sink_result_table(df: DataFrame, fields: list[str], path: str, fmt: str = "p
     write_version(df.sparkSession, path, write)
 
 
+def sink_text_files(df: DataFrame, key: str, text: str, root: str) -> None:
+    """Every text, and a line feed, as the file ``<folder of the task>/<n>/<key>=<value>.txt``; n counts the rows of equal value.
+
+    A folder per task keeps listings short where files are many. Names follow from the rows, so
+    a task that runs again writes the same files. ``root`` is shared by all executors and is
+    one that Arrow opens (a path, file:, hdfs:, s3: or gs:), else the sink fails.
+    """
+    pyarrow.fs.FileSystem.from_uri(root)
+
+    def write(rows: Iterator[Row]) -> None:
+        files, top = pyarrow.fs.FileSystem.from_uri(root)
+        before, n, made = object(), 0, -1
+        for value, content in rows:
+            n = n + 1 if value == before else 0
+            before, folder = value, f"{top.rstrip('/')}/{TaskContext.get().partitionId()}/{n}"
+            if n > made:
+                files.create_dir(folder)
+                made = n
+            with files.open_output_stream(f"{folder}/{key}={value}.txt") as out:
+                out.write(((content or "") + "\n").encode())
+
+    named = df.select(F.col(key).cast("string").alias("value"), F.col(text).alias("content"))
+    named.repartition("value").sortWithinPartitions("value", "content").foreachPartition(write)
+
+
 def sink_split_manifest(exams: DataFrame, path: str) -> None:
     """One sorted CSV folder per split; a column copy names the folder. All splits are replaced at once."""
     flag = F.col("is_positive").cast("int").alias("is_positive")  # 1 or 0

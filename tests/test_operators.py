@@ -457,3 +457,18 @@ def test_hybrid_sums_follow_the_swaps(spark):
     assert got.filter("fn > 0").exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     texts = {r.g: r.swaps for r in stats.swap_texts(ev, 12, 7, "g").collect()}
     assert all(texts[r.g][r.rep] == str(int(r.swap)) for r in swaps.collect())
+
+
+def test_text_files_are_few_folders_and_one_file_per_row(spark, tmp_path):
+    import hashlib
+
+    from boxlens.sources import readers, writers
+
+    rows = [(i, f"text\nof {i}") for i in range(300)] + [(5, "again"), (6, None), (7, "é")]
+    root = str(tmp_path / "texts")
+    writers.sink_text_files(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", root)
+    folders = {p.parent for p in (tmp_path / "texts").rglob("*.txt")}
+    assert len(folders) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 2
+    got = sorted((r.path.split("/")[-1], r.size, r.sha) for r in readers.file_inventory(spark, root, [".txt"]).collect())
+    whole = [(i, ((t or "") + "\n").encode()) for i, t in rows]
+    assert got == sorted((f"doc_id={i}.txt", len(t), hashlib.sha256(t).hexdigest()) for i, t in whole)
