@@ -62,7 +62,7 @@ def recall_sampling(spark, sf):
 
 @query("average_precision", POOLED + " select d, s, level, round(ap, 9) ap from ap")
 def average_precision(spark, sf):
-    return round_cols(ap.average_precision(blocks(spark, sf), totals(spark, sf), KEYS), ["ap"])
+    return round_cols(ap.average_precision(ap.counted_detections(detections(spark, sf), KEYS), totals(spark, sf), KEYS), ["ap"])
 
 
 @query("weighted_average_precision", with_levels(["pr", "tg", "runs", "im"]) + """,
@@ -75,7 +75,7 @@ def weighted_average_precision(spark, sf):
     dets = detections(spark, sf).join(weights, "image_id").filter("w > 0")
     tot = fx.det_targets(spark, sf).join(weights, "image_id").agg(F.sum("w").alias("target_count"))
     tot = fx.runs(spark).crossJoin(tot)
-    return round_cols(ap.average_precision(ap.detection_blocks(dets, KEYS), tot, KEYS, F.col("w")), ["ap"])
+    return round_cols(ap.average_precision(ap.counted_detections(dets, KEYS, F.col("w")), tot, KEYS), ["ap"])
 
 
 COCO_SQL = BY_CLASS + """, pc as (select d, s, label, max(case when level=0 then ap end) map_50, avg(ap) map_50_95 from ap group by d, s, label),

@@ -312,7 +312,7 @@ def condition_metrics(spark, sf):
     """The seven metrics of every condition and detector."""
     dets = matching.coco_match(fx.condition_predictions(spark, sf), fx.det_targets(spark, sf), C_RUN)
     totals = ap.target_totals(fx.det_targets(spark, sf), fx.condition_runs(spark), C_RUN)
-    levels = ap.average_precision(ap.detection_blocks(dets, [*C_RUN]), totals, [*C_RUN])
+    levels = ap.average_precision(ap.counted_detections(dets, [*C_RUN]), totals, [*C_RUN])
     return condition_rows(spark, sf).join(ap.ap_summary(levels, ["condition", "d"]), ["condition", "d"])
 
 

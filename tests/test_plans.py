@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from boxlens import session
+from boxlens.functions.grids import RECALL_POINTS
 from boxlens.functions.text import scaled_round
-from boxlens.operators import matching, metrics, runlog
+from boxlens.operators import ap, matching, metrics, runlog
 from boxlens.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,50 @@ def test_sound_records_stay_sound_at_any_size(spark):
     rows = spark.createDataFrame([(3_000_001, 5, 77.0), (5_300_000, 5, 77.0)], "event_id bigint, user_id bigint, value double")
     got = runlog.ruled_records(rows.selectExpr(*runlogs.arrival_columns(bounded=True), "event_id as arrival"), runlogs.SCALED).orderBy("arrival").collect()
     assert [r.problems for r in got] == ["", "val_f1:above_one"]
+
+
+def test_large_tables_are_dealt_to_a_counted_number_of_tasks(spark, monkeypatch):
+    """Without a number, small exchanges are merged by bytes and every task sorts the predictions of all runs of its boxes."""
+    rows = spark.range(100)
+    assert session.key_partitions(rows) is None and session.key_partitions(rows, 1) == 100
+    assert session.by_key(rows, "id", 13).rdd.getNumPartitions() == 13
+    monkeypatch.setattr(fx, "key_partitions", lambda df: session.key_partitions(df, 100))
+    n = fx.image_partitions(spark, SF)
+    assert n == -(-fx.table(spark, SF, "lineitem").count() // 100)
+    p, t, runs = fx.det_predictions(spark, SF), fx.det_targets(spark, SF), fx.runs(spark)
+    evidence = metrics.operating_evidence(p, t, runs, images=fx.det_images(spark, SF), image_partitions=n)
+    found = exchanges(spark, metrics.image_evidence(evidence))
+    assert found and all(f", {n})" in line and "REPARTITION_BY_NUM" in line for line in found if "image" in line or "orderkey" in line), found
+
+
+def test_counted_slices_give_the_precision_of_range_blocks(spark):
+    """Several runs in a block and a run over several blocks and batches, with and without weights."""
+    p, t = fx.dense(fx.det_predictions(spark, SF), "pidx"), fx.dense(fx.det_targets(spark, SF), "tidx")
+    dets = session.materialize(matching.coco_match(p, t).withColumn("w", F.col("image_id") % 3), "dets").filter("w > 0")
+    keys, batch = ["d", "s"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    totals, before = ap.target_totals(t, fx.runs(spark)), spark.conf.get(batch)
+    spark.conf.set(batch, "50")
+    try:
+        for weight, blocks in ((None, 2), (F.col("w"), 13)):
+            counted = ap.counted_detections(dets, keys, weight, num_blocks=blocks)
+            assert counted.count() < dets.count() / 2
+            got = ap.interpolated_precision(counted, totals, keys)
+            want = ap.interpolated_precision(ap.detection_blocks(dets, keys, blocks), totals, keys, weight)
+            assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_recall_sampling_sorts_no_rows(spark):
+    p, t, keys = fx.det_predictions(spark, SF), fx.det_targets(spark, SF), ["d", "s"]
+    dets = session.materialize(matching.coco_match(p, t), "dets")
+    pr = session.materialize(ap.precision_recall(ap.detection_blocks(dets, keys), ap.target_totals(t, fx.runs(spark)), keys), "pr")
+    out = ap.recall_sampling(pr, keys)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Window ") <= 2
+    rows, want = pr.collect(), set()
+    for d, s in {(r.d, r.s) for r in rows}:
+        own = [r for r in rows if (r.d, r.s) == (d, s)]
+        for i, point in enumerate(RECALL_POINTS):
+            if reached := [r for r in own if r.recall >= point]:
+                want.add((d, s, i, min(r.cum_tp + r.cum_fp for r in reached), max(r.precision for r in reached)))
+    assert {tuple(r) for r in out.collect()} == want
