@@ -37,7 +37,7 @@ BY_CLASS = with_levels(["pr", "tg", "runs", "classes"], by="label") + """, tot a
 @query("cumulative_tp_fp", LEVELS + """ select d, s, image_id, pidx, (sum(level_mask & 1) over w)::bigint cum_tp, (sum(1 - (level_mask & 1)) over w)::bigint cum_fp
     from dl window w as (partition by d, s order by score desc, image_id, rank rows unbounded preceding)""")
 def cumulative_tp_fp(spark, sf):
-    return ap.cumulative_tp_fp(blocks(spark, sf), KEYS).select(*KEYS, "image_id", "pidx", "cum_tp", "cum_fp")
+    return ap.detection_curve(detections(spark, sf), KEYS, envelope=False).select(*KEYS, "image_id", "pidx", "cum_tp", "cum_fp")
 
 
 PR_ROWS = LEVELS + """, c as (select *, sum(level_mask & 1) over w tp, count(*) over w n from dl
@@ -48,8 +48,7 @@ PR_ROWS = LEVELS + """, c as (select *, sum(level_mask & 1) over w tp, count(*)
 
 @query("precision_envelope", PR_ROWS + " select d, s, image_id, pidx, round(prec, 9) as precision, round(env, 9) envelope from en")
 def precision_envelope(spark, sf):
-    pr = ap.precision_recall(blocks(spark, sf), totals(spark, sf), KEYS)
-    out = ap.precision_envelope(pr, KEYS).select(*KEYS, "image_id", "pidx", "precision", "envelope")
+    out = ap.detection_curve(detections(spark, sf), KEYS).select(*KEYS, "image_id", "pidx", "precision", "envelope")
     return round_cols(out, ["precision", "envelope"])
 
 

@@ -126,3 +126,19 @@ def test_recall_sampling_sorts_no_rows(spark):
             if reached := [r for r in own if r.recall >= point]:
                 want.add((d, s, i, min(r.cum_tp + r.cum_fp for r in reached), max(r.precision for r in reached)))
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_curves_of_slices_agree_with_range_blocks(spark):
+    """No detection is put in order a second time, and slices that end inside a run pass on their best."""
+    p, t = fx.dense(fx.det_predictions(spark, SF), "pidx"), fx.dense(fx.det_targets(spark, SF), "tidx")
+    dets, keys, batch = session.materialize(matching.coco_match(p, t), "dets"), ["d", "s"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "50")
+    try:
+        curve = ap.detection_curve(dets, keys, num_blocks=5)
+        assert "Window" not in curve._jdf.queryExecution().executedPlan().toString()
+        pr = ap.precision_recall(ap.detection_blocks(dets, keys, 3), ap.target_totals(t, fx.runs(spark)), keys)
+        want = ap.precision_envelope(pr, keys).select(curve.columns)
+        assert sorted(map(tuple, curve.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set(batch, before)
