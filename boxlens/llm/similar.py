@@ -9,9 +9,12 @@ similarity have a cosine of 0.889 or more, so they differ in 38.8 bits on averag
 deviation 5.7) and the radius is seven deviations away; sets under ``FEW`` shingles skip this
 test. Pairs that are left, few of all, are verified on whole sets.
 
-Texts that share a prefix shingle are first compared with one of them, drawn anew in every
-turn, until that stops to find much; so a large group of near copies costs a few comparisons
-per member. Those still in different components then meet in tiles of bounded size.
+Close copies are linked first: BK-trees over the first 64 bits of the SimHashes (operator 10)
+give a spanning forest of those within three bits. Texts that share a prefix shingle are then
+compared with one of them, first with the one that has the fewest rarer shingles, as edits of
+a common text add rare ones, later with one drawn anew in every turn, until that stops to find
+much; so a large group of near copies costs a few comparisons per member. Those still in
+different components then meet in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 
 from boxlens.llm.common import partitions, rows_of
 from boxlens.llm.components import components
+from boxlens.llm.simhash import fingerprint_links
 from boxlens.session import materialize, release
 
 SHINGLE = 5
@@ -41,12 +45,13 @@ HOT = 64  # level of a counter (256 in the sample) from which a shingle is taken
 WORDS, RADIUS, FEW = 4, 80, 32  # 64-bit words of a SimHash, bits that may differ, and sets that are too small for it
 BUCKET_ROWS = 1 << 18  # prefix rows that are gathered together
 MAP_BITS = 26  # of the map that lets needed texts through
-PACKED = np.dtype([("hash", "<u8"), ("digest", "<i8"), ("size", "<u2"), ("pos", "u1")])
-SLIM = np.dtype([("hash", "<u4"), ("digest", "<i8"), ("size", "<u2"), ("pos", "u1")])
+PACKED = np.dtype([("hash", "<u8"), ("digest", "<i8"), ("size", "<u2"), ("pos", "<u2")])
+SLIM = np.dtype([("hash", "<u4"), ("digest", "<i8"), ("size", "<u2"), ("pos", "<u2")])
 HELD = 1 << 20  # prefix rows packed together
 ROWS = 1 << 16  # rows of a written batch
 SIGNED = ("digest", "n", *[f"f{w}" for w in range(WORDS)])
-SIZE_STEP = np.log(1.04)  # of the size classes
+SIZE_STEP = np.log(1.001)  # of the size classes: coarse ones let through many pairs just below the least similarity
+PLACES = 32767  # of a shingle within its set
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -164,7 +169,7 @@ def _prefixes(level, bucket_bits: int):
                 rank = levels[(every % np.uint64(COUNTERS)).astype(np.int64)]
                 first = np.lexsort((every, rank))[: len(rows)]
                 rows["hash"], rows["digest"], rows["size"] = every[first], d, _size_class(len(every))
-                rows["pos"] = np.arange(len(rows)) * 255 // len(every)  # how far into the set, rounded down
+                rows["pos"] = np.arange(len(rows)) * PLACES // len(every)  # how far into the set, rounded down
                 parts.append(rows)
                 bucket = (rows["hash"] >> np.uint64(64 - bucket_bits)).astype(np.int64)
                 buckets.append(np.where(rank[first] >= HOT, -1 - task, bucket))
@@ -248,8 +253,8 @@ def _order(rows: DataFrame):
 
 def _possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
     """Whether sets of these size classes, whose first common shingle lies that far into each, can be similar enough."""
-    # of a set of n at most n (1 - pos / 255) shingles can be common, and 0.8 (n + m) / 1.8 must be; sizes are known by class
-    most = lambda own, p, other: (NUM + DEN) * (1 - p / 255.0) >= NUM * (1 + F.exp((other - own - 1) * float(SIZE_STEP)))
+    # of a set of n at most n (1 - pos / PLACES) shingles can be common, and 0.8 (n + m) / 1.8 must be; sizes are known by class
+    most = lambda own, p, other: (NUM + DEN) * (1 - p / float(PLACES)) >= NUM * (1 + F.exp((other - own - 1) * float(SIZE_STEP)))
     return (F.abs(size - other_size) <= CLASSES) & most(size, pos, other_size) & most(other_size, other_pos, size)
 
 
@@ -285,9 +290,31 @@ def _verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
     return links
 
 
+def _tree_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) that BK-trees of 64-bit SimHashes propose: a forest over near ones, and a star over equal ones."""
+    full = marks.filter("n > 0").select("digest", F.col("f0").alias("fp"))
+    firsts = materialize(full.groupBy("fp").agg(F.min("digest").alias("first")), "similar-fingerprints")
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}first"))
+    near = fingerprint_links(firsts.select("fp")).distinct().join(side("a"), "a").join(side("b"), "b").select(
+        F.least("afirst", "bfirst").alias("a"), F.greatest("afirst", "bfirst").alias("b"))
+    equal = full.join(firsts, "fp").filter("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    return near.union(equal).distinct()
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of groups that still lie in several components; ``part`` names each row's."""
+    named = rows.drop("part").join(roots, rows["digest"] == roots["node"], "left")
+    named = materialize(named.select("hash", "digest", "size", "pos", F.coalesce("root", "digest").alias("part")), "similar-named")
+    open_ = named.groupBy("hash").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("hash")
+    left = materialize(named.join(open_, "hash", "left_semi"), "similar-left")
+    release(named, rows)
+    return left
+
+
 def _star_pairs(left: DataFrame, turn: int) -> DataFrame:
-    """Every row with one member of its group, drawn by the turn."""
-    center = F.min_by(F.struct("digest", "size", "pos", "part"), F.xxhash64("digest", F.lit(turn))).alias("other")
+    """Every row with one member of its group: first that with the least edits, as far as rare shingles tell, then one drawn by the turn."""
+    drawn = F.xxhash64("digest", F.lit(turn))
+    center = F.min_by(F.struct("digest", "size", "pos", "part"), drawn if turn else F.struct("pos", drawn)).alias("other")
     return left.join(left.groupBy("hash").agg(center), "hash")
 
 
@@ -322,26 +349,24 @@ def groups_of(rows: DataFrame, text_col: str = "text") -> DataFrame:
     packed = source.select("text").mapInArrow(_prefixes(_order(source), bits), "bucket bigint, rows binary")
     dealt = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     near = materialize(dealt.mapInArrow(_shared(bits), "hash bigint, digest bigint, size smallint, pos smallint"), "similar-near")
-    left, done, links, roots = near.withColumn("part", F.col("digest")), None, None, None
-    turn, before, tiles = 0, 0, False
+    done = materialize(_near_enough(_tree_pairs(marks), marks), "similar-pairs")
+    links = _verified(done, source)
+    roots = components(links, "similar-roots")
+    left, turn, before, tiles = _open(near, roots), 0, 0, False
     while True:
         proposed = (_tile_pairs(left) if tiles else _star_pairs(left, turn)).filter(
             (F.col("part") != F.col("other.part")) & _possible(F.col("size"), F.col("pos"), F.col("other.size"), F.col("other.pos")))
         pairs = proposed.select(F.least("digest", "other.digest").alias("a"), F.greatest("digest", "other.digest").alias("b")).distinct()
         pairs = _near_enough(pairs, marks)
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti") if done else pairs, "similar-pairs")
-        done = done.union(pairs) if done else pairs
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "similar-pairs")
+        done = done.union(pairs)
         new = _verified(pairs, source)
-        links = links.union(new) if links else new
+        links = links.union(new)
         release(roots)
         roots = components(links, "similar-roots")
         if tiles:
             break
-        old, named = left, left.drop("part").join(roots, left["digest"] == roots["node"], "left")
-        named = materialize(named.select("hash", "digest", "size", "pos", F.coalesce("root", "digest").alias("part")), "similar-named")
-        open_ = named.groupBy("hash").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("hash")
-        left = materialize(named.join(open_, "hash", "left_semi"), "similar-left")
-        release(named, old if turn else near)
+        left = _open(left, roots)
         found, turn = new.count(), turn + 1
         tiles, before = turn == TURNS or 4 * found <= before or not found, found
     release(left)

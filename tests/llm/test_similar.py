@@ -107,3 +107,22 @@ def test_simhash_radius_keeps_links():
             near.append(far(x, y))
             apart.append(far(x, every[n:]))
         assert max(near) <= similar.RADIUS - 15 and min(apart) > similar.RADIUS
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Copies of one text, up to and beyond the least similarity to it, are not all compared with each other."""
+    rng = random.Random(8)
+    base = [f"w{i}x" for i in range(150)]
+    rows = [(1, " ".join(base))]
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"e{rng.random()}"
+        rows.append((2 + i, " ".join(words)))
+    pairs, write = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, name: (t := write(df, name), name == "similar-pairs" and pairs.append(t.count()))[0])
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    frame = spark.createDataFrame([(i, t, "d", "n") for i, t in rows], SCHEMA).repartition(5)
+    names = {r.digest: r.component for r in similar.similar_groups(frame).collect()}
+    assert [names[similar._digest(similar.shingles(t.encode()))] for _, t in rows] == slow_components(rows)
+    assert sum(pairs) < 3 * len(rows)
