@@ -1,11 +1,13 @@
 """Plans that must not exchange or broadcast their rows, and small steps that were wrong."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from boxlens import session
 from boxlens.functions.grids import RECALL_POINTS
+from boxlens.functions.ratios import decimal_mean
 from boxlens.functions.text import scaled_round
 from boxlens.operators import ap, matching, metrics, runlog
 from boxlens.plans import fixtures as fx
@@ -142,3 +144,14 @@ def test_curves_of_slices_agree_with_range_blocks(spark):
         assert sorted(map(tuple, curve.collect())) == sorted(map(tuple, want.collect()))
     finally:
         spark.conf.set(batch, before)
+
+
+def test_means_on_a_half_do_not_depend_on_the_order(spark):
+    """Sixteen discounts with a mean of 0.051875, in many orders."""
+    values = [0.01, 0.09, 0.1, 0.03, 0.07, 0.0, 0.06, 0.04, 0.1, 0.02, 0.08, 0.05, 0.03, 0.07, 0.06, 0.02]
+    orders = [random.Random(k).sample(values, 16) for k in range(40)]
+    rows = [(k, v) for k, order in enumerate(orders) for v in order]
+    found = spark.createDataFrame(rows, "k int, v double").coalesce(1).groupBy("k").agg(
+        scaled_round(decimal_mean(F.col("v")), 5).alias("m"), scaled_round(F.avg("v"), 5).alias("plain")).collect()
+    assert {r.m for r in found} == {0.05188} and len({r.plain for r in found}) == 2
+    assert spark.createDataFrame([(None,)], "v double").agg(decimal_mean(F.col("v"))).first()[0] is None
