@@ -28,7 +28,9 @@ def validate_coco(images: DataFrame, annotations: DataFrame, categories: DataFra
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
     a = annotations.select("id", F.col("image_id"), "category_id", "bbox", "area", "iscrowd",
                            *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x", "y", "w", "h"))])
-    sized = a.join(images.select(F.col("id").alias("image_id"), F.col("width").alias("iw"), F.col("height").alias("ih")).dropDuplicates(["image_id"]), "image_id", "left")
+    # a repeated image has the smallest of its sizes, whichever of its rows comes first
+    sizes = images.groupBy(F.col("id").alias("image_id")).agg(F.min("width").alias("iw"), F.min("height").alias("ih"))
+    sized = a.join(sizes, "image_id", "left")
     known = sized.join(categories.select(F.col("id").alias("category_id"), F.lit(True).alias("known_category")).distinct(), "category_id", "left")
     area_off = F.abs(F.col("area") - w * h) > F.greatest(F.lit(1e-6) * F.greatest(F.abs("area"), F.abs(w * h)), F.lit(1e-6))
     boxed = F.size("bbox") == 4

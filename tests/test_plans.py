@@ -9,7 +9,7 @@ from boxlens import session
 from boxlens.functions.grids import RECALL_POINTS
 from boxlens.functions.ratios import decimal_mean
 from boxlens.functions.text import scaled_round
-from boxlens.operators import ap, matching, metrics, runlog
+from boxlens.operators import ap, coco, matching, metrics, runlog
 from boxlens.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +155,13 @@ def test_means_on_a_half_do_not_depend_on_the_order(spark):
         scaled_round(decimal_mean(F.col("v")), 5).alias("m"), scaled_round(F.avg("v"), 5).alias("plain")).collect()
     assert {r.m for r in found} == {0.05188} and len({r.plain for r in found}) == 2
     assert spark.createDataFrame([(None,)], "v double").agg(decimal_mean(F.col("v"))).first()[0] is None
+
+
+def test_repeated_coco_images_have_their_smallest_size_in_any_order(spark):
+    bbox = F.array(*[F.lit(v) for v in (1.0, 1.0, 4.0, 4.0)])
+    annotations = spark.range(1).select("id", F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), bbox.alias("bbox"), F.lit(16.0).alias("area"), F.lit(0).alias("iscrowd"))
+    categories = spark.createDataFrame([(1, "a")], "id int, name string")
+    for sizes in ((3, 9), (9, 3)):
+        images = spark.createDataFrame([(1, f"{w}.png", w, 9) for w in sizes], "id int, file_name string, width int, height int").coalesce(1)
+        rules = {r.rule for r in coco.validate_coco(images, annotations, categories).collect() if r.entity == "annotation"}
+        assert rules == {"bbox_outside_image"}, sizes
