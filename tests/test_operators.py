@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +473,29 @@ def test_text_files_are_few_folders_and_one_file_per_row(spark, tmp_path):
     got = sorted((r.path.split("/")[-1], r.size, r.sha) for r in readers.file_inventory(spark, root, [".txt"]).collect())
     whole = [(i, ((t or "") + "\n").encode()) for i, t in rows]
     assert got == sorted((f"doc_id={i}.txt", len(t), hashlib.sha256(t).hexdigest()) for i, t in whole)
+
+
+def test_bootstrap_blocks_hold_the_draws_of_the_long_form(spark, monkeypatch):
+    """Arrays, texts and sums of blocks against one row per (replicate, drawn group), with blocks and tasks of few groups."""
+    monkeypatch.setattr(stats, "GROUP_BLOCK", 7)
+    monkeypatch.setattr(stats, "DRAWN", 300)
+    monkeypatch.setattr(stats, "TAILS", 16)
+    n, reps = 53, 23
+    groups = spark.range(3 * n).select((F.col("id") % n).alias("patient_group"))
+    long = {(r.patient_group, r.rep): r.w for r in stats.cluster_bootstrap_weights(groups, reps, 7).collect()}
+    want = {g: [long.get((g, rep), 0) for rep in range(reps)] for g in range(n)}
+    assert {r.patient_group: r.w for r in stats.bootstrap_arrays(groups, reps, 7).collect()} == want
+    assert {r.patient_group: r.weights for r in stats.bootstrap_texts(groups, reps, 7).collect()} == {g: ",".join(map(str, w)) for g, w in want.items()}
+    rows = [(d, g, g + d, g, 1, d, 0.5 * g, 0.25 * d) for g in range(0, n, 2) for d in (0, 1) if (g, d) != (4, 1)]
+    ev = spark.createDataFrame(rows, "d int, patient_group bigint, target_count bigint, tp bigint, fp bigint, fn bigint, iou_sum double, dice_sum double")
+    got = {(r.rep, r.d): tuple(r[c] for c in stats.COUNTS) for r in stats.bootstrap_sums(ev, groups, reps, 7, ["d"]).collect()}
+    assert got == {(rep, d): tuple(sum(want[x[1]][rep] * x[2 + i] for x in rows if x[0] == d) for i in range(6)) for rep in range(reps) for d in (0, 1)}
+
+
+def test_bootstrap_texts_of_one_group_and_of_none(spark):
+    one = spark.createDataFrame([("a",), ("a",)], "patient_group string")
+    assert [tuple(r) for r in stats.bootstrap_texts(one, 4, 7).collect()] == [("a", "1,1,1,1")]
+    assert stats.bootstrap_texts(one.limit(0), 4, 7).count() == 0
+    many = pa.table({"lo": pa.array([0, 2], pa.int32()), "reps": pa.array([2, 1], pa.int32()),
+                     "data": [np.array([[300, 1], [0, 2]], np.int32).tobytes(), np.array([[3, 4]], np.uint8).tobytes()]})
+    assert stats._multiplicities(many, 3, 2).tolist() == [[300, 1], [0, 2], [3, 4]]
