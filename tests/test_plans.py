@@ -9,7 +9,7 @@ from boxlens import session
 from boxlens.functions.grids import RECALL_POINTS
 from boxlens.functions.ratios import decimal_mean
 from boxlens.functions.text import scaled_round
-from boxlens.operators import ap, coco, matching, metrics, runlog
+from boxlens.operators import ap, assignment, coco, matching, metrics, runlog, stats
 from boxlens.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,39 @@ def test_repeated_coco_images_have_their_smallest_size_in_any_order(spark):
         images = spark.createDataFrame([(1, f"{w}.png", w, 9) for w in sizes], "id int, file_name string, width int, height int").coalesce(1)
         rules = {r.rule for r in coco.validate_coco(images, annotations, categories).collect() if r.entity == "annotation"}
         assert rules == {"bbox_outside_image"}, sizes
+
+
+def test_images_matched_in_numpy_agree_with_arrays(spark, monkeypatch):
+    """Any batches, any spread of the rows, caps that cut, competing pairs; images held over several batches."""
+    monkeypatch.setattr(assignment, "HELD", 40)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    cols = ["d", "s", "image_id", "pidx", "label", "score", "rank"]
+    try:
+        for size, cap, by in (("10000", 100, ()), ("37", 60, ()), ("37", 7, ("label",))):
+            spark.conf.set(name, size)
+            p, t = fx.dense(fx.det_predictions(spark, SF), "pidx", 100), fx.dense(fx.det_targets(spark, SF), "tidx", 100)
+            ranked = matching.rank_detections(p, max_detections=cap, by=by).withColumn("own", F.col("label"))
+            run = ("d", "s", *["own" for _ in by])
+            found = assignment.match_images(p.repartition(5), t.repartition(3), max_detections=cap, by=by)
+            for want, more in ((matching.level_matches(ranked, t, run, cap), ["level_mask"]), (matching.with_matches(ranked, t, run, 0.5, cap), ["tidx", "iou"])):
+                a, b = want.select(*cols, *more), found.select(*cols, *more)
+                assert a.count() == b.count() and a.exceptAll(b).isEmpty(), (size, cap, by, more)
+    finally:
+        spark.conf.set(name, "10000")
+
+
+def test_group_evidence_of_images_agrees_with_rows(spark):
+    """Groups of a repeated, a missing and a nameless image, and images without predictions or targets."""
+    p, t, runs = fx.det_predictions(spark, SF).filter("image_id % 7 > 0 or d = 1"), fx.det_targets(spark, SF), fx.runs(spark)
+    g = F.when(F.col("image_id") % 11 > 0, F.col("patient_group")).alias("patient_group")
+    images = fx.det_images(spark, SF).filter("image_id % 13 > 0").select("image_id", g)
+    groups = images.unionByName(images.filter("image_id % 5 = 0").withColumn("patient_group", F.lit(-1).cast("bigint")))
+    keys = ["d", "s", "patient_group"]
+    want = stats.group_evidence(metrics.image_evidence(metrics.operating_evidence(p, t, runs)), groups, ["d", "s"])
+    got = stats.matched_group_evidence(p, t, runs, groups)
+    rounded = [*keys, "target_count", "tp", "fp", "fn", F.round("iou_sum", 9), F.round("dice_sum", 9)]
+    a, b = want.select(*rounded), got.select(*rounded)
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+    sums = lambda df: df.groupBy("d", "s", "label").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("preds", "targets", "tp", "iou_sum", "dice_sum")])
+    a, b = sums(metrics.operating_evidence(p, t, runs)), sums(metrics.summed_evidence(p, t, runs))
+    assert a.count() == 12 == b.count() and a.exceptAll(b).isEmpty()
